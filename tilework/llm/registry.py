@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilework.llm import media, topk
+from tilework.llm import media, quality, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_top_k": topk.op4_top_k,
+    "op5_quality": quality.op5_quality,
+    "op8_url_filter": urls.op8_url_filter,
     "op10_media": media.op10_media,
 }
 
 SQL: dict[str, str] = {
     "op4_top_k": topk.OP4_SQL,
+    "op8_url_filter": urls.OP8_SQL,
 }
