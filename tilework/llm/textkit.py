@@ -19,8 +19,8 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x2545F4914F6CDD1D
 _SHINGLE = np.uint64(0xD6E8FEB86659FD93)
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _WORD = np.ones(256, dtype=bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
 
@@ -88,7 +88,7 @@ class Words:
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
     if lower:
-        data = _LOWER[data]
+        data = LOWER[data]
     inside = np.zeros(len(data) + 1, dtype=bool)
     inside[:-1] = _WORD[data]
     starts = inside.copy()
