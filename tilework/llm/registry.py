@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilework.llm import media, quality, topk, urls
+from tilework.llm import media, mixing, packing, quality, tokenfile, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_top_k": topk.op4_top_k,
     "op5_quality": quality.op5_quality,
+    "op6_packing": packing.op6_packing,
+    "op7_token_files": tokenfile.op7_token_files,
     "op8_url_filter": urls.op8_url_filter,
+    "op9_mixing": mixing.op9_mixing,
     "op10_media": media.op10_media,
 }
 
 SQL: dict[str, str] = {
     "op4_top_k": topk.OP4_SQL,
     "op8_url_filter": urls.OP8_SQL,
+    "op9_mixing": mixing.OP9_SQL,
 }
