@@ -6,8 +6,8 @@ routes the patterns' words to the sources' targets at least cost; its graph has
 pattern and source and is solved in the driver. Then documents are selected: every one of a
 pattern as often as full passes flow, and some once more, by order of a seeded hash of the id,
 until the rest is met. That order is cut without sorting: sums over hash prefixes find the prefix
-in which the rest ends, DIGITS digits at a time. TOP_UPS times, the document that comes nearest to
-what is left is added, if that brings the sum nearer.
+in which the rest ends, DIGITS digits at a time. TOP_UPS times, the largest document that still
+fits what is left is added, and at last the one that comes nearest to it, if that helps.
 
 The driver sees a row per pattern and source, never documents; more than MAX_PATTERNS of them
 are an error, not a cut. Sums are combined before the shuffle and the hash spreads a hot source
@@ -150,13 +150,13 @@ def mix(docs: DataFrame, members: Column, weights: dict[str | None, float], shar
     cuts = _cut(numbered, quota)
     marks = spark.createDataFrame([(i, cut, left) for i, (cut, left) in cuts.items()], "pattern int, cut string, left long")
     extra: list[tuple[int, str]] = []
-    for _ in range(TOP_UPS):
+    for fits in ["size <= left"] * TOP_UPS + ["size < 2 * left"]:
         if all(left <= 0 for _, left in cuts.values()):
             break
         # of the documents beyond the cut, the one of each pattern that comes nearest to what is left
         taken = F.broadcast(spark.createDataFrame(extra, "pattern int, h string"))
         beyond = numbered.join(F.broadcast(marks), "pattern").where("h >= cut AND size > 0")
-        whole = beyond.join(taken, ["pattern", "h"], "left_anti").groupBy("pattern", "h", "left").agg(F.sum("size").alias("size")).where("size < 2 * left")
+        whole = beyond.join(taken, ["pattern", "h"], "left_anti").groupBy("pattern", "h", "left").agg(F.sum("size").alias("size")).where(fits)
         best = whole.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("left")).alias("off"), "h", "size")).alias("x")).collect()
         extra += [(r["pattern"], r["x"]["h"]) for r in best]
         for r in best:
@@ -188,7 +188,7 @@ b{k} AS (
   SELECT source, min({{'off': abs(size - gap), 'h': h, 'size': size}}) AS x FROM (
     SELECT source, h, any_value(gap) AS gap, sum(size) AS size FROM s{j} JOIN g{j} USING (source)
     WHERE NOT chosen AND size > 0 GROUP BY source, h
-  ) WHERE size < 2 * gap GROUP BY source
+  ) WHERE {fits} GROUP BY source
 ),
 s{k} AS (SELECT s.* REPLACE (chosen OR coalesce(b.x.h = s.h, false) AS chosen) FROM s{j} s LEFT JOIN b{k} b USING (source)),
 g{k} AS (SELECT source, gap - coalesce(b.x.size, 0) AS gap FROM g{j} LEFT JOIN b{k} b USING (source)),"""
@@ -217,8 +217,8 @@ c AS (
   FROM d JOIN q USING (source)
 ),
 s0 AS (SELECT doc_id, source, size, h, passes, extra, upto <= extra AND extra > 0 AS chosen FROM c),
-g0 AS (SELECT source, any_value(extra) - coalesce(sum(size) FILTER (chosen), 0) AS gap FROM s0 GROUP BY source),{"".join(_TOP_UP.format(j=k - 1, k=k) for k in range(1, TOP_UPS + 1))}
+g0 AS (SELECT source, any_value(extra) - coalesce(sum(size) FILTER (chosen), 0) AS gap FROM s0 GROUP BY source),{"".join(_TOP_UP.format(j=k - 1, k=k, fits="size <= gap" if k <= TOP_UPS else "size < 2 * gap") for k in range(1, TOP_UPS + 2))}
 z AS (SELECT 1)
 SELECT s.doc_id, CAST(s.size AS BIGINT) AS size, CAST(t.size AS BIGINT) AS source_size, t.target, CAST(s.size * (s.passes + CAST(s.chosen AS INT)) AS BIGINT) AS taken
-FROM s{TOP_UPS} s JOIN t USING (source)
+FROM s{TOP_UPS + 1} s JOIN t USING (source)
 """
