@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilework.llm import linededup, media, mixing, neardup, packing, quality, tokenfile, topk, urls
+from tilework.llm import linededup, lmscore, media, mixing, neardup, packing, quality, tokenfile, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_stupid_backoff": lmscore.op1_stupid_backoff,
     "op2_near_dedup": neardup.op2_near_dedup,
     "op3_line_dedup": linededup.op3_line_dedup,
     "op4_top_k": topk.op4_top_k,
