@@ -1,17 +1,74 @@
-"""The corpus pipeline: stages that take a documents table to packed training sequences."""
+"""The corpus pipeline: from a documents table to packed training sequences.
+
+Each stage is a function of (spark, docs, sf_dir) and works on all that the one before kept. All
+but the last return the columns of documents; `run` writes each result to the shared folder and
+reads it again, so a lost executor never costs a finished stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tilework.llm import linededup, mixing, neardup, packing, quality
+from tilework.llm.storage import materialize
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score for quality 1 is at least the threshold stay."""
+    table = materialize(quality.document_statistics(docs), "quality")
+    model = quality.learn(table, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good(docs, model)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeats of lines are deleted; a document of which no word is left goes."""
+    done = linededup.dedup_lines(docs)
+    emptied = (F.size("removed") > 0) & ~F.col("text").rlike(mixing.WORD)
+    return done.where(~emptied | F.col("text").isNull()).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the one with the least id stays."""
+    found = materialize(neardup.near_duplicates(docs, threshold=80), "groups")
+    kept = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
+    if not again.isEmpty():  # rows that share an id are one document
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id").dropDuplicates(["doc_id"]))
+    return kept.select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the number of copies that meets the sources' targets; those without any go."""
+    mixed, _ = mixing.mix(docs, F.array("source"), mixing.cyclic_weights(docs, "source"), 1.5)
+    copies = mixed.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("copies").alias("__copies")).distinct()
+    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences of 2048 ids."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-#: Stages use a fitted model, iterative grouping and a tokenizer, which SQL can't express.
+#: The stages use a fitted model, iterative grouping and a tokenizer, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, "stage")
     return docs

@@ -175,6 +175,19 @@ def learn(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
     return fit(table.join(known, id_col))
 
 
+def keep_good(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text scores at least the threshold, in one pass without a shuffle."""
+    where = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for first, end, data, offsets in text_slices(batch.column(where)):
+                good = model.score(statistics(data, offsets)) >= threshold
+                yield batch.slice(first, end - first).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = materialize(document_statistics(spark.read.parquet(f"{sf_dir}/documents.parquet")), "quality")
     model = learn(table, spark.read.parquet(f"{sf_dir}/labels.parquet"))
