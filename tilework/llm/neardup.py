@@ -9,10 +9,11 @@ more; long ones stop after one. All documents of a slice of text do a step toget
 2. Each bucket of a band links its members to its least class only: as many candidates as rows.
 3. Candidates whose signatures and sizes allow the threshold are confirmed on their full sets.
 4. Union-find over the confirmed links.
-5. What is left are buckets whose members are still in different components. All pairs of
-   components in them are compared, by blocks of BLOCK members, on signatures; candidates are
-   confirmed on full sets as well, and a last union-find joins both. There is no cap: large mixed
-   buckets take more blocks.
+5. What is left are buckets whose members are still in different components. Their members meet
+   by blocks of BLOCK: a task counts the common shingles of two blocks with one product of
+   incidence matrices, exactly and for all pairs, and returns only links that join components,
+   fewer than it has members. A last union-find joins both. There is no cap: large mixed buckets
+   take more blocks.
 
 Defined results: documents without words have 0 shingles and are linked with nothing; rows that
 share an id are one document (linked if any of their texts is); rows with a null id are not linked
@@ -142,11 +143,8 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     return sized.select("u", "v", "s_u", "s_v").mapInArrow(run, f"u {kind}, v {kind}").distinct()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, size: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
-    pairs = materialize(pairs, "pairs")
-    needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    sets = materialize(_sets(docs.join(needed, "doc_id").select("doc_id", "text"), size), "sets")
     u, v = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "uv")
 
     def run(batches):
@@ -164,22 +162,47 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int, size: int) ->
     return pairs.join(u, "u").join(v, "v").select("u", "v", "s_u", "s_v").mapInArrow(run, f"u {kind}, v {kind}")
 
 
+def _joining_links(node: np.ndarray, label: np.ndarray, sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
+    """Confirmed links between labels among a few members, no more than join what they can join."""
+    size = np.array([len(x) for x in sets])
+    every, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    shared = np.bincount(place, minlength=len(every)) > 1
+    keep = shared[place]
+    column = (np.cumsum(shared) - 1)[place[keep]]
+    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for first in range(0, int(shared.sum()), 1 << 14):  # exact: counts stay below 2^24
+        own = (column >= first) & (column < first + (1 << 14))
+        matrix = np.zeros((len(sets), 1 << 14), dtype=np.float32)
+        matrix[owner[keep][own], column[own] - first] = 1
+        common += matrix @ matrix.T
+    common = common.astype(np.int64)
+    a, b = np.nonzero(np.triu(100 * common >= threshold * (size[:, None] + size[None, :] - common), 1))
+    fits = label[a] != label[b]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(a[fits].tolist(), b[fits].tolist(), strict=True):
+        x, y = find(int(label[i])), find(int(label[j]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((int(node[i]), int(node[j])))
+    return out
+
+
 def _across(members: DataFrame, threshold: int) -> DataFrame:
-    """Likely pairs of members (bucket, node, label, n_shingles, signature) of a bucket with different labels."""
-    count = members.groupBy("bucket").agg(F.count("*").alias("c"))
+    """Links (u, v) that join labels, from members (bucket, node, label, shingles) of mixed buckets."""
+    count = materialize(members.groupBy("bucket").agg(F.count("*").alias("c")), "counts")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     own = members.join(count, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     other = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     key = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = other.select(key.alias("key"), "node", "label", "n_shingles", "signature").repartition("key").sortWithinPartitions("key")
-
-    def pairs(node, label, n, sig):
-        a, b = np.triu_indices(len(node), 1)
-        fits = (label[a] != label[b]) & (node[a] != node[b]) & (100 * np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]))
-        a, b = a[fits], b[fits]
-        fits = (sig[a] == sig[b]).sum(axis=1) >= _agree(threshold)
-        a, b = node[a[fits]], node[b[fits]]
-        return np.minimum(a, b), np.maximum(a, b)
+    dealt = other.select(key.alias("key"), "node", "label", "shingles").repartition("key").sortWithinPartitions("key")
 
     def run(batches):
         rest = None
@@ -187,10 +210,12 @@ def _across(members: DataFrame, threshold: int) -> DataFrame:
         def groups(table, last):
             key = table.column(0).to_numpy()
             ends = [*(np.flatnonzero(key[1:] != key[:-1]) + 1), *([len(key)] * (last and len(key) > 0))]
-            node, label, n = (table.column(i).to_numpy() for i in (1, 2, 3))
-            sig = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint8).reshape(-1, SLOTS)
-            found = [pairs(node[a:b], label[a:b], n[a:b], sig[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=False) if b - a > 1]
-            u, v = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (0, 1))
+            node, label = (table.column(i).to_numpy() for i in (1, 2))
+            found = []
+            for a, b in zip([0, *ends[:-1]], ends, strict=False):
+                if len(set(label[a:b].tolist())) > 1:
+                    found += _joining_links(node[a:b], label[a:b], [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column(3).slice(a, b - a)], threshold)
+            u, v = ([x[i] for x in found] for i in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"]), table.slice(ends[-1] if ends else 0)
 
         for batch in batches:
@@ -210,17 +235,19 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, size: int = SHINGLE, i
     usable = drawn.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "signature"))), "classes")
     buckets = classes.select("node", F.explode("bands").alias("bucket"))
-    least = buckets.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("c")).where("c > 1")
+    # as a table, so that the join has plain shuffles on both sides and a hot bucket can be split
+    least = materialize(buckets.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("c")).where("c > 1"), "pivots")
     members = materialize(buckets.join(least, "bucket").where("node <> pivot").select("bucket", "node", "pivot"), "buckets")
+    needed = materialize(members.select(F.col("node").alias("doc_id")).union(members.select("pivot")).distinct(), "needed")
+    # the same plan at every size: what is needed grows with the input
+    sets = materialize(_sets(docs.join(needed.hint("merge"), "doc_id").select("doc_id", "text"), size), "sets")
     first = members.select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
-    links = materialize(_confirmed(_likely(first, classes, threshold), docs, threshold, size), "links")
+    links = materialize(_confirmed(_likely(first, classes, threshold), sets, threshold), "links")
     labels = components(links)
 
-    named = lambda df: df.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = materialize(named(members.select("bucket", "node")), "members")
-    mixed = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    rest = rest.join(mixed, "bucket").join(classes.select("node", "n_shingles", "signature"), "node")
-    more = _confirmed(_across(rest, threshold), docs, threshold, size)
+    rest = materialize(members.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "members")
+    mixed = materialize(rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket"), "mixed")
+    more = _across(rest.join(mixed, "bucket").join(sets, "node"), threshold)
     labels = components(links.unionByName(more))
 
     ids = classes.select("set_a", "set_b", "node").join(labels, "node", "left").select("set_a", "set_b", F.coalesce("label", "node").alias("component"))
