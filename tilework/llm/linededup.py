@@ -157,7 +157,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text_hash = F.xxhash64(F.col(text_col))
     prints = materialize(_fingerprint_table(docs.select(F.col(id_col).alias("doc_id"), text_hash.alias("text_hash"), F.col(text_col).alias("text"))), "prints")
     place = F.struct("doc_id", "text_hash", "line", "left", "right")
-    firsts = prints.groupBy("print").agg(F.min(place).alias("one"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # as a table, so that the join below has plain shuffles on both sides and a hot fingerprint can be split
+    firsts = materialize(prints.groupBy("print").agg(F.min(place).alias("one"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
     later = prints.join(firsts, "print").where(~(F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("text_hash") == F.col("one.text_hash")) & (F.col("line") == F.col("one.line"))))
     later = later.select("doc_id", "text_hash", "line", "size", "left", "right", F.col("one.left").alias("left_1"), F.col("one.right").alias("right_1"))
     ranges = _extended(later).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "end")).alias("__ranges"))  # a document's own lines
