@@ -77,7 +77,7 @@ def superminhash(row: np.ndarray, h: np.ndarray, n: int, slots: int = SLOTS) ->
 
 
 def _each_slice(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for first, end, data, offsets in text_slices(column, 2 << 20):
+    for first, end, data, offsets in text_slices(column):
         row, h = shingles(words(data, offsets), size)
         yield first, end, row, h
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from tilework.llm.textkit import LOWER, text_slices
 
 #: Bytes of text whose distinct pieces are encoded together.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 8 << 20
 
 #: Pieces that a worker keeps, and the longest that it keeps.
 CACHE_PIECES, CACHE_BYTES = 300_000, 24
