@@ -86,3 +86,15 @@ def gradient_fits(labelled: DataFrame, values: DataFrame) -> DataFrame:
     s = s.selectExpr("*", "a * c - b * b AS det")
     s = s.selectExpr("img_id", "region_id", "n", "sx", "sy", "sv", "CASE WHEN det <> 0 THEN CAST(c * d - b * e AS DOUBLE) / det END AS slope_x", "CASE WHEN det <> 0 THEN CAST(a * e - b * d AS DOUBLE) / det END AS slope_y")
     return s.selectExpr("img_id", "region_id", "n", "slope_x", "slope_y", "(sv - slope_x * sx - slope_y * sy) / n AS base")
+
+
+def accepted_gradients(fits: DataFrame, labelled: DataFrame, values: DataFrame) -> DataFrame:
+    """(img_id, region_id, n, plane_error, flat_error, is_gradient): whether a region's plane matches its pixels at least as well as a flat fill.
+
+    Errors are sums of squares; a gradient also has to vary by more than two levels over its region.
+    """
+    own = labelled.join(values, ["img_id", "x", "y"]).join(fits.where("slope_x IS NOT NULL"), ["img_id", "region_id"])
+    guess = F.col("base") + F.col("slope_x") * F.col("x") + F.col("slope_y") * F.col("y")
+    s = own.groupBy("img_id", "region_id", "n").agg(F.sum((F.col("v") - guess) * (F.col("v") - guess)).alias("plane_error"), F.sum(F.col("v") * F.col("v")).alias("sq"), F.sum("v").alias("s"), (F.max(guess) - F.min(guess)).alias("range"))
+    flat = F.col("sq") - F.col("s") * F.col("s") / F.col("n")
+    return s.select("img_id", "region_id", "n", "plane_error", flat.alias("flat_error"), ((F.col("plane_error") <= flat / 2) & (F.col("range") > 2)).alias("is_gradient"))

@@ -3,8 +3,8 @@
 A chain is a piece of border between the same two regions, from junction to junction (a lattice
 point where three sides or more meet), or a closed loop. Each is fitted once and used by both
 regions, so neighbours meet exactly. Outside the picture is region -1. Sides, junctions and
-pairs are relational; only walking along one pair's sides is done by a grouped function, whose
-groups are single borders.
+pairs are relational; only walking along a pair's sides is done by a grouped function, whose
+groups are some of a picture's borders: a small picture is one group, a large one many.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OUTSIDE = -1
+#: Sides or chains that a grouped task gets, about.
+GROUP_ROWS = 20_000
 
 
 def boundary_sides(labelled: DataFrame) -> DataFrame:
@@ -111,52 +113,74 @@ def chains(labelled: DataFrame, tolerance: float = 0.0) -> DataFrame:
     for end in "ab":
         marked = marked.join(stops.select("img_id", F.col("x").alias(f"{end}x"), F.col("y").alias(f"{end}y"), F.col("stop").alias(f"{end}_stop")), ["img_id", f"{end}x", f"{end}y"], "left")
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = set(pdf.loc[pdf["a_stop"].notna(), ["ax", "ay"]].itertuples(index=False, name=None)) | set(pdf.loc[pdf["b_stop"].notna(), ["bx", "by"]].itertuples(index=False, name=None))
+    def fit(table: pa.Table) -> pa.Table:
+        pairs: dict[tuple[int, int], tuple[list, set]] = {}
+        name = table["img_id"][0]
+        for r in table.to_pylist():
+            sides, own = pairs.setdefault((r["left"], r["right"]), ([], set()))
+            sides.append((r["ax"], r["ay"], r["bx"], r["by"]))
+            own.update(p for p, stop in (((r["ax"], r["ay"]), r["a_stop"]), ((r["bx"], r["by"]), r["b_stop"])) if stop)
         rows = []
-        for i, c in enumerate(walk(list(pdf[["ax", "ay", "bx", "by"]].itertuples(index=False, name=None)), own)):
-            closed = c[0] == c[-1]
-            nodes = simplified(_straight(c, closed and c[0] not in own), tolerance)
-            rows.append((i, closed, [{"x": float(x), "y": float(y)} for x, y in nodes]))
-        first = pdf.iloc[0]
-        return pd.DataFrame({"img_id": first["img_id"], "left": first["left"], "right": first["right"], "chain": [r[0] for r in rows], "closed": [r[1] for r in rows], "nodes": [r[2] for r in rows]})
+        for (left, right), (sides, own) in sorted(pairs.items()):
+            for i, c in enumerate(walk(sides, own)):
+                closed = c[0] == c[-1]
+                rows.append((left, right, i, closed, simplified(_straight(c, closed and c[0] not in own), tolerance)))
+        return pa.table({"img_id": pa.array([name.as_py()] * len(rows), name.type), "left": pa.array([r[0] for r in rows], pa.int64()), "right": pa.array([r[1] for r in rows], pa.int64()), "chain": pa.array([r[2] for r in rows], pa.int32()), "closed": pa.array([r[3] for r in rows], pa.bool_()), "nodes": _node_lists([r[4] for r in rows])})
 
     kind = labelled.schema["img_id"].dataType.simpleString()
-    return marked.groupBy("img_id", "left", "right").applyInPandas(fit, f"img_id {kind}, left long, right long, chain int, closed boolean, nodes array<struct<x: double, y: double>>")
+    return _slotted(marked, ["left", "right"]).groupBy("img_id", "slot").applyInArrow(fit, f"img_id {kind}, left long, right long, chain int, closed boolean, nodes array<struct<x: double, y: double>>")
+
+
+def _slotted(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df with a slot for each key, as many a picture as it has GROUP_ROWS rows: small pictures are one group, large ones many."""
+    size = df.groupBy("img_id").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("slots"))
+    return df.join(size, "img_id").withColumn("slot", F.pmod(F.xxhash64(*keys), F.col("slots")).cast("int")).drop("slots")
+
+
+def _node_lists(nodes: list[list[tuple[float, float]]]) -> pa.Array:
+    return pa.array([[{"x": float(x), "y": float(y)} for x, y in n] for n in nodes], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
 
 
 def rings(chain_table: DataFrame) -> DataFrame:
     """(img_id, region_id, ring, is_hole, area, nodes): each region's outlines from its chains, signed area by the shoelace rule."""
     both = chain_table.select("img_id", F.col("right").alias("region_id"), "nodes").unionByName(chain_table.where(F.col("left") != OUTSIDE).select("img_id", F.col("left").alias("region_id"), F.reverse("nodes").alias("nodes")))
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [[(p["x"], p["y"]) for p in nodes] for nodes in pdf["nodes"]]
-        out: dict[tuple[float, float], list[list]] = {}
-        for p in sorted(parts):
-            out.setdefault(p[0], []).append(p)
-        closed = []
-        for start in sorted(out):
-            while out[start]:
-                ring = list(out[start].pop(0))
-                while True:
-                    # where a region touches itself at a point, its outline turns right: so it stays 4-connected
-                    options = [(_turn(ring[-2], ring[-1], o[1]), i) for i, o in enumerate(out[ring[-1]])]
-                    if ring[-1] == ring[0]:
-                        options.append((_turn(ring[-2], ring[-1], ring[1]), -1))
-                    _, best = max(options)
-                    if best < 0:
-                        break
-                    ring += out[ring[-1]].pop(best)[1:]
-                closed.append(ring)
+    def join(table: pa.Table) -> pa.Table:
+        regions: dict[int, list] = {}
+        name = table["img_id"][0]
+        for r in table.to_pylist():
+            regions.setdefault(r["region_id"], []).append([(p["x"], p["y"]) for p in r["nodes"]])
         rows = []
-        for i, ring in enumerate(sorted(closed)):
-            area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring[:-1], ring[1:], strict=True)) / 2
-            rows.append((i, area < 0, area, [{"x": x, "y": y} for x, y in ring]))
-        first = pdf.iloc[0]
-        return pd.DataFrame({"img_id": first["img_id"], "region_id": first["region_id"], "ring": [r[0] for r in rows], "is_hole": [r[1] for r in rows], "area": [r[2] for r in rows], "nodes": [r[3] for r in rows]})
+        for region, parts in sorted(regions.items()):
+            for i, ring in enumerate(sorted(_joined(parts))):
+                area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring[:-1], ring[1:], strict=True)) / 2
+                rows.append((region, i, area, ring))
+        return pa.table({"img_id": pa.array([name.as_py()] * len(rows), name.type), "region_id": pa.array([r[0] for r in rows], pa.int64()), "ring": pa.array([r[1] for r in rows], pa.int32()), "is_hole": pa.array([r[2] < 0 for r in rows], pa.bool_()), "area": pa.array([r[2] for r in rows], pa.float64()), "nodes": _node_lists([r[3] for r in rows])})
 
     kind = chain_table.schema["img_id"].dataType.simpleString()
-    return both.groupBy("img_id", "region_id").applyInPandas(join, f"img_id {kind}, region_id long, ring int, is_hole boolean, area double, nodes array<struct<x: double, y: double>>")
+    return _slotted(both, ["region_id"]).groupBy("img_id", "slot").applyInArrow(join, f"img_id {kind}, region_id long, ring int, is_hole boolean, area double, nodes array<struct<x: double, y: double>>")
+
+
+def _joined(parts: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
+    """Closed rings of chains that go on where others end."""
+    out: dict[tuple[float, float], list[list]] = {}
+    for p in sorted(parts):
+        out.setdefault(p[0], []).append(p)
+    closed = []
+    for start in sorted(out):
+        while out[start]:
+            ring = list(out[start].pop(0))
+            while True:
+                # where a region touches itself at a point, its outline turns right: so it stays 4-connected
+                options = [(_turn(ring[-2], ring[-1], o[1]), i) for i, o in enumerate(out[ring[-1]])]
+                if ring[-1] == ring[0]:
+                    options.append((_turn(ring[-2], ring[-1], ring[1]), -1))
+                _, best = max(options)
+                if best < 0:
+                    break
+                ring += out[ring[-1]].pop(best)[1:]
+            closed.append(ring)
+    return closed
 
 
 def _turn(a, b, c) -> float:
@@ -215,3 +239,40 @@ def fit_primitives(regions: DataFrame, moments: DataFrame, slack: float = 0.06)
     round_ = (F.col("area") >= 12) & (F.abs(ideal - F.col("area")) <= slack * F.col("area")) & upright & (F.abs(w * h * (math.pi / 4) - F.col("area")) <= 2 * slack * F.col("area"))
     kind = F.when(w * h == F.col("area"), "rectangle").when(round_ & (F.abs(w - h) <= slack * w), "circle").when(round_, "ellipse")
     return both.where(kind.isNotNull()).select("img_id", "region_id", kind.alias("primitive"), (F.col("cx") + 0.5).alias("cx"), (F.col("cy") + 0.5).alias("cy"), (w / 2).alias("rx"), (h / 2).alias("ry"))
+
+
+def regularized(chain_table: DataFrame, strength: float) -> DataFrame:
+    """Chains whose node coordinates are drawn to whole and half pixels by a share from 0 to 1 (our meaning).
+
+    It's the same for both sides of a border and for all chains of a junction, so shapes still meet.
+    """
+    if not 0 <= strength <= 1:
+        raise ValueError("strength is from 0 to 1")
+    pull = lambda v: v + (F.round(v * 2) / 2 - v) * strength
+    return chain_table.withColumn("nodes", F.transform("nodes", lambda p: F.struct(pull(p["x"]).alias("x"), pull(p["y"]).alias("y"))))
+
+
+def curve_nodes(nodes: Column | str, corner_degrees: float = 60.0) -> Column:
+    """Nodes with handles: cubic curves through a closed outline, straight into and out of its corners.
+
+    A node at which the outline turns by more than corner_degrees is a corner; the handles of the
+    others lie along the line from the node before to the node after, a sixth of it long.
+    """
+    n = F.col(nodes) if isinstance(nodes, str) else nodes
+    size = F.size(n) - 1  # the last node repeats the first
+
+    def node(p, i):
+        a, b = F.get(n, F.pmod(i - 1, size)), F.get(n, F.pmod(i + 1, size))
+        d = F.atan2(b["y"] - p["y"], b["x"] - p["x"]) - F.atan2(p["y"] - a["y"], p["x"] - a["x"])
+        corner = F.abs(F.pmod(d + math.pi, F.lit(2 * math.pi)) - math.pi) > math.radians(corner_degrees)
+        dx, dy = (F.when(corner, 0.0).otherwise((b[c] - a[c]) / 6) for c in "xy")
+        return F.struct(p["x"].alias("x"), p["y"].alias("y"), corner.alias("corner"), (p["x"] - dx).alias("in_x"), (p["y"] - dy).alias("in_y"), (p["x"] + dx).alias("out_x"), (p["y"] + dy).alias("out_y"))
+
+    return F.transform(F.slice(n, F.lit(1), F.greatest(size, F.lit(0))), node)
+
+
+def without_short_pieces(nodes: Column | str, length: float = 1.0) -> Column:
+    """An outline without inner nodes nearer to their predecessor than `length`: a rounded corner keeps two nodes, not three."""
+    n = F.col(nodes) if isinstance(nodes, str) else nodes
+    near = lambda p, i: F.hypot(p["x"] - F.get(n, i - 1)["x"], p["y"] - F.get(n, i - 1)["y"]) < length
+    return F.filter(n, lambda p, i: (i == 0) | (i == F.size(n) - 1) | ~near(p, i))

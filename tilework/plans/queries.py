@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilework.operators import colours, inspect, layers, prepare, regions
-from tilework.sources import tiles
+from tilework.operators import colours, edit, inspect, layers, prepare, regions, trace
+from tilework.plans import vectorize
+from tilework.sources import drawings, pictures, tiles
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,6 +298,48 @@ SELECT reg.img_id, count(*) AS regions, count(DISTINCT rgb) AS colours, max(area
 )
 
 
+_add(
+    "ring_areas",
+    lambda s, d: trace.rings(trace.chains(_labelled(s, d))).groupBy("img_id", "region_id").agg(F.sum("area").cast("long").alias("area")),
+    f"{_PX}{_REG} SELECT img_id, region_id, area FROM reg",
+)
+
+
+def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(img_id, wrong): pixels that a drawing gives back in another colour than the raster has."""
+    px = _pixels(spark, sf_dir)
+    shapes, sizes = vectorize.trace_pictures(px)
+    files = drawings.drawings(shapes, sizes, "svg")
+    back = pictures.image_pixels(pictures.decoded(files, "svg").withColumn("img_id", F.col("img_id").cast("string")))
+    both = px.select(F.col("img_id").cast("string").alias("img_id"), "x", "y", "rgb").join(back.select("img_id", "x", "y", F.col("rgb").alias("again")), ["img_id", "x", "y"], "left")
+    return both.groupBy(F.col("img_id").cast("long").alias("img_id")).agg(F.count(F.when(~F.col("rgb").eqNullSafe(F.col("again")), 1)).alias("wrong"))
+
+
+_add("svg_round_trip", _drawn, "SELECT CAST(vec_id AS BIGINT) AS img_id, CAST(0 AS BIGINT) AS wrong FROM embeddings")
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the shapes after a log that deletes lone pixels, restores those in the first row, and is undone where a raster's number is even."""
+    table = regions.region_table(_runs(spark, sf_dir))
+    small = table.where("area = 1")
+    log = small.select("img_id", F.col("region_id").alias("seq"), F.lit("delete").alias("op"), "region_id", F.lit(None).cast("long").alias("other"))
+    log = log.unionByName(small.where("y0 = 0").select("img_id", (F.col("region_id") + (1 << 30)).alias("seq"), F.lit("restore").alias("op"), "region_id", F.lit(None).cast("long").alias("other")))
+    undone = log.where("img_id % 2 = 0").withColumns({"seq": F.col("seq") + (1 << 40), "op": F.lit("undo")})
+    done = edit.effective_edits(log.unionByName(undone))
+    return edit.without_deleted(table, done).select("img_id", "region_id", "area")
+
+
+_add("edited_shapes", _edited, f"{_PX}{_REG} SELECT img_id, region_id, area FROM reg WHERE area > 1 OR y0 = 0 OR img_id % 2 = 0")
+_add(
+    "gradient_choice",
+    lambda s, d: colours.accepted_gradients(colours.gradient_fits(_labelled(s, d), _values(s, d)), _labelled(s, d), _values(s, d)).select("img_id", "region_id", "n", F.col("flat_error").cast("decimal(18,3)").cast("double").alias("flat_error")),
+    f"""{_PX}{_REG}, s AS (SELECT img_id, region_id, count(*) AS n, sum(x)::BIGINT AS sx, sum(y)::BIGINT AS sy, sum(x * x)::BIGINT AS sxx, sum(x * y)::BIGINT AS sxy, sum(y * y)::BIGINT AS syy,
+  sum(v)::BIGINT AS sv, sum(v * v)::BIGINT AS sq FROM lab JOIN v8 USING (img_id, x, y) GROUP BY img_id, region_id)
+SELECT img_id, region_id, n, CAST(CAST(sq - CAST(sv * sv AS DOUBLE) / n AS DECIMAL(18,3)) AS DOUBLE) AS flat_error FROM s
+WHERE (n * sxx - sx * sx) * (n * syy - sy * sy) - (n * sxy - sx * sy) * (n * sxy - sx * sy) <> 0""",
+)
+
+
 def queries() -> dict[str, Query]:
     return {name: run for name, (run, _) in REGISTRY.items()} | REDUCED_ROWS_ONLY
 

@@ -43,6 +43,10 @@ def trace_pictures(pixels: DataFrame, settings: Settings = Settings()) -> tuple[
     # pictures of a kind share a tolerance; pixel art keeps every pixel
     tolerance = settings.tolerance("pixel_art" if kind == "auto" else kind)
     outline = trace.chains(labelled, tolerance)
+    if settings.regularize:
+        outline = trace.regularized(outline, settings.regularize)
+    if settings.straighten != "auto" and float(settings.straighten) > 0:  # a border of two nodes or a loop that starts at no junction may move
+        outline = outline.withColumn("nodes", F.when(F.size("nodes") > 2, trace.smoothed("nodes", 1.0)).otherwise(F.col("nodes")))
     ring = trace.rings(outline).groupBy("img_id", "region_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ring", "nodes"))), lambda s: s["nodes"]).alias("rings"))
     stacked = layers.stack_order(table).join(layers.colour_groups(table).select("img_id", "region_id", "group_id"), ["img_id", "region_id"])
     if settings.primitives:

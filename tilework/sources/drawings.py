@@ -39,13 +39,42 @@ def svg_paths(shapes: DataFrame) -> DataFrame:
     return shapes.select("img_id", "z", F.concat(F.lit('<path fill="'), hex_colour(F.col("rgb")), F.lit('" fill-rule="evenodd" d="'), d, F.lit('"/>')).alias("path"))
 
 
+def svg_curves(nodes: Column) -> Column:
+    """The path data of one closed outline of nodes with handles, as trace.curve_nodes makes them."""
+    number = lambda v: F.regexp_replace(F.format_string("%.3f", v), r"\.?0+$", "")
+    pair = lambda p, x, y: F.concat(number(p[x]), F.lit(" "), number(p[y]))
+    size = F.size(nodes)
+
+    def piece(p: Column, i: Column) -> Column:
+        q = F.get(nodes, F.pmod(i + 1, size))
+        curve = F.concat(F.lit("C"), pair(p, "out_x", "out_y"), F.lit(" "), pair(q, "in_x", "in_y"), F.lit(" "), pair(q, "x", "y"))
+        return F.when(p["corner"] & q["corner"], F.concat(F.lit("L"), pair(q, "x", "y"))).otherwise(curve)
+
+    first = F.get(nodes, F.lit(0))
+    return F.concat(F.lit("M"), pair(first, "x", "y"), F.array_join(F.transform(nodes, piece), ""), F.lit("Z"))
+
+
+def svg_pattern_fills(tiles: DataFrame, pixels: DataFrame, side: int = 4) -> DataFrame:
+    """(img_id, x, y, svg): a pattern and a rectangle filled with it for each repeating block of inspect.dither_tiles.
+
+    One period of pixels stands for the whole block, which draws the same to the pixel.
+    """
+    inside = tiles.select("img_id", F.col("x").alias("bx"), F.col("y").alias("by"), "period").join(pixels.select("img_id", "x", "y", "rgb"), "img_id").where("x >= bx AND x < bx + period AND y >= by AND y < by + period")
+    rect = F.format_string('<rect x="%d" y="%d" width="1" height="1" fill="%s"/>', F.col("x") % F.col("period"), F.col("y") % F.col("period"), hex_colour(F.col("rgb")))
+    body = inside.groupBy("img_id", "bx", "by", "period").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", rect.alias("r")))), lambda s: s["r"]), "").alias("body"))
+    name = F.format_string("p%d-%d", "bx", "by")
+    pattern = F.format_string('<pattern id="%s" width="%d" height="%d">%s</pattern><rect x="%d" y="%d" width="%d" height="%d" fill="url(#%s)"/>', name, "period", "period", "body", "bx", "by", F.lit(side), F.lit(side), name)
+    return body.select("img_id", F.col("bx").alias("x"), F.col("by").alias("y"), pattern.alias("svg"))
+
+
 def svg_documents(shapes: DataFrame, sizes: DataFrame) -> DataFrame:
     """(img_id, svg): a drawing of each picture."""
     parts = svg_paths(shapes).groupBy("img_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("z", "path"))), lambda s: s["path"]), "").alias("body"))
     return sizes.join(parts, "img_id", "left").select("img_id", F.format_string('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 %d %d">%s</svg>', "width", "height", F.coalesce("body", F.lit(""))).alias("svg"))
 
 
-def write_svg(width: int, height: int, shapes: list[Shape], decimals: int = 2, smallest: bool = False) -> bytes:
+def write_svg(width: int, height: int, shapes: list[Shape], decimals: int = 2, smallest: bool = False, stroke: float = 0) -> bytes:
+    """stroke: the width of a line of the fill's colour round each shape, 0 for none."""
     def ring(r: Ring) -> str:
         n = lambda v: _number(v, decimals)
         if not smallest:
@@ -57,7 +86,8 @@ def write_svg(width: int, height: int, shapes: list[Shape], decimals: int = 2, s
         return out + "Z"
 
     def run(rgb: int, rings: list[Ring]) -> str:
-        return f'<path fill="#{rgb:06x}" fill-rule="evenodd" d="{"".join(map(ring, rings))}"/>'
+        line = f' stroke="#{rgb:06x}" stroke-width="{stroke:g}"' if stroke else ""
+        return f'<path fill="#{rgb:06x}" fill-rule="evenodd"{line} d="{"".join(map(ring, rings))}"/>'
 
     if smallest:  # neighbours in the order that share a fill and don't overlap draw the same as one path
         merged: list[Shape] = []

@@ -228,6 +228,23 @@ def read_files(spark: SparkSession, paths: list[str], most: int = MAX_PIXELS) ->
     return files.mapInPandas(decode, SCHEMA)
 
 
+def decoded(files: DataFrame, kind: str, most: int = MAX_PIXELS) -> DataFrame:
+    """images from (img_id, content) of one kind; img_id keeps its type."""
+    read = READERS[kind]
+
+    def decode(frames):
+        for pdf in frames:
+            rows = []
+            for name, content in zip(pdf["img_id"], pdf["content"], strict=True):
+                try:
+                    rows.append((name, str(name), *(x := read(bytes(content), most))[:2], 4, x[2], None))
+                except Exception as e:  # noqa: BLE001  whatever a hostile file provokes becomes its row's error
+                    rows.append((name, str(name), None, None, None, None, f"{type(e).__name__}: {e}"[:300]))
+            yield pd.DataFrame(rows, columns=["img_id", "path", "width", "height", "channels", "pixels", "error"])
+
+    return files.select("img_id", "content").mapInPandas(decode, SCHEMA.replace("img_id string", f"img_id {files.schema['img_id'].dataType.simpleString()}"))
+
+
 def read_images(spark: SparkSession, paths: list[str], most: int = MAX_PIXELS) -> DataFrame:
     """images from PNG, JPEG and other files that Spark's image source decodes; its BGR(A) bytes become RGBA."""
     raw = spark.read.format("image").load(paths).select("image.*")
