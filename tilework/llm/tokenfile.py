@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilework.llm.storage import shared_dir
 from tilework.llm.tokens import batches_of_ids
+from tilework.storage import shared_dir
 
 
 def _schema(id_type: str) -> str:
