@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from tilework.llm.textkit import Words, mix, text_slices, words
 
 BACKOFF = 0.4
-BLOCK_BYTES = 12 << 20
+#: Bytes of text of a block, and the least where there would be fewer blocks than cores.
+BLOCK_BYTES, LEAST_BYTES = 12 << 20, 1 << 20
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -103,7 +104,8 @@ def stupid_backoff(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text
     words_in = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
     size = own.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(words_in).alias("n")).first()
     total = int(size["n"] or 0)
-    blocks = max(1, -(-int(size["bytes"] or 0) // BLOCK_BYTES))
+    large, small = (-(-int(size["bytes"] or 0) // n) for n in (BLOCK_BYTES, LEAST_BYTES))
+    blocks = max(1, large, min(small, 2 * own.sparkSession.sparkContext.defaultParallelism))  # all cores get some
     parts = blocks
     dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.crc32(F.coalesce("text", F.lit("")))), F.lit(blocks)).cast("int"))
 
