@@ -52,7 +52,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     encoded = ordered.mapInArrow(run, _schema(docs.schema[id_col].dataType.simpleString()))
     (
-        encoded.write.option("orc.compress", "zstd")
+        encoded.write.option("orc.compress", "snappy")
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", "2000")
         .option("orc.stripe.size", str(32 << 20))

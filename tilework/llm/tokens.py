@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from tilework.llm.textkit import LOWER, text_slices
 
 #: Bytes of text whose distinct pieces are encoded together.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 #: Pieces that a worker keeps, and the longest that it keeps.
 CACHE_PIECES, CACHE_BYTES = 300_000, 24
@@ -61,14 +61,17 @@ class Encoder:
 
     def _encode(self, pieces: list[bytes]) -> list[bytes]:
         """Each piece's ids as 32-bit integers."""
-        cache = self.cache
-        got = [cache.get(x) for x in pieces]
+        cache, alone = self.cache, []
+        got = list(map(cache.get, pieces))
         missing = [i for i, x in enumerate(got) if x is None]
-        together = [i for i in missing if _TOGETHER(pieces[i])]
-        alone = [i for i in missing if not _TOGETHER(pieces[i])]
-        for first in range(0, len(together), 2048):
-            own = together[first : first + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join([pieces[i].decode() for i in own])], add_special_tokens=False)[0].ids, dtype="<u4")
+        together = []
+        for i in missing:
+            (together if _TOGETHER(pieces[i]) else alone).append(i)
+        between = self.between.encode()
+        for first in range(0, len(together), 4096):
+            own = together[first : first + 4096]
+            text = between.join([pieces[i] for i in own]).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             at = np.flatnonzero(ids == self.between_id)
             if len(at) != len(own) - 1:  # a piece has that id itself
                 alone += own
@@ -80,11 +83,8 @@ class Encoder:
             own = alone[first : first + 1024]
             for i, e in zip(own, self.tokenizer.encode_batch_fast([pieces[i].decode() for i in own], add_special_tokens=False), strict=True):
                 got[i] = np.array(e.ids, dtype="<u4").tobytes()
-        for i in missing:
-            if len(cache) >= CACHE_PIECES:
-                break
-            if len(pieces[i]) <= CACHE_BYTES:
-                cache[pieces[i]] = got[i]
+        if len(cache) < CACHE_PIECES:
+            cache.update([(pieces[i], got[i]) for i in missing[: CACHE_PIECES - len(cache)] if len(pieces[i]) <= CACHE_BYTES])
         return got
 
     def slice_ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,16 +119,16 @@ class Encoder:
         ends = np.append(start[1:], size)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, size)), pa.py_buffer(data)])
         coded = pc.dictionary_encode(pieces)
+        code = coded.indices.to_numpy()
         ids = self._encode(coded.dictionary.to_pylist())
         flat = np.frombuffer(b"".join(ids), dtype="<u4")
         length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         begin = np.cumsum(length) - length
-        code = coded.indices.to_numpy()
         own = length[code]
         place = np.cumsum(own)
         out = flat[np.arange(place[-1]) + np.repeat(begin[code] - (place - own), own)]
-        row = np.searchsorted(offsets, start, side="right") - 1
-        return out, np.bincount(row, weights=own, minlength=n).astype(np.int64)
+        edges = np.concatenate([[0], place])[np.searchsorted(start, offsets)]  # a text starts where a piece does
+        return out, np.diff(edges)
 
 
 _encoders: dict[str, Encoder] = {}
