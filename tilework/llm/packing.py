@@ -27,6 +27,8 @@ from tilework.llm.tokens import batches_of_ids
 from tilework.storage import materialize
 
 LENGTH, WINDOWS, MERGE = 2048, 16, 256
+#: Bytes of text encoded together.
+SLICE_BYTES = 8 << 20
 
 #: A piece: document, first id, ids, ids of the document.
 Piece = tuple[object, int, np.ndarray, int]
@@ -140,18 +142,18 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, id_
     def run(batches):
         part, packer, kind = TaskContext.get().partitionId(), Packer(length), pa.int64()
         for batch in batches:
-            kind = batch.column(0).type
-            for first, _, ids, sizes in batches_of_ids(batch.column(1), tokenizer, end_id):
+            kind, names = batch.column(0).type, batch.column(0).to_pylist()
+            for first, _, ids, sizes in batches_of_ids(batch.column(1), tokenizer, end_id, SLICE_BYTES):
                 ids, ends = ids.astype(np.int32), np.cumsum(sizes)
                 for i, (a, b) in enumerate(zip(ends - sizes, ends, strict=True)):
-                    packer.add(batch.column(0)[first + i].as_py(), ids[a:b])
+                    packer.add(names[first + i], ids[a:b])
                 yield _rows(packer.done, kind, part, 0)
                 packer.done = []
         rest = packer.close()
         yield _rows(packer.done, kind, part, 0)
         yield _rows([(packer.number, rest)] if rest else [], kind, part, 0, rest=True)
 
-    packed = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema), "packed")
+    packed = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema), "packed", "snappy")
     out, level = packed.where("NOT rest"), 0
     while True:
         level += 1
