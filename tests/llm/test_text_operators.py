@@ -133,6 +133,34 @@ def test_ids_of_odd_texts(path):
     assert k == len(texts)
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_added_tokens_in_texts_are_one_id(path):
+    import random
+
+    plain = Tokenizer.from_file(path)  # as it comes
+    r = random.Random(2)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "<", "|>", " ", "\n", "a", "b c", "'s", ".", "é", "中", "\u3000"]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 12))) for _ in range(3000)] + ["x <|endof", "text|> y", "", None, "<|endoftext|>"]
+    k = 0
+    for _, _, ids, length in tokens.batches_of_ids(pa.array(texts), path, 7, 5000, added=True):
+        for own in np.split(ids, np.cumsum(length)[:-1]):
+            assert [*plain.encode(texts[k] or "", add_special_tokens=False).ids, 7] == own.tolist(), texts[k]
+            k += 1
+    assert k == len(texts)
+
+
+def test_operators_take_added_tokens(spark, tmp_path):
+    texts = ["before <|endoftext|> after", "none here", "<|endoftext|><|startoftext|>"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    path = f"file://{tmp_path}/tokens"
+    tokenfile.write_tokens(docs, path, BYTES, 2)
+    plain = [Tokenizer.from_file(p) for p in (BYTES, WORDS)]
+    want = [[[*p.encode(t, add_special_tokens=False).ids, 2] for t in texts] for p in plain]
+    assert [x.tokens for x in sorted(tokenfile.read_tokens(spark, path).collect(), key=lambda x: x.start)] == want[0]
+    packed = packing.pack(docs, WORDS, 2, length=2048).collect()
+    assert {x.doc_id: x.ids for x in packed} == dict(enumerate(want[1]))
+
+
 def test_token_files_read_back(spark, tmp_path):
     path = f"file://{tmp_path}/tokens"
     rows = corpus()

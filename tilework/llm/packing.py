@@ -143,7 +143,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, id_
         part, packer, kind = TaskContext.get().partitionId(), Packer(length), pa.int64()
         for batch in batches:
             kind, names = batch.column(0).type, batch.column(0).to_pylist()
-            for first, _, ids, sizes in batches_of_ids(batch.column(1), tokenizer, end_id, SLICE_BYTES):
+            for first, _, ids, sizes in batches_of_ids(batch.column(1), tokenizer, end_id, SLICE_BYTES, added=True):
                 ids, ends = ids.astype(np.int32), np.cumsum(sizes)
                 for i, (a, b) in enumerate(zip(ends - sizes, ends, strict=True)):
                     packer.add(names[first + i], ids[a:b])

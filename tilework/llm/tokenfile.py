@@ -40,7 +40,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     def run(batches):
         shard, place = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for first, end, ids, length in batches_of_ids(batch.column(1), tokenizer, end_id):
+            for first, end, ids, length in batches_of_ids(batch.column(1), tokenizer, end_id, added=True):
                 at = place + np.cumsum(length) - length
                 place += len(ids)
                 yield pa.RecordBatch.from_arrays(

@@ -6,10 +6,15 @@ across such a cut, and what they do beside it doesn't depend on the other side,
 pieces are the ids of the text. The same holds between an ASCII letter and a mark other than the
 apostrophe, on either side. Most pieces occur again and again; each distinct one of a slice is
 encoded once, and common short ones once in a worker's life (a bounded cache).
+
+Strings of the tokenizer's added tokens (`<|endoftext|>`) are found first, in the unchanged text;
+each is its one id, and what lies between two of them is encoded like a text of its own, as the
+library does.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -51,7 +56,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # the pieces hold none of their strings
+        with open(path, encoding="utf-8") as file:
+            added = json.load(file).get("added_tokens") or []
+        if any(not x["special"] or x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"] for x in added):
+            raise ValueError(f"{path}: added tokens that take more than their own string aren't supported")
+        self.added = {x["content"].encode(): x["id"] for x in added}
+        self.find_added = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))).search
         self.cache: dict[bytes, bytes] = {}
         normal = str(self.tokenizer.normalizer)
         self.lower = "Lowercase" in normal  # then pieces that differ in ASCII case only have the same ids
@@ -130,6 +141,41 @@ class Encoder:
         edges = np.concatenate([[0], place])[np.searchsorted(start, offsets)]  # a text starts where a piece does
         return out, np.diff(edges)
 
+    def _added_in(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+        """(begin, end, id) of the added tokens' strings inside texts, the leftmost and longest first."""
+        raw, out, at = data.tobytes(), [], 0
+        if not any(x in raw for x in self.added):
+            return out
+        while found := self.find_added(raw, at):
+            begin, at = found.span()
+            if offsets[np.searchsorted(offsets, begin, side="right")] < at:  # it goes on in the next text
+                # a shorter one may still fit at the same place
+                fits = [x for x in self.added if raw.startswith(x, begin) and offsets[np.searchsorted(offsets, begin, side="right")] >= begin + len(x)]
+                at = begin + len(max(fits, key=len)) if fits else begin + 1
+                if not fits:
+                    continue
+            out.append((begin, at, self.added[raw[begin:at]]))
+        return out
+
+    def slice_ids_added(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As slice_ids, with one id for each string of an added token."""
+        found = self._added_in(data, offsets)
+        if not found:
+            return self.slice_ids(data, offsets)
+        begin, end, added = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True))
+        bounds = np.sort(np.concatenate([offsets, begin, end]))
+        ids, length = self.slice_ids(data, bounds)
+        own = np.searchsorted(bounds, begin, side="right") - 1  # the segment that starts there and isn't empty
+        first = np.cumsum(length)[own] - length[own]
+        segment = np.repeat(np.arange(len(length)), length)
+        keep = ~np.isin(segment, own)
+        keep[first] = True
+        ids = ids.copy()
+        ids[first] = added
+        length[own] = 1
+        edges = np.concatenate([[0], np.cumsum(length)])[np.searchsorted(bounds, offsets)]
+        return ids[keep], np.diff(edges)
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -141,9 +187,13 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def batches_of_ids(column: pa.Array, path: str, end_id: int, limit: int = SLICE_BYTES):
-    """(first row, end row, ids, lengths) of slices; each text's ids are followed by end_id."""
+def batches_of_ids(column: pa.Array, path: str, end_id: int, limit: int = SLICE_BYTES, added: bool = False):
+    """(first row, end row, ids, lengths) of slices; each text's ids are followed by end_id.
+
+    With `added`, strings of added tokens are those tokens, else ordinary text.
+    """
     coder = encoder(path)
+    own = coder.slice_ids_added if added else coder.slice_ids
     for first, end, data, offsets in text_slices(column, limit):
-        ids, length = coder.slice_ids(data, offsets)
+        ids, length = own(data, offsets)
         yield first, end, np.insert(ids, np.cumsum(length), end_id), length + 1
