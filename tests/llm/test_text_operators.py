@@ -51,6 +51,25 @@ def test_scores_equal_brute_force(spark, monkeypatch, order):
     assert lmscore.stupid_backoff(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_the_query_scores_with_trigrams(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(["a b c d a", "x b c e a b", "a b c", "c b a d"])]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x.log_score for x in lmscore.op1_stupid_backoff(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(4)] == pytest.approx(brute_scores(rows, 3))
+    assert brute_scores(rows, 3) != pytest.approx(brute_scores(rows, 2))
+
+
+def test_cells_unpack():
+    r = np.random.default_rng(0)
+    for n in (1, 2, 1000):
+        h = np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64))
+        assert (lmscore._from_deltas(lmscore._deltas(h)) == h).all()
+        x = r.integers(1, 600, n)
+        assert (lmscore._wide(lmscore._narrow(x)) == x).all()
+    ends = np.array([0, (1 << 64) - 1], np.uint64)
+    assert (lmscore._from_deltas(lmscore._deltas(ends)) == ends).all()
+
+
 # --- line dedup
 
 

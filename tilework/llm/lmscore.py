@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from tilework.llm.textkit import Words, mix, text_slices, words
 
 BACKOFF = 0.4
+#: The longest n-grams of the registered query.
+ORDER = 3
 #: Bytes of text of a block, and the least where there would be fewer blocks than cores.
 BLOCK_BYTES, LEAST_BYTES = 12 << 20, 1 << 20
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -71,7 +73,7 @@ def scores(w: Words, order: int, table: tuple[np.ndarray, np.ndarray], total: in
     for n, (h, last) in enumerate(ngram_hashes(w, order), 1):
         # occurrences in the row itself
         row = w.row[last]
-        order_ = np.lexsort((h, row))
+        order_ = np.argsort(h, kind="stable")  # rows ascend already
         hs, rs = h[order_], row[order_]
         new = np.ones(len(hs), dtype=bool)
         new[1:] = (hs[1:] != hs[:-1]) | (rs[1:] != rs[:-1])
@@ -79,7 +81,9 @@ def scores(w: Words, order: int, table: tuple[np.ndarray, np.ndarray], total: in
         own = np.empty(len(hs), np.int64)
         own[order_] = np.bincount(group)[group] if len(hs) else 0
         left = np.zeros(len(w))
-        left[last] = counts[np.searchsorted(hashes, h)] - own if len(h) else 0
+        if len(h):
+            left[last[order_]] = counts[np.searchsorted(hashes, hs)]
+            left[last] -= own
         if n == 1:
             result = np.where(left > 0, np.log(np.maximum(left, 1) / np.maximum(others, 1)), np.log(BACKOFF / (others + 1)))
         else:
@@ -118,7 +122,7 @@ def stupid_backoff(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text
             {
                 "block": pa.array([block] * len(cells), pa.int32()),
                 "part": pa.array([i for i, _, _ in cells], pa.int32()),
-                "hashes": pa.array([h[a:b].tobytes() for _, a, b in cells], pa.binary()),
+                "hashes": pa.array([_deltas(h[a:b]) for _, a, b in cells], pa.binary()),
                 "counts": pa.array([_narrow(n[a:b]) for _, a, b in cells], pa.binary()),
             }
         )
@@ -126,7 +130,7 @@ def stupid_backoff(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text
     listed = dealt.groupBy("block").applyInArrow(listing, "block int, part int, hashes binary, counts binary")
 
     def adding(cells: pa.Table) -> pa.Table:
-        h = [np.frombuffer(x.as_buffer(), np.uint64) for x in cells["hashes"]]
+        h = [_from_deltas(x.as_buffer()) for x in cells["hashes"]]
         n = [_wide(x.as_buffer()) for x in cells["counts"]]
         every = np.concatenate(h)
         distinct, place = np.unique(every, return_inverse=True)
@@ -158,16 +162,33 @@ def _starts(parts: int) -> np.ndarray:
     return np.array([(i << 64) // parts for i in range(parts)], dtype=np.uint64)
 
 
+def _deltas(h: np.ndarray) -> bytes:
+    """Ascending hashes: bytes of a difference, the first hash, then each difference in as many bytes as the largest needs."""
+    d = np.diff(h)
+    size = max(1, -(-int(d.max(initial=0)).bit_length() // 8))
+    return bytes([size]) + h[:1].astype("<u8").tobytes() + np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+
+
+def _from_deltas(data) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    d = np.zeros(((len(raw) - 9) // int(raw[0]), 8), np.uint8)
+    d[:, : raw[0]] = raw[9:].reshape(len(d), raw[0])
+    return np.cumsum(np.concatenate([raw[1:9].view("<u8"), d.view("<u8").ravel()]), dtype=np.uint64)
+
+
 def _narrow(x: np.ndarray) -> bytes:
-    """Integers in as many bytes each as the largest needs; the first byte says how many."""
-    size = next(s for s in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << 8 * s)
-    return bytes([size]) + x.astype(f"<u{size}").tobytes()
+    """How many integers, a byte for each, and in full those of 255 and more."""
+    large = x[x >= 255].astype("<u8")
+    return len(x).to_bytes(8, "little") + np.minimum(x, 255).astype(np.uint8).tobytes() + large.tobytes()
 
 
 def _wide(data) -> np.ndarray:
     raw = bytes(data)
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+    n = int.from_bytes(raw[:8], "little")
+    out = np.frombuffer(raw, np.uint8, n, 8).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<u8", offset=8 + n)
+    return out
 
 
 def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stupid_backoff(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return stupid_backoff(spark.read.parquet(f"{sf_dir}/documents.parquet"), ORDER)
