@@ -1,17 +1,24 @@
 """Line dedup: winnowed fingerprints of lines, matches extended both ways, later repeats deleted.
 
-A gram is a line and those after it until they have GRAM_WORDS words; a long line is a gram of its
-own. Of the grams that start within WINDOW_WORDS words, the one with the least hash becomes a
-fingerprint; the same lines in any document choose the same one. So every repeated run of lines
-that holds such a window has a common fingerprint, and a repeated line of WINDOW_WORDS words
-always has. Each later occurrence of a fingerprint is joined to the first one (by id, text, line)
-only, so a line that occurs in a third of all documents costs one row each and no pairs. A match
-is extended over equal neighbouring lines as far as the next fingerprint on either side, which
-has a match of its own. What is matched is deleted from the later document.
+A line is cut into units: at its window minima, words whose hash is the least of UNIT_WORDS
+neighbouring words of the line. So a unit has at most UNIT_WORDS words, a line of fewer is one unit,
+and a passage that two texts share is cut alike in both, but for a few words at its ends, wherever
+in a line it starts. A gram is a unit and those after it until they have GRAM_WORDS words. Of the
+grams that start within WINDOW_WORDS words, the one with the least hash becomes a fingerprint, and so
+does every whole line of LINE_WORDS words and more that is too short to be sure of one. Hence every
+common passage of WINDOW_WORDS + GRAM_WORDS + 3 * UNIT_WORDS - 4 words (48) has a common fingerprint.
+
+Each later occurrence of a fingerprint is joined to the first one (by id, text, unit) only, so a line
+that occurs in a third of all documents costs one row each and no pairs. A match is extended over
+equal neighbouring units as far as the next fingerprint on either side, which has a match of its own
+(units there are compared by 16 bits: one in 65,536 that ends a match is taken for equal).
+Of what is matched in the later document, whole lines of LINE_WORDS words and more are deleted,
+shorter ones as part of a run of GRAM_WORDS, and parts of lines in a run of PASSAGE_WORDS.
 
 Lines are compared by their words; those without words are neither counted nor deleted. The first
-occurrence is never deleted, so no passage is lost. Fingerprints are small rows, combined before
-the shuffle; skewed ones can be split, as it's an inner join.
+occurrence is never deleted, so no passage is lost. A first pass counts fingerprints alone, combined
+before the shuffle; the second deals them with their neighbours, and keeps those that occur more than
+once. Both joins are inner ones with plain shuffles on both sides, so skewed fingerprints can be split.
 
 Defined results: null and empty texts stay as they are; rows that repeat an id and its text count
 as one document and get the same result each; an empty table gives no rows; all columns of the
@@ -20,15 +27,18 @@ input are kept, whatever their names.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilework.llm.textkit import binary, mix, text_slices, words
 from tilework.storage import materialize
 
-GRAM_WORDS, WINDOW_WORDS = 8, 8
+LINE_WORDS, UNIT_WORDS, GRAM_WORDS, WINDOW_WORDS, PASSAGE_WORDS = 3, 4, 8, 32, 20
 
 _BASE = 0x9FB21C651E98DF25
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -42,83 +52,117 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
-def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, words) of the lines of a slice that have words, in order."""
-    breaks = np.flatnonzero(data == 0x0A) + 1
-    bounds = np.unique(np.concatenate([offsets, breaks]))
+@dataclass
+class Units:
+    """The units of a slice in order: row, hash, number of words, number of the line in its text, bytes of the slice."""
+
+    row: np.ndarray
+    hash: np.ndarray
+    count: np.ndarray
+    line: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+
+
+def units_of(data: np.ndarray, offsets: np.ndarray) -> Units:
+    bounds = np.unique(np.concatenate([offsets, np.flatnonzero(data == 0x0A) + 1]))
     w = words(data, bounds, lower=False)
-    counts = w.counts
-    full = np.flatnonzero(counts)
-    if not len(full):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    within = np.arange(len(w)) - np.repeat(w.first[:-1], counts)
-    sums = np.add.reduceat(w.hashes() * _powers(_BASE, int(counts.max()))[within], w.first[:-1][full])
-    row = np.searchsorted(offsets, bounds[:-1][full], side="right") - 1
-    return row, mix(sums), counts[full]
-
-
-def fingerprints(row: np.ndarray, h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first line, end line) of the chosen grams; lines are numbered through the slice."""
-    n = len(row)
-    upto = np.cumsum(count)
-    before = upto - count
-    document_end = np.searchsorted(row, row, side="right")
+    n = len(w)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return Units(none, np.zeros(0, np.uint64), none, none, none, none)
+    h = w.hashes()
+    cut = np.ones(n, dtype=bool)
+    cut[1:] = w.row[1:] != w.row[:-1]
+    if n >= UNIT_WORDS:
+        least, wide = h, 1
+        while wide < UNIT_WORDS:  # the least of each window of UNIT_WORDS, a power of two
+            least, wide = np.minimum(least[:-wide], least[wide:]), 2 * wide
+        inside = w.row[: len(least)] == w.row[UNIT_WORDS - 1 :]
+        for d in range(UNIT_WORDS):
+            cut[d : d + len(least)] |= inside & (least == h[d : d + len(least)])
+    at = np.flatnonzero(cut)
+    count = np.diff(np.append(at, n))
+    within = np.arange(n) - np.repeat(at, count)
+    sums = np.add.reduceat(h * _powers(_BASE, UNIT_WORDS + 1)[within], at)
+    line = w.row[at]
+    row = np.searchsorted(offsets, bounds[line], side="right") - 1
+    return Units(row, mix(sums), count, line - np.searchsorted(bounds, offsets[row]), w.start[at], w.end[at + count - 1])
+
+
+def fingerprints(u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first unit, end unit) of the chosen grams and lines; units are numbered through the slice."""
+    n = len(u.row)
+    upto = np.cumsum(u.count)
+    before = upto - u.count
+    document_end = np.searchsorted(u.row, u.row, side="right")
     end = np.searchsorted(upto, before + GRAM_WORDS) + 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(_BASE, n))])
     whole = end <= document_end
-    gram = mix((sums[np.minimum(end, n)] - sums[:-1]) * _powers(_INVERSE, n) + (end - np.arange(n)).astype(np.uint64))
-    gram[~whole] = _MAX
-    # the window of a line: grams that start before WINDOW_WORDS words are over
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(u.hash * _powers(_BASE, n))])
+    inverse = _powers(_INVERSE, n)
+    gram = lambda a, b: mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64))
+    own = gram(np.arange(n), np.minimum(end, n))
+    own[~whole] = _MAX
+    # the window of a unit: grams that start before WINDOW_WORDS words are over
     window = np.minimum(np.searchsorted(upto, before + WINDOW_WORDS) + 1, document_end)
-    best, least = np.arange(n), gram.copy()
+    best, least = np.arange(n), own.copy()
     for d in range(1, int((window - np.arange(n)).max(initial=0))):
         at = np.arange(n - d)
-        better = (at + d < window[: n - d]) & (gram[d:] < least[: n - d])
-        least[: n - d][better] = gram[d:][better]
+        better = (at + d < window[: n - d]) & (own[d:] < least[: n - d])
+        least[: n - d][better] = own[d:][better]
         best[: n - d][better] = at[better] + d
-    chosen = np.unique(best[whole])
-    return gram[chosen], chosen, end[chosen]
-
-
-_FINGERPRINT = "print long, text_hash long, line int, size int, left binary, right binary"
-
-
-def _fingerprint_table(docs: DataFrame) -> DataFrame:
-    """A row for each fingerprint of (doc_id, text_hash, text); left and right are the hashes of the lines beside it."""
+    # windows that reach beyond a text's last gram tell nothing more, save its first one
+    last = np.maximum.accumulate(np.where(whole, np.arange(n), 0))[document_end - 1]
+    first_of_text = np.searchsorted(u.row, u.row) == np.arange(n)
+    chosen = np.unique(best[whole & (first_of_text | (before + WINDOW_WORDS <= before[last] + 1))])
+    # whole lines
+    new = np.ones(n, dtype=bool)
+    new[1:] = (u.row[1:] != u.row[:-1]) | (u.line[1:] != u.line[:-1])
+    first = np.flatnonzero(new)
+    stop = np.append(first[1:], n)
+    size = upto[stop - 1] - before[first]
+    short = (size >= LINE_WORDS) & (size < WINDOW_WORDS + GRAM_WORDS + 3 * UNIT_WORDS)
+    both = np.unique(np.stack([np.concatenate([chosen, first[short]]), np.concatenate([end[chosen], stop[short]])]), axis=1)
+    return gram(*both), *both
+
+
+def _fingerprint_table(docs: DataFrame, alone: bool = False) -> DataFrame:
+    """A row for each fingerprint of (doc_id, text_hash, text); left and right are hashes of the units beside it. alone: fingerprints only."""
 
     def run(batches):
         for batch in batches:
             for first, end, data, offsets in text_slices(batch.column(2)):
-                row, h, count = lines_of(data, offsets)
-                if not len(row):
+                u = units_of(data, offsets)
+                if not len(u.row):
                     continue
-                gram, at, stop = fingerprints(row, h, count)
-                if not len(at):
+                gram, at, stop = fingerprints(u)
+                if alone:
+                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64))], names=["print"])
                     continue
-                own = row[at]
-                begin = np.searchsorted(row, own)
-                finish = np.searchsorted(row, own, side="right")
+                own = u.row[at]
+                begin, low, high = np.searchsorted(u.row, own), np.searchsorted(u.row, own), np.searchsorted(u.row, own, side="right")
                 same = own[1:] == own[:-1]
-                low, high = begin.copy(), finish.copy()
                 low[1:][same] = at[:-1][same]
                 high[:-1][same] = stop[1:][same]
                 high = np.maximum(high, stop)
-                take = lambda a, b: binary(h[np.arange((b - a).sum()) + np.repeat(a - np.cumsum(b - a) + (b - a), b - a)].view(np.uint8), 8 * (b - a))
-                part = batch.slice(first, end - first)
-                pick = pa.array(own)
+                narrow = u.hash.astype(np.uint16)
+                take = lambda a, b: binary(narrow[np.arange((b - a).sum()) + np.repeat(a - np.cumsum(b - a) + (b - a), b - a)].view(np.uint8), 2 * (b - a))  # noqa: B023, E731
+                part, pick = batch.slice(first, end - first), pa.array(own)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pick), pa.array(gram.view(np.int64)), part.column(1).take(pick), pa.array((at - begin).astype(np.int32)), pa.array((stop - at).astype(np.int32)), take(low, at), take(stop, high)],
-                    names=["doc_id", "print", "text_hash", "line", "size", "left", "right"],
+                    [part.column(0).take(pick), part.column(1).take(pick), pa.array(gram.view(np.int64)), pa.array((at - begin).astype(np.int32)), pa.array((stop - at).astype(np.int32)), take(low, at), take(stop, high)],
+                    names=["doc_id", "text_hash", "print", "unit", "size", "left", "right"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_FINGERPRINT}")
+    return docs.mapInArrow(run, "print long" if alone else f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash int, print long, unit int, size int, left binary, right binary")
 
 
 def _extended(df: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, first, end) of repeated lines, from matches with the lines beside both."""
+    """(doc_id, text_hash, first, end) of repeated units, from matches with the units beside both."""
 
     def common(a: bytes, b: bytes, backwards: bool) -> int:
-        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        if not a or not b:
+            return 0
+        x, y = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
         if backwards:
             x, y = x[::-1], y[::-1]
         n = min(len(x), len(y))
@@ -127,57 +171,106 @@ def _extended(df: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            line, size = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            unit, size = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             left, right, left_1, right_1 = (batch.column(i).to_pylist() for i in range(4, 8))
-            first = line - np.fromiter((common(a, b, True) for a, b in zip(left, left_1, strict=True)), np.int32, len(line))
-            end = line + size + np.fromiter((common(a, b, False) for a, b in zip(right, right_1, strict=True)), np.int32, len(line))
+            first = unit - np.fromiter((common(a, b, True) for a, b in zip(left, left_1, strict=True)), np.int32, len(unit))
+            end = unit + size + np.fromiter((common(a, b, False) for a, b in zip(right, right_1, strict=True)), np.int32, len(unit))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc_id", "text_hash", "first", "end"])
 
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, text_hash long, first int, end int")
+    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, text_hash int, first int, end int")
 
 
-def _without(text: str, ranges: list) -> tuple[str, int, list[int]]:
-    """The text without the lines in ranges of lines that have words, the number of lines, those deleted."""
-    lines = text.split("\n")
-    full = [i for i, x in enumerate(lines) if x.strip(" \t\v\f\r")]
-    gone = sorted({full[i] for a, b in ranges for i in range(a, b)})
-    drop = set(gone)
-    return "\n".join(x for i, x in enumerate(lines) if i not in drop), len(lines), gone
+def without_repeats(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts of a slice without the repeats in ranges of their units (row, first, end).
+
+    (bytes, length of each text, row and number of each line deleted whole, words deleted of each text)
+    """
+    u, rows = units_of(data, offsets), len(offsets) - 1
+    n, base = len(u.row), np.searchsorted(u.row, row)
+    depth = np.bincount(base + first, minlength=n + 1) - np.bincount(base + end, minlength=n + 1)
+    found = np.cumsum(depth)[:n] > 0
+    new_row, new_line = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
+    new_row[1:] = u.row[1:] != u.row[:-1]
+    new_line[1:] = new_row[1:] | (u.line[1:] != u.line[:-1])
+    new_run = new_row.copy()
+    new_run[1:] |= found[1:] != found[:-1]
+    in_run, in_line = np.cumsum(new_run) - 1, np.cumsum(new_line) - 1
+    run = np.bincount(in_run, weights=u.count)[in_run] * found  # words of the run that a unit is in
+    size, kept = np.bincount(in_line, weights=u.count), np.bincount(in_line, weights=~found)
+    whole = (kept == 0)[in_line] & ((size >= LINE_WORDS)[in_line] | (run >= GRAM_WORDS))
+    gone = (run >= PASSAGE_WORDS) | ((run > 0) & whole)
+    lost = np.bincount(in_line, weights=~gone) == 0  # lines of which no word is left
+    # the bytes that go: whole lines with their line feed; else a unit with the space before it, or at the head of a line with that after it
+    breaks = np.append(np.unique(np.concatenate([np.flatnonzero(data == 0x0A) + 1, offsets])), len(data))
+    line_end = breaks[np.searchsorted(breaks, u.start, side="right")] if n else np.zeros(0, np.int64)
+    kept_upto = np.cumsum(~gone)
+    head_of_line = kept_upto == (kept_upto - ~gone)[np.flatnonzero(new_line)[in_line]] if n else gone
+    begin = np.where(new_line | head_of_line, u.start, np.concatenate([[0], u.end[:-1]])[:n])
+    stop = np.where(head_of_line & np.append(~new_line[1:], False)[:n], np.append(u.start[1:], 0)[:n], u.end)
+    away = np.zeros(len(data) + 1, np.int64)
+    np.add.at(away, begin[gone], 1)
+    np.add.at(away, stop[gone], -1)
+    head = np.flatnonzero(new_line)[lost]
+    line_start = breaks[np.searchsorted(breaks, u.start[head], side="right") - 1] if len(head) else head
+    np.add.at(away, line_start, 1)
+    np.add.at(away, line_end[head], -1)
+    keep = np.cumsum(away)[:-1] == 0
+    for i in np.unique(u.row[head]).tolist():
+        a, b = offsets[i], offsets[i + 1]
+        if not keep[b - 1] and data[b - 1] != 0x0A:  # the last line went: so does the line feed before it
+            left = np.flatnonzero(keep[a:b])
+            if len(left) and data[a + left[-1]] == 0x0A:
+                keep[a + left[-1]] = False
+    upto = np.concatenate([[0], np.cumsum(keep)])
+    return data[keep], np.diff(upto[offsets]), u.row[head], u.line[head], np.bincount(u.row, weights=u.count * gone, minlength=rows).astype(np.int64)
+
+
+def added_names(columns: list[str]) -> list[str]:
+    """The names under which dedup_lines adds n_lines, removed and removed_words to a table of these columns."""
+    lower = {c.lower() for c in columns}
+    return [c + "_" * next(i for i in range(len(lower) + 1) if c + "_" * i not in lower) for c in ("n_lines", "removed", "removed_words")]
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text cleaned, and n_lines, removed (line numbers in the old text).
+    """docs with the text cleaned, and n_lines, removed (numbers, in the old text, of lines deleted whole) and removed_words.
 
-    Columns of docs that have one of these two names are kept in their place; the new ones then
-    get a trailing underscore.
+    Columns of docs that have one of these names are kept in their place; the new ones then get a
+    trailing underscore, see `added_names`.
     """
-    names = docs.columns
-    lower = {c.lower() for c in names}
-    extra = [c + "_" * next(i for i in range(99) if c + "_" * i not in lower) for c in ("n_lines", "removed")]
-    text_hash = F.xxhash64(F.col(text_col))
-    prints = materialize(_fingerprint_table(docs.select(F.col(id_col).alias("doc_id"), text_hash.alias("text_hash"), F.col(text_col).alias("text"))), "prints")
-    place = F.struct("doc_id", "text_hash", "line", "left", "right")
-    # as a table, so that the join below has plain shuffles on both sides and a hot fingerprint can be split
-    firsts = materialize(prints.groupBy("print").agg(F.min(place).alias("one"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
-    later = prints.join(firsts, "print").where(~(F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("text_hash") == F.col("one.text_hash")) & (F.col("line") == F.col("one.line"))))
-    later = later.select("doc_id", "text_hash", "line", "size", "left", "right", F.col("one.left").alias("left_1"), F.col("one.right").alias("right_1"))
-    ranges = _extended(later).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "end")).alias("__ranges"))  # a document's own lines
+    names, extra = docs.columns, added_names(docs.columns)
+    text_hash = F.hash(F.col(text_col))
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_hash.alias("text_hash"), F.col(text_col).alias("text"))
+    # as tables, so that the joins below have plain shuffles on both sides and a hot fingerprint can be split
+    again = materialize(_fingerprint_table(texts, alone=True).groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "repeated")
+    prints = materialize(_fingerprint_table(texts).join(again, "print"), "prints")
+    firsts = materialize(prints.groupBy("print").agg(F.min(F.struct("doc_id", "text_hash", "unit", "size", "left", "right")).alias("one")), "firsts")
+    same = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("text_hash") == F.col("one.text_hash"))
+    # no match with itself, nor with what begins inside the first one
+    later = prints.join(firsts, "print").where(~(same & (F.col("unit") < F.col("one.unit") + F.col("one.size"))))
+    later = later.select("doc_id", "text_hash", "unit", "size", "left", "right", F.col("one.left").alias("left_1"), F.col("one.right").alias("right_1"))
+    ranges = _extended(later).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "end")).alias("__ranges"))  # a document's own units
     ranges = ranges.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "__ranges")
     joined = docs.join(ranges, F.col(id_col).eqNullSafe(F.col("__doc")) & (text_hash == F.col("__hash")), "left").select(*(F.col(f"`{c}`") for c in names), "__ranges")
     where = names.index(text_col)
 
     def run(batches):
         for batch in batches:
-            texts, old = batch.column(where).to_pylist(), batch.column(len(names)).to_pylist()
-            new = [(t, 0 if t is None else t.count("\n") + 1, []) if not r else _without(t, [(x["first"], x["end"]) for x in r]) for t, r in zip(texts, old, strict=True)]
-            columns = list(batch.columns[: len(names)])
-            columns[where] = pa.array([x[0] for x in new], columns[where].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([x[1] for x in new], pa.int64()), pa.array([x[2] for x in new], pa.list_(pa.int32()))], names=[*names, *extra])
+            for first, end, data, offsets in text_slices(batch.column(where)):
+                part = batch.slice(first, end - first)
+                old, texts = part.column(len(names)), part.column(where)
+                flat, n = old.flatten(), end - first
+                row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(old), 0).to_numpy())
+                new, length, at, line, gone = without_repeats(data, offsets, row, *(flat.field(k).to_numpy() for k in ("first", "end")))
+                columns = list(part.columns[: len(names)])
+                columns[where] = pc.if_else(pc.is_valid(texts), binary(new, length).cast(texts.type), pa.scalar(None, texts.type))
+                lines = np.diff(np.concatenate([[0], np.cumsum(data == 0x0A)])[offsets]) + texts.is_valid().to_numpy(zero_copy_only=False)
+                removed = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.arange(n + 1)), pa.int32()), pa.array(line, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), removed, pa.array(gone)], names=[*names, *extra])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(run, f"{schema}, `{extra[0]}` long, `{extra[1]}` array<int>")
+    return joined.mapInArrow(run, f"{schema}, `{extra[0]}` long, `{extra[1]}` array<int>, `{extra[2]}` long")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "n_lines", F.size("removed").cast("long").alias("removed_lines"), "removed", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", F.size("removed").cast("long").alias("removed_lines"), "removed", "removed_words", "text")
