@@ -72,6 +72,34 @@ def test_blocks_split_large_groups(spark, monkeypatch):
     assert got == brute(rows, 80)
 
 
+def test_only_blocks_of_unlike_components_meet(spark):
+    rows = [(7, i, 0) for i in range(5000)] + [(7, 6000, 6000)] + [(8, i, i // 2) for i in range(300)] + [(9, i, i % 2) for i in range(400)]
+    dealt = neardup.dealt_blocks(spark.createDataFrame(rows, "bucket long, node long, label long")).collect()
+    assert len(dealt) < 5000 + 300 * 4 + 400 * 2 + 2 * 60
+    by = {}
+    for x in dealt:
+        by.setdefault(x.key, []).append((x.node, x.label))
+    met = {(a, b) for group in by.values() for a, x in group for b, y in group if x != y and a < b}
+    for bucket in (7, 8, 9):
+        members = [(n, label) for b, n, label in rows if b == bucket]
+        assert all((a, b) in met for a, x in members for b, y in members if x != y and a < b)
+
+
+def test_bands_follow_the_threshold():
+    assert neardup.banding(85) == (25, 5) and neardup.banding(80) == (32, 4)
+    for t in range(50, 100):
+        bands, rows = neardup.banding(t)
+        assert bands * rows <= neardup.SLOTS and (1 - (t / 100) ** rows) ** bands < 1e-6 or rows == 1
+
+
+def test_the_query_marks_what_is_kept(spark, tmp_path):
+    rows = corpus()
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = neardup.op2_near_dedup(spark, str(tmp_path)).collect(), brute(rows, 85)
+    assert len(got) == len(rows)
+    assert all(x.kept == (x.doc_id == x.component_id) and x.component_id == want[x.doc_id] for x in got if x.doc_id is not None)
+
+
 def test_empty_table(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 

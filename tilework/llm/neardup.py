@@ -9,11 +9,12 @@ more; long ones stop after one. All documents of a slice of text do a step toget
 2. Each bucket of a band links its members to its least class only: as many candidates as rows.
 3. Candidates whose signatures and sizes allow the threshold are confirmed on their full sets.
 4. Union-find over the confirmed links.
-5. What is left are buckets whose members are still in different components. Their members meet
-   by blocks of BLOCK: a task counts the common shingles of two blocks with one product of
-   incidence matrices, exactly and for all pairs, and returns only links that join components,
-   fewer than it has members. A last union-find joins both. There is no cap: large mixed buckets
-   take more blocks.
+5. What is left are buckets whose members are still in different components. A component of BLOCK
+   members and more has blocks of its own there, smaller ones share blocks, whole. Only blocks of
+   unlike components meet (and shared ones with themselves): a task counts the common shingles of
+   two blocks with one product of incidence matrices, exactly and for all pairs, and returns only
+   links that join components, fewer than it has members. A last union-find joins both. There is
+   no cap: large mixed buckets take more blocks.
 
 Defined results: documents without words have 0 shingles and are linked with nothing; rows that
 share an id are one document (linked if any of their texts is); rows with a null id are not linked
@@ -34,8 +35,8 @@ from tilework.operators.components import components
 from tilework.storage import materialize
 
 SHINGLE = 5
-#: Slots, and bands times rows of a band. Two sets of similarity 0.85 share no band once in 2 million.
-SLOTS, BANDS, ROWS = 128, 25, 5
+#: Slots of a signature, and the most probable miss: two sets at the threshold share no band.
+SLOTS, MISS = 128, 1e-6
 #: Standard deviations that a pair's signatures may be below the threshold.
 DEVIATIONS = 6.0
 BLOCK = 128
@@ -43,6 +44,12 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def banding(threshold: int) -> tuple[int, int]:
+    """(bands, rows of a band): the most rows for which a pair at the threshold, in hundredths, is missed less than MISS."""
+    rows = max((r for r in range(1, 17) if (1 - (threshold / 100) ** r) ** (SLOTS // r) < MISS), default=1)
+    return SLOTS // rows, rows
+
+
 def _multiple(j: int) -> np.uint64:
     return np.uint64(int(_STEP) * j % (1 << 64))
 
@@ -82,11 +89,12 @@ def _each_slice(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndar
         yield first, end, row, h
 
 
-def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def sketches(docs: DataFrame, threshold: int, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, bands, signature) of (doc_id, text); equal sets have equal set_a and set_b."""
+    n_bands, n_rows = banding(threshold)
 
     def run(batches):
-        salt = np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP
+        salt = np.arange(1, n_bands + 1, dtype=np.uint64) * _STEP
         for batch in batches:
             for first, end, row, h in _each_slice(batch.column(1), size):
                 n = end - first
@@ -98,12 +106,12 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                     if len(full):
                         s[full] = mix(np.add.reduceat(mix(h ^ np.uint64(0xA5A5A5A5 + j)), begin)).view(np.int64)
                 sig = superminhash(row, h, n)
-                key = np.zeros((n, BANDS), np.uint64)
-                for r in range(ROWS):
-                    key = mix(key + sig[:, : BANDS * ROWS].reshape(n, BANDS, ROWS)[:, :, r] + salt)
+                key = np.zeros((n, n_bands), np.uint64)
+                for r in range(n_rows):
+                    key = mix(key + sig[:, : n_bands * n_rows].reshape(n, n_bands, n_rows)[:, :, r] + salt)
                 byte = (mix(sig) & np.uint64(0xFF)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array(count), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS), pa.int32()), pa.array(key.view(np.int64).ravel())), binary(byte.ravel(), np.full(n, SLOTS))],
+                    [batch.column(0).slice(first, n), pa.array(count), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(np.arange(0, n * n_bands + 1, n_bands), pa.int32()), pa.array(key.view(np.int64).ravel())), binary(byte.ravel(), np.full(n, SLOTS))],
                     names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "signature"],
                 )
 
@@ -195,14 +203,41 @@ def _joining_links(node: np.ndarray, label: np.ndarray, sets: list[np.ndarray],
     return out
 
 
-def _across(members: DataFrame, threshold: int) -> DataFrame:
-    """Links (u, v) that join labels, from members (bucket, node, label, shingles) of mixed buckets."""
-    count = materialize(members.groupBy("bucket").agg(F.count("*").alias("c")), "counts")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    own = members.join(count, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    key = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = other.select(key.alias("key"), "node", "label", "shingles").repartition("key").sortWithinPartitions("key")
+def dealt_blocks(members: DataFrame) -> DataFrame:
+    """(key, node, label): members (bucket, node, label) of mixed buckets, once for each block of other components that theirs meets."""
+    sizes = materialize(members.groupBy("bucket", "label").agg(F.count("*").alias("c")), "sizes")
+    large, few = sizes.where(F.col("c") >= BLOCK), sizes.where(F.col("c") < BLOCK)
+    large = large.select("bucket", "label", F.ceil(F.col("c") / BLOCK).cast("long").alias("blocks"))
+    # the blocks that a bucket's small components share
+    shared = materialize(few.groupBy("bucket").agg(F.ceil(F.sum("c") / BLOCK).cast("long").alias("blocks")), "shared")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    name = lambda label, sub: F.xxhash64(label, sub)
+    none = F.lit(None).cast("long")
+    own = large.select("bucket", "label", F.col("blocks").alias("n"), each(F.col("blocks")).alias("sub"))
+    common = shared.select("bucket", each(F.col("blocks")).alias("sub"))
+    # directed pairs (bucket, label or null, sub) with the name of the block met
+    other = own.select("bucket", F.col("label").alias("label_b"), F.col("sub").alias("sub_b"))
+    apart = large.select("bucket", "label", "blocks").join(large.select("bucket", F.col("label").alias("label_b"), F.col("blocks").alias("blocks_b")), "bucket").where("label <> label_b")
+    apart = apart.select("bucket", "label", each(F.col("blocks")).alias("sub"), "label_b", "blocks_b").select("bucket", "label", "sub", "label_b", each(F.col("blocks_b")).alias("sub_b"))
+    apart = apart.select("bucket", "label", "sub", name(F.col("label_b"), F.col("sub_b")).alias("met"))
+    mixed = common.join(other, "bucket")
+    to_own = mixed.select("bucket", none.alias("label"), "sub", name(F.col("label_b"), F.col("sub_b")).alias("met"))
+    to_shared = mixed.select("bucket", F.col("label_b").alias("label"), F.col("sub_b").alias("sub"), name(none, F.col("sub")).alias("met"))
+    among = common.join(common.select("bucket", F.col("sub").alias("sub_b")), "bucket").select("bucket", none.alias("label"), "sub", name(none, F.col("sub_b")).alias("met"))
+    pairs = apart.unionByName(to_own).unionByName(to_shared).unionByName(among)
+    placed = members.join(sizes, ["bucket", "label"]).join(shared.withColumnRenamed("blocks", "together"), "bucket", "left")
+    big = F.col("c") >= BLOCK
+    placed = placed.select(
+        "bucket", "node", "label", F.when(big, F.col("label")).alias("own"),
+        F.when(big, F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / BLOCK).cast("long"))).otherwise(F.pmod(F.xxhash64("label"), F.col("together"))).alias("sub"),
+    )
+    joined = placed.withColumn("block", name(F.col("own"), F.col("sub"))).join(pairs.select("bucket", name(F.col("label"), F.col("sub")).alias("block"), "met"), ["bucket", "block"])
+    return joined.select(F.xxhash64("bucket", F.least("block", "met"), F.greatest("block", "met")).alias("key"), "node", "label")
+
+
+def _across(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (u, v) that join labels, from members (bucket, node, label) of mixed buckets and the nodes' sets."""
+    dealt = dealt_blocks(members).join(sets, "node").select("key", "node", "label", "shingles").repartition("key").sortWithinPartitions("key")
 
     def run(batches):
         rest = None
@@ -231,7 +266,7 @@ def _across(members: DataFrame, threshold: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: int = 80, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row; documents link at `threshold` hundredths of similarity."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    drawn = materialize(sketches(docs, size), "sketches")
+    drawn = materialize(sketches(docs, threshold, size), "sketches")
     usable = drawn.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "signature"))), "classes")
     buckets = classes.select("node", F.explode("bands").alias("bucket"))
@@ -247,7 +282,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, size: int = SHINGLE, i
 
     rest = materialize(members.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "members")
     mixed = materialize(rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket"), "mixed")
-    more = _across(rest.join(mixed, "bucket").join(sets, "node"), threshold)
+    more = _across(materialize(rest.join(mixed, "bucket"), "unlike"), sets, threshold)
     labels = components(links.unionByName(more))
 
     ids = classes.select("set_a", "set_b", "node").join(labels, "node", "left").select("set_a", "set_b", F.coalesce("label", "node").alias("component"))
