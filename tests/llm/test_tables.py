@@ -56,6 +56,37 @@ def test_damaged_media_give_errors(spark):
     assert all(got[i].error and got[i].payload_sha256 is None for i in range(6))
 
 
+def test_any_damage_is_an_error_and_never_ends_the_job(spark):
+    import random
+
+    r = random.Random(4)
+    good = media.write_container(media.padded(b"some text " * 400))
+    box = lambda k, b: struct.pack(">I4s", 8 + len(b), k) + b
+    deep = b""
+    for _ in range(3000):
+        deep = box(b"moov", deep)
+    vast = good.replace(struct.pack(">II", 64, len(media.padded(b"some text " * 400)) // 64), struct.pack(">II", 64, 0xFFFFFFFF))
+    broken = [box(b"moov", box(b"trak", box(b"mdhd", b""))), deep, vast]
+    for _ in range(400):
+        x = bytearray(good)
+        for _ in range(r.randint(1, 4)):
+            x[r.randrange(len(x)) if r.random() < 0.3 else r.randrange(len(x) - 700, len(x))] = r.randrange(256)
+        broken.append(bytes(x[: r.choice([len(x), r.randrange(len(x))])]))
+    got = media.read_media(spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(broken)], "i int, media binary"), keep=("i",)).collect()
+    assert len(got) == len(broken) and all(x.error or x.payload_sha256 for x in got) and all(x.error for x in got if x.i < 3)
+
+
+def test_the_query_describes_what_it_stored(spark, tmp_path):
+    rows = corpus()
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((x.doc_id is None, x.doc_id or 0, x.n_bytes, x.payload_sha256, x.tail_crc32) for x in media.op10_media(spark, str(tmp_path)).collect())
+    want = []
+    for i, t, *_ in rows:
+        p = media.padded((t or "").encode())
+        want.append((i is None, i or 0, len((t or "").encode()), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])))
+    assert got == sorted(want) and all(x.feature.startswith("raw |") for x in media.op10_media(spark, str(tmp_path)).collect())
+
+
 def test_equal_texts_equal_values(spark):
     got = media.read_media(media.store_payloads(spark.createDataFrame([(1, "same"), (2, "same"), (3, None), (4, "")], "doc_id long, text string")), keep=("doc_id",)).orderBy("doc_id").collect()
     assert got[0][1:] == got[1][1:] and got[2][1:] == got[3][1:]
@@ -73,7 +104,7 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     vectors = [(i, r.integers(-2, 3, 4).tolist()) for i in range(150)]  # many ties
     vectors += [(200, None), (201, [1.0, None, 1.0, 1.0]), (202, [float("nan")] * 4), (203, [float("inf"), 0.0, 0.0, 0.0]), (204, [3.0]), (205, []), (None, [1.0] * 4), (5, vectors[5][1])]
     df = spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v]) for i, v in vectors], "vec_id long, embedding array<double>")
-    own = topk.integer_vectors(df.withColumn("score", F.lit(1)), "vec_id", "embedding", 1.0)
+    own = topk.usable_vectors(df.withColumn("score", F.lit(1)), "vec_id", "embedding")
     got = topk.top_k(own, own.where("id % 10 = 0"), 5).collect()
     good = [(i, v) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = set()
@@ -88,6 +119,11 @@ def test_top_k_of_large_and_few(spark):
     df = spark.createDataFrame([(0, [2.0**40, 1.0]), (1, [2.0**20, 1.0]), (2, [2.0**20, 2.0])], "id long, v array<double>")
     got = {(x.rank, x.vec_id, x.score) for x in topk.top_k(df, df.where("id = 0"), 5).collect()}
     assert got == {(1, 2, 2**60 + 2), (2, 1, 2**60 + 1)}
+    # scores outside 64 bits are null, but ranked; components beyond 2^53 are exact
+    huge = [(0, [3e38, 1.0]), (1, [3e38, 0.0]), (2, [2e38, 0.0]), (3, [-3e38, 0.0]), (4, [-2e38, 0.0]), (5, [0.0, 7.0]), (6, [0.0, -7.0]), (7, [1.5e308, 0.0])]
+    own = topk.usable_vectors(spark.createDataFrame(huge, "id long, v array<double>"), "id", "v")
+    got = sorted(topk.top_k(own, own.where("id = 0"), 7, 256).collect())
+    assert [x.vec_id for x in got] == [7, 1, 2, 5, 6, 4, 3] and [x.score for x in got] == [None, None, None, 7 << 16, -7 << 16, None, None]
     none = df.where("id < 0")
     assert topk.top_k(none, none, 5).collect() == [] and topk.top_k(df, none, 5).collect() == []
 
@@ -142,6 +178,29 @@ def test_branches_that_differ_stay_apart(spark):
     assert {tuple(r) for r in got} == {("/bad/*", "block"), ("/good/*", "allow")}
 
 
+def test_paths_are_followed_to_their_end(spark):
+    rows = [(i, f"http://h.io/a/b/c/d/e/{'bad' if i % 2 else 'good'}/{i}") for i in range(60)] + [(100, "http://h.io/a/b"), (101, "http://h.io/" + "x/" * 300)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = {x.page_id: (x.template, x.verdict) for x in urls.judge(df, [], F.when(F.col("path").contains("bad"), 1).when(F.col("path").contains("good"), 0)).collect()}
+    assert got[1] == ("/*/*/*/*/*/bad/*", "block") and got[2] == ("/*/*/*/*/*/good/*", "allow") and got[101][0] == "/*" * 6 + "/x" * 294
+
+
+def test_labels_of_the_query_differ_below_a_host(spark, tmp_path):
+    article, none = "<p>a<p>b<p>c", ""
+    rows = [(i, f"http://news.example.com/{lang}/{i}", html) for i, (lang, html) in enumerate([("en", article)] * 40 + [("de", article)] * 40 + [("de", none)] * 5)]
+    rows += [(100 + i, f"http://mixed.io/{'casino' if i % 2 else 'stories'}/{i}", article) for i in range(40)] + [(200, "http://mixed.io/casino/x9", none), (201, "http://alphabets.io/a", article), (202, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {x.page_id: x for x in urls.op8_url_filter(spark, str(tmp_path)).collect()}
+    assert got[0].verdict == "block" and got[7].verdict == "allow" and got[7].rule == "example.com/en/7"
+    assert {got[i].verdict for i in range(40, 85)} == {"allow"} and {got[i].rule for i in range(40, 85)} == {None}
+    assert {got[i].verdict for i in range(101, 140, 2)} == {"block"} and {got[i].verdict for i in range(100, 140, 2)} == {"allow"}
+    assert (got[200].verdict, got[201].verdict, got[202].verdict) == ("block", "allow", "allow")
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        want = sorted(map(str, con.sql(urls.OP8_SQL).fetchall()))
+    assert sorted(str(tuple(x)) for x in got.values()) == want
+
+
 def test_urls_equal_sql(spark, tmp_path):
     table = pq.read_table("/root/testdata/sf0.001/pages.parquet")
     pq.write_table(table, tmp_path / "pages.parquet")

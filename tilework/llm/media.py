@@ -4,13 +4,15 @@
 decodes the sample tables and returns codec, duration and the byte ranges of the keyframes. Only
 box headers and tables are decoded there; the payload is never interpreted.
 
-Both are narrow: no shuffle, one pass, memory bounded by an Arrow batch. Defined results: a null
+Both are narrow: no shuffle, one pass, memory bounded by an Arrow batch; the query writes the
+containers as a table in the shared folder and reads them back from there. Defined results: a null
 payload is stored as the empty text; bytes that are no container give nulls and an `error`; rows
 that repeat give equal values; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
 
+import bisect
 import struct
 import zlib
 from collections.abc import Iterator
@@ -21,9 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilework.storage import materialize
+
 #: Bytes of a sample (a block of 8-bit unsigned mono samples), blocks between sync samples, blocks of a chunk, samples a second.
 BLOCK, SYNC_EVERY, CHUNK_BLOCKS, RATE = 64, 16, 1024, 8000
 
+#: Levels of boxes in boxes; the format has seven.
+DEEPEST = 64
+
 #: Boxes that hold boxes.
 _NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
 
@@ -80,10 +87,13 @@ def write_container(payload: bytes) -> bytes:
     return b"".join((brand, head, payload, movie))
 
 
-def boxes(data: memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, first byte of the body, end) of every box, outer ones first. ValueError where sizes don't fit."""
-    end = len(data) if end is None else end
-    while start < end:
+def boxes(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(path, first byte of the body, end) of every box, outer ones first. ValueError where sizes don't fit, or boxes nest deeper than DEEPEST."""
+    todo: list[tuple[tuple[bytes, ...], int, int]] = [((), 0, len(data))]
+    while todo:
+        path, start, end = todo.pop()
+        if start >= end:
+            continue
         if end - start < 8:
             raise ValueError(f"{end - start} bytes after the last box")
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -96,10 +106,12 @@ def boxes(data: memoryview, start: int = 0, end: int | None = None, path: tuple[
             size = end - start
         if size < body - start or start + size > end:
             raise ValueError(f"box {kind!r} does not fit")
+        if len(path) >= DEEPEST:
+            raise ValueError("boxes nest too deep")
         yield (*path, kind), body, start + size
+        todo.append((path, start + size, end))
         if kind in _NESTED:
-            yield from boxes(data, body, start + size, (*path, kind))
-        start += size
+            todo.append(((*path, kind), body, start + size))
 
 
 @dataclass
@@ -115,9 +127,14 @@ class Track:
 
     def ranges(self) -> Iterator[tuple[int, int, int]]:
         """(number, offset, size) of each sample, from the sample tables."""
-        number = 0
+        number, starts = 0, [first for first, _ in self.runs]
+        if starts != sorted(starts):
+            raise ValueError("runs of chunks aren't in order")
         for i, at in enumerate(self.chunks, 1):
-            for _ in range(next(per for first, per in reversed(self.runs) if first <= i)):
+            run = bisect.bisect_right(starts, i) - 1
+            if run < 0:
+                raise ValueError(f"chunk {i} is in no run")
+            for _ in range(self.runs[run][1]):
                 if number >= self.count:
                     return
                 size = self.sizes if isinstance(self.sizes, int) else self.sizes[number]
@@ -194,6 +211,8 @@ def _describe(media: bytes | None) -> dict:
         if not tracks:
             raise ValueError("no track")
         t = tracks[0]
+        if (t.sizes * t.count if isinstance(t.sizes, int) else sum(t.sizes)) > len(media):
+            raise ValueError("the samples are larger than the file")
         data, digest, n, tail = memoryview(media), sha256(), 0, b""
         begin = end = None
         for _, at, size in t.ranges():
@@ -210,7 +229,7 @@ def _describe(media: bytes | None) -> dict:
             tail = (tail + bytes(data[max(begin, end - BLOCK) : end]))[-BLOCK:]
         keys = [{"offset": a, "size": b} for a, b in t.keyframes()]
         return out | {"codec": t.codec, "duration": t.duration / t.timescale if t.timescale else None, "n_samples": t.count, "keyframes": keys, "payload_bytes": n, "payload_sha256": digest.hexdigest(), "tail_crc32": zlib.crc32(tail), "error": None}
-    except (ValueError, KeyError, TypeError, struct.error, StopIteration) as e:
+    except (ValueError, IndexError, KeyError, TypeError, OverflowError, struct.error) as e:
         return out | {"error": f"{type(e).__name__}: {e}"}
 
 
@@ -231,7 +250,7 @@ def read_media(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] =
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = store_payloads(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    stored = materialize(store_payloads(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
     got = read_media(stored, keep=("doc_id", "n_bytes"))
     feature = F.concat_ws("|", "codec", F.format_string("%.3f s", "duration"), F.format_string("%d samples", "n_samples"), F.format_string("%d keyframe ranges", F.size("keyframes")), F.format_string("last at %d", F.element_at("keyframes", -1)["offset"]))
     return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
