@@ -119,17 +119,65 @@ def test_quality_learns_and_scores_every_row(spark):
     rows = [(i, (t or "").upper().replace(" ", "!! ") if i % 3 == 0 else t, *x) for i, (_, t, *x) in enumerate(corpus(240))]
     docs = clashing(frame(spark, rows))
     labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(240)] + [(1, None, 0), (10**9, 1, 0)], "doc_id long, quality int, toxic int")
-    table = quality.document_statistics(docs)
-    model = quality.learn(table, labels)
-    got = {x.doc_id: x.score for x in quality.score(table, model).collect()}
+    model = quality.learn(docs, labels)
+    got = {x.doc_id: x.score for x in quality.score_texts(docs, model).collect()}
     assert len(got) == len(rows) and all(0 <= s <= 1 for s in got.values())
     held = [i for i in range(240) if zlib.crc32(str(i).encode()) % 5 == 0 and len(rows[i][1] or "") > 100]
     assert np.mean([(got[i] >= 0.3) == (i % 3 != 0) for i in held]) > 0.9
     kept = {x.doc_id for x in quality.keep_good(docs, model).select("doc_id").collect()}
     assert kept == {i for i, s in got.items() if s >= 0.3}
-    empty = quality.learn(table, labels.where("quality = 7"))
-    assert {x.score for x in quality.score(table, empty).collect()} == {0.5}
+    empty = quality.learn(docs, labels.where("quality = 7"))
+    assert {x.score for x in quality.score_texts(docs, empty).collect()} == {0.5}
     assert quality.document_statistics(spark.createDataFrame([], SCHEMA)).collect() == []
+    few = quality.learn(docs, labels, most=60)
+    assert few.classes and few.base != model.base or few.center.tolist() != model.center.tolist()
+
+
+def test_the_quality_query_equals_a_plain_discriminant(spark, tmp_path):
+    rows = [(i, (t or "").upper().replace(" ", "!! ") if i % 3 == 0 else t, *x) for i, (_, t, *x) in enumerate(corpus(200))]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    marks = [(i, int(i % 3 != 0), 0) for i in range(200)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    raw = [(r[1] or "").encode() for r in rows]
+    x = quality.statistics(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    own = {c: x[[i for i, y, _ in marks if y == c and not held(i)]] for c in (0, 1)}
+    every = np.concatenate([own[0], own[1]])
+    spread = every.std(axis=0)
+    spread[spread < 1e-9] = 1
+    fold = dict(spark.createDataFrame(marks, "i long, y int, t int").select("i", F.pmod(F.xxhash64("i"), F.lit(quality.FOLDS))).collect())
+
+    def normal(rows_by_class, a, b):
+        out = {}
+        covs = {c: np.cov(z.T, bias=True) for c, z in rows_by_class.items()}
+        n = {c: len(z) for c, z in rows_by_class.items()}
+        pooled = sum(n[c] * covs[c] for c in (0, 1)) / sum(n.values())
+        for c in (0, 1):
+            cov = (1 - a) * covs[c] + a * pooled
+            cov = (1 - b) * cov + b * np.trace(cov) / len(cov) * np.eye(len(cov))
+            out[c] = rows_by_class[c].mean(axis=0), cov
+        return out
+
+    def density(z, mean, cov):
+        d = z - mean
+        return -0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)
+
+    def likelihood(a, b):
+        total = 0
+        for f in range(quality.FOLDS):
+            part = {c: [i for i, y, _ in marks if y == c and not held(i)] for c in (0, 1)}
+            rest = normal({c: x[[i for i in part[c] if fold[i] != f]] / spread for c in (0, 1)}, a, b)
+            total += sum(density(x[[i for i in part[c] if fold[i] == f]] / spread, *rest[c]).sum() for c in (0, 1))
+        return total
+
+    a, b = max(((a, b) for a in quality.TO_POOLED for b in quality.TO_SPHERE), key=lambda p: likelihood(*p))
+    final = normal({c: own[c] / spread for c in (0, 1)}, a, b)
+    log = [np.log(len(own[c])) + density(x / spread, *final[c]) for c in (0, 1)]
+    want = 1 / (1 + np.exp(np.clip(log[0] - log[1], -40, 40)))
+    got = quality.op5_quality(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    for r in got:
+        assert r.score == pytest.approx(want[r.doc_id], abs=1e-6) and r.held_out == held(r.doc_id) and r.predicted == int(r.score >= 0.3)
 
 
 # --- tokens
