@@ -1,7 +1,7 @@
 import corpus_pipeline as pipeline
 from pyspark.sql import functions as F
 
-from tests.llm.common import SCHEMA, corpus, frame
+from tests.llm.common import SCHEMA, clashing, corpus, frame
 from tilework.llm import registry
 from tilework.storage import materialize
 
@@ -35,9 +35,23 @@ def test_run_of_an_empty_table(spark, tmp_path):
 
 
 def test_near_stage_leaves_one_of_each_group(spark):
-    rows = [(i, " ".join(f"w{k}" for k in range(50)) + " end" * (i % 2), "en", "s", 0) for i in range(6)] + [(0, "w0", "en", "s", 0)]
-    got = pipeline.near_dedup(spark, frame(spark, rows), "")
-    assert [r.doc_id for r in got.collect()] == [0]
+    rows = [(i, " ".join(f"w{k}" for k in range(50)) + " end" * (i % 2), "en", "s", 0) for i in range(6)]
+    rows += [(0, "w0 alone", "en", "s", 0), (0, "w0 alone", "en", "s", 0), (None, "x y z", None, None, None), (None, "another one", None, None, None), (9, None, None, None, None), (9, "", None, None, None)]
+    got = sorted((r.text or "", r.text is None) for r in pipeline.near_dedup(spark, frame(spark, rows), "").collect())
+    assert [t for t, _ in got if not t.startswith("w0 w1")] == ["", "", "another one", "w0 alone", "x y z"] and len(got) == 6
+
+
+def test_stages_take_clashing_names_null_and_repeated_ids(spark, tmp_path):
+    rows = corpus(40) + [(None, "a text without an id that is like no other one here", None, None, None), (3, "an unlike text with the id of another document", "en", "s1", 5)]
+    sf = folder(spark, tmp_path, rows)
+    docs = clashing(frame(spark, rows)).withColumns({"n_lines": F.lit(1), "removed_words": F.lit("x"), "y": F.lit(2), "copies": F.lit(0), "text_hash": F.lit(0)})
+    for name, stage in pipeline.STAGES:
+        before, docs = docs, materialize(stage(spark, docs, sf), "test")
+        if name != "packing":
+            assert docs.columns == before.columns and docs.where("removed <> 'removed'").isEmpty()
+        if name in ("line dedup", "near dedup"):
+            texts = [r.text for r in docs.where("doc_id IS NULL OR doc_id = 3").collect()]
+            assert "an unlike text with the id of another document" in texts and rows[-2][1] in texts
 
 
 def test_all_ten_are_registered():
