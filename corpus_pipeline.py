@@ -16,25 +16,32 @@ from tilework.storage import materialize
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score for quality 1 is at least the threshold stay."""
-    table = materialize(quality.document_statistics(docs), "quality")
-    model = quality.learn(table, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.keep_good(docs, model)
+    return quality.keep_good(docs, quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of lines are deleted; a document of which no word is left goes."""
+    """Later repeats of lines and passages are deleted; a document of which no word is left goes."""
+    _, _, removed_words = linededup.added_names(docs.columns)
     done = linededup.dedup_lines(docs)
-    emptied = (F.size("removed") > 0) & ~F.col("text").rlike(mixing.WORD)
+    emptied = (F.col(removed_words) > 0) & ~F.col("text").rlike(mixing.WORD)
     return done.where(~emptied | F.col("text").isNull()).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the one with the least id stays."""
-    found = materialize(neardup.near_duplicates(docs, threshold=80), "groups")
-    kept = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
-    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    if not again.isEmpty():  # rows that share an id are one document
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id").dropDuplicates(["doc_id"]))
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) one stays, that with the least hash.
+
+    A document is known by its id and text, so that unlike texts that share an id are documents of
+    their own; of rows that are equal in both one stays.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = F.xxhash64("doc_id", F.col("doc_id").isNull(), text, F.col("text").isNull())
+    keyed = docs.withColumn("__key", key)
+    found = materialize(neardup.near_duplicates(keyed, threshold=80, id_col="__key"), "groups")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__key")).distinct()
+    kept = keyed.join(gone, "__key", "left_anti")
+    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__key"))
+    if not again.isEmpty():
+        kept = kept.join(again, "__key", "left_anti").unionByName(kept.join(again, "__key").dropDuplicates(["__key"]))
     return kept.select(docs.columns)
 
 
