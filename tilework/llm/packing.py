@@ -23,13 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilework.llm.tokenfile import int_lists, with_crc32
-from tilework.llm.tokens import batches_of_ids
+from tilework.llm.tokens import batches_of_ids, forgetting
 from tilework.storage import materialize
 
 LENGTH, WINDOWS, MERGE = 2048, 16, 256
-#: Bytes of text encoded together.
-SLICE_BYTES = 8 << 20
-
 #: A piece: document, first id, ids, ids of the document.
 Piece = tuple[object, int, np.ndarray, int]
 
@@ -141,9 +138,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, id_
 
     def run(batches):
         part, packer, kind = TaskContext.get().partitionId(), Packer(length), pa.int64()
-        for batch in batches:
+        for batch in forgetting(batches, tokenizer):
             kind, names = batch.column(0).type, batch.column(0).to_pylist()
-            for first, _, ids, sizes in batches_of_ids(batch.column(1), tokenizer, end_id, SLICE_BYTES, added=True):
+            for first, _, ids, sizes in batches_of_ids(batch.column(1), tokenizer, end_id, added=True):
                 ids, ends = ids.astype(np.int32), np.cumsum(sizes)
                 for i, (a, b) in enumerate(zip(ends - sizes, ends, strict=True)):
                     packer.add(names[first + i], ids[a:b])

@@ -6,6 +6,7 @@ so working on UTF-8 gives the same words as working on characters.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,6 +44,14 @@ def _power_table(n: int) -> np.ndarray:
     return _powers
 
 
+def release() -> None:
+    """Give memory that is free in this worker back to the system: workers are used again, by other stages too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive rows with about `limit` bytes; null texts are empty."""
     column = column.cast(pa.large_string()).fill_null("")
@@ -55,6 +64,8 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         end = min(max(end, first + 1), len(column))
         yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
+    del data, offsets, column
+    release()
 
 
 @dataclass

@@ -5,8 +5,8 @@ are neither white space nor control characters. The supported tokenizers' pre-to
 across such a cut, and what they do beside it doesn't depend on the other side, so the ids of the
 pieces are the ids of the text. The same holds between an ASCII letter and a mark other than the
 apostrophe, on either side. Most pieces occur again and again; each distinct one of a slice is
-encoded once, and short ones are kept in a bounded cache of two generations, in which those that
-come again stay. A piece that is one word of letters is one pre-token, so it goes to the
+encoded once, and short ones are kept for a task's life in a bounded cache of two generations, in
+which those that come again stay. A piece that is one word of letters is one pre-token, so it goes to the
 tokenizer's model at once; all others take the whole way.
 
 Strings of the tokenizer's added tokens (`<|endoftext|>`) are found first, in the unchanged text;
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from itertools import chain
 from operator import attrgetter
 
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tilework.llm.textkit import LOWER, text_slices
+from tilework.llm.textkit import LOWER, release, text_slices
 
 #: Bytes of text whose distinct pieces are encoded together.
 SLICE_BYTES = 4 << 20
@@ -100,6 +101,10 @@ class Encoder:
         self.space = split(" w\u00e9\u0436") == shape(" w\u00e9\u0436")
         self.direct = self.space or split(" w\u00e9\u0436") == shape("w\u00e9\u0436")
 
+    def forget(self) -> None:
+        """Empty the cache."""
+        self.cache, self.older = {}, {}
+
     def _words(self, words: list[bytes]) -> list[bytes]:
         """Ids of pieces that are one word, by the model alone."""
         text = b"\0".join(words)
@@ -249,3 +254,12 @@ def batches_of_ids(column: pa.Array, path: str, end_id: int, limit: int = SLICE_
     own = coder.slice_ids_added if added else coder.slice_ids
     for first, end, data, offsets in text_slices(column, limit):
         yield first, end, *own(data, offsets, end_id)
+
+
+def forgetting(batches: Iterator, path: str) -> Iterator:
+    """The batches; after the last one, what the worker's encoder keeps is given back, for the tasks of other stages."""
+    try:
+        yield from batches
+    finally:
+        encoder(path).forget()
+        release()
