@@ -21,8 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilework.llm.tokens import batches_of_ids
-from tilework.storage import shared_dir
+from tilework.llm.tokens import batches_of_ids, forgetting
+from tilework.storage import materialize, shared_dir
+
+
+#: Files up to which their totals are broadcast, at 12 bytes each; those of more are joined by a shuffle.
+BROADCAST_FILES = 100_000
 
 
 def _schema(id_type: str) -> str:
@@ -39,7 +43,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
 
     def run(batches):
         shard, place = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in forgetting(batches, tokenizer):
             for first, end, ids, length in batches_of_ids(batch.column(1), tokenizer, end_id, added=True):
                 at = place + np.cumsum(length) - length
                 place += len(ids)
@@ -65,10 +69,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
 def read_tokens(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """(doc_id, start, n_tokens, tokens): start counts the ids of all documents before."""
     rows = spark.read.schema(_schema(id_type)).orc(path)
-    files = rows.groupBy("shard").agg(F.sum("n_tokens").alias("all"))
+    files = materialize(rows.groupBy("shard").agg(F.sum("n_tokens").alias("all")), "files")
     before = F.coalesce(F.sum("all").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # a row for each file, as many as the writing stage had tasks
-    base = F.broadcast(files.select("shard", before.alias("base")))
+    base = files.select("shard", before.alias("base"))  # a row for each file
+    base = F.broadcast(base) if files.count() <= BROADCAST_FILES else base.hint("merge")
     return rows.join(base, "shard").select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "tokens")
 
 
