@@ -5,14 +5,19 @@ single word has S(w) = C(w) / N, and one seen nowhere else 1 / (N + 1) with the
 counts leave the document's own occurrences out, or every n-gram of it would count as seen. A
 document's score is the sum of ln S over its words.
 
-The plan is a relational one on packed rows. Documents are dealt into blocks by a hash of the id,
-of about BLOCK_BYTES of text. Each block lists its distinct n-grams, in PARTS hash partitions, as
-sorted 64-bit hashes with their counts (combined before the shuffle, so a word that is everywhere
-is one entry of each block). A partition of the count table adds up what all blocks list for it,
-in one pass over sorted runs and in ranges of the hash that bound its memory; joined back by block
-and partition, each block gets the corpus counts of exactly its own n-grams, in their order. Then
-its documents are exploded to n-grams, looked up, and summed. No n-gram is dropped and no count
-goes through the driver but N.
+Documents are dealt into blocks by a hash of the id, of about BLOCK_BYTES of text. Each block explodes
+its documents to n-grams and lists the distinct ones with their counts, as rows of the count table:
+one for each of 2^FAN_BITS ranges of the hash, with its hashes and counts in arrays (combined before
+the shuffle, so a word that is everywhere is one entry of each block). A partition of the table, a
+range, adds up what all blocks list for it, and joined back by block and range each block gets the
+corpus counts of its own n-grams, looked up and summed for each document. Of more than 2^FAN_BITS
+blocks, as many at a time are first added up to a block of their own, with the next FAN_BITS bits of
+the hash as its ranges. So a block has the same number of rows at every size, and a task sees a
+bounded share of the table; levels grow with the logarithm of the input. No n-gram is dropped and no
+count goes through the driver but N.
+
+An n-gram is known by HASH_MARGIN bits more of its hash than all n-grams together need (64 at most),
+so that one in four million shares another one's count.
 
 Defined results: null and empty texts have no words, a score of 0 and a null mean; documents that
 repeat are documents of their own, so that each sees the other's counts; null ids are dealt like
@@ -33,18 +38,20 @@ BACKOFF = 0.4
 ORDER = 3
 #: Bytes of text of a block, and the least where there would be fewer blocks than cores.
 BLOCK_BYTES, LEAST_BYTES = 12 << 20, 1 << 20
+#: Bits of the hash that tell a range of a block's list, and bits of it beyond those that tell n-grams apart.
+FAN_BITS, HASH_MARGIN = 8, 22
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def ngram_hashes(w: Words, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For n = 1 to order: (hash, index of the last word) of every n-gram inside a row."""
+def ngram_hashes(w: Words, order: int, bits: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For n = 1 to order: (hash of this many bits, index of the last word) of every n-gram inside a row."""
     h = w.hashes()
     out, total = [], np.zeros(0, np.uint64)
     for n in range(1, order + 1):
         total = h if n == 1 else total[:-1] * _STEP + h[n - 1 :]
         last = np.arange(n - 1, len(h))
         inside = w.row[: len(last)] == w.row[n - 1 :] if len(last) else np.zeros(0, bool)
-        out.append((mix(total[inside] + np.uint64(n)), last[inside]))
+        out.append((mix(total[inside] + np.uint64(n)) >> np.uint64(64 - bits), last[inside]))
         if not len(total):
             total = np.zeros(1, np.uint64)
     return out
@@ -55,14 +62,14 @@ def _slices(texts: pa.Array):
         yield first, end, words(data, offsets)
 
 
-def _distinct(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(texts: pa.Array, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct n-gram hashes of a block, and their counts."""
-    runs = [np.concatenate([h for h, _ in ngram_hashes(w, order)]) for _, _, w in _slices(texts)]
+    runs = [np.concatenate([h for h, _ in ngram_hashes(w, order, bits)]) for _, _, w in _slices(texts)]
     every = np.concatenate(runs or [np.zeros(0, np.uint64)])
     return np.unique(every, return_counts=True)
 
 
-def scores(w: Words, order: int, table: tuple[np.ndarray, np.ndarray], total: int) -> tuple[np.ndarray, np.ndarray]:
+def scores(w: Words, order: int, bits: int, table: tuple[np.ndarray, np.ndarray], total: int) -> tuple[np.ndarray, np.ndarray]:
     """(sum of ln S, backed-off words) for each row of a slice; table: sorted hashes and corpus counts."""
     rows, hashes, counts = len(w.first) - 1, *table
     size = w.counts
@@ -70,7 +77,7 @@ def scores(w: Words, order: int, table: tuple[np.ndarray, np.ndarray], total: in
     result = np.zeros(len(w))
     prior = np.zeros(0)
     level = np.zeros(len(w), dtype=np.int64)
-    for n, (h, last) in enumerate(ngram_hashes(w, order), 1):
+    for n, (h, last) in enumerate(ngram_hashes(w, order, bits), 1):
         # occurrences in the row itself
         row = w.row[last]
         order_ = np.argsort(h, kind="stable")  # rows ascend already
@@ -110,43 +117,23 @@ def stupid_backoff(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text
     total = int(size["n"] or 0)
     large, small = (-(-int(size["bytes"] or 0) // n) for n in (BLOCK_BYTES, LEAST_BYTES))
     blocks = max(1, large, min(small, 2 * own.sparkSession.sparkContext.defaultParallelism))  # all cores get some
-    parts = blocks
+    bits = min(64, max(1, order * total).bit_length() + HASH_MARGIN)
     dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.crc32(F.coalesce("text", F.lit("")))), F.lit(blocks)).cast("int"))
 
+    low = max(bits - FAN_BITS, 0)
+
     def listing(rows: pa.Table) -> pa.Table:
-        block = rows["block"][0].as_py()
-        h, n = _distinct(rows["text"].combine_chunks(), order)
-        bounds = np.searchsorted(h, _starts(parts)).tolist() + [len(h)]
-        cells = [(i, a, b) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
-        return pa.table(
-            {
-                "block": pa.array([block] * len(cells), pa.int32()),
-                "part": pa.array([i for i, _, _ in cells], pa.int32()),
-                "hashes": pa.array([_deltas(h[a:b]) for _, a, b in cells], pa.binary()),
-                "counts": pa.array([_narrow(n[a:b]) for _, a, b in cells], pa.binary()),
-            }
-        )
-
-    listed = dealt.groupBy("block").applyInArrow(listing, "block int, part int, hashes binary, counts binary")
-
-    def adding(cells: pa.Table) -> pa.Table:
-        h = [_from_deltas(x.as_buffer()) for x in cells["hashes"]]
-        n = [_wide(x.as_buffer()) for x in cells["counts"]]
-        every = np.concatenate(h)
-        distinct, place = np.unique(every, return_inverse=True)
-        sums = np.bincount(place, weights=np.concatenate(n), minlength=len(distinct)).astype(np.int64)[place]
-        ends = np.cumsum([len(x) for x in h])
-        return pa.table({"block": cells["block"], "part": cells["part"], "sums": pa.array([_narrow(sums[b - len(x) : b]) for x, b in zip(h, ends, strict=True)], pa.binary())})
-
-    counted = listed.groupBy("part").applyInArrow(adding, "block int, part int, sums binary")
+        return _cells(rows["block"][0].as_py(), low, *_distinct(rows["text"].combine_chunks(), order, bits))
+
+    counted = corpus_counts(dealt.groupBy("block").applyInArrow(listing, _CELLS), blocks, bits)
 
     def scoring(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = left["text"].combine_chunks()
-        hashes, _ = _distinct(texts, order)
-        counts = np.concatenate([_wide(x.as_buffer()) for x in right.sort_by("part")["sums"]] or [np.zeros(0, np.int64)])
+        hashes, own = _distinct(texts, order, bits)
+        counts = own + _joined(right.sort_by("part")["others"])
         n, score, backed = [], [], []
         for _, _, w in _slices(texts):
-            s, b = scores(w, order, (hashes, counts), total)
+            s, b = scores(w, order, bits, (hashes, counts), total)
             n.append(w.counts)
             score.append(s)
             backed.append(b)
@@ -157,23 +144,89 @@ def stupid_backoff(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text
     return dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(scoring, f"doc_id {kind}, n_words long, log_score double, mean_log_score double, backed_off long")
 
 
-def _starts(parts: int) -> np.ndarray:
-    """The first hash of each of `parts` equal ranges."""
-    return np.array([(i << 64) // parts for i in range(parts)], dtype=np.uint64)
+_CELLS = "block int, part long, hashes binary, counts binary"
+
+
+def _cells(block: int, low: int, h: np.ndarray, n: np.ndarray) -> pa.Table:
+    """Rows of the count table: sorted hashes with counts, split into ranges by the bits above the `low` ones, their part."""
+    which = h >> np.uint64(low)
+    at = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]])) if len(h) else np.zeros(0, np.int64)
+    ends = np.append(at[1:], len(h))
+    return pa.table(
+        {
+            "block": pa.array(np.full(len(at), block), pa.int32()),
+            "part": pa.array(which[at].astype(np.int64)),
+            "hashes": pa.array([_deltas(h[a:b]) for a, b in zip(at, ends, strict=True)], pa.binary()),
+            "counts": pa.array([_narrow(n[a:b]) for a, b in zip(at, ends, strict=True)], pa.binary()),
+        }
+    )
+
+
+def _joined(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([_wide(x.as_buffer()) for x in column] or [np.zeros(0, np.int64)])
+
+
+def _added(cells: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """(distinct hashes, their sums, place and count of each entry, ends of the cells) of cells of one range."""
+    h = [_from_deltas(x.as_buffer()) for x in cells["hashes"]]
+    n = _joined(cells["counts"])
+    distinct, place = np.unique(np.concatenate(h), return_inverse=True)
+    return distinct, np.bincount(place, weights=n, minlength=len(distinct)).astype(np.int64), place, n, np.cumsum([len(x) for x in h]).tolist()
+
+
+def _others(cells: pa.Table, sums: np.ndarray, place: np.ndarray, n: np.ndarray, ends: list[int]) -> pa.Table:
+    """For each cell, what is counted elsewhere of each of its n-grams."""
+    rest = sums[place] - n
+    return pa.table({"block": cells["block"], "part": cells["part"], "others": pa.array([_narrow(rest[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())})
+
+
+def corpus_counts(cells: DataFrame, blocks: int, bits: int, level: int = 0) -> DataFrame:
+    """(block, part, others) for each cell (block, part, hashes, counts): counts of its n-grams in all other blocks."""
+    schema, fan = "block int, part long, others binary", FAN_BITS
+    if blocks <= 1 << fan:
+
+        def adding(own: pa.Table) -> pa.Table:
+            _, sums, *rest = _added(own)
+            return _others(own, sums, *rest)
+
+        return cells.groupBy("part").applyInArrow(adding, schema)
+
+    low = max(bits - (level + 2) * fan, 0)
+
+    def merging(own: pa.Table) -> pa.Table:
+        distinct, sums, *_ = _added(own)
+        return _cells(own["block"][0].as_py() >> fan, low, distinct, sums)
+
+    def returning(own: pa.Table, above: pa.Table) -> pa.Table:
+        _, sums, *rest = _added(own)
+        return _others(own, sums + _joined(above.sort_by("part")["others"]), *rest)
+
+    together = F.shiftright("block", fan)
+    merged = cells.groupBy(together.alias("many"), "part").applyInArrow(merging, _CELLS)
+    above = corpus_counts(merged, -(-blocks >> fan), bits, level + 1)
+    return cells.groupBy(together, F.col("part")).cogroup(above.groupBy(F.col("block"), F.shiftright("part", fan))).applyInArrow(returning, schema)
 
 
 def _deltas(h: np.ndarray) -> bytes:
-    """Ascending hashes: bytes of a difference, the first hash, then each difference in as many bytes as the largest needs."""
+    """Ascending hashes: how many, bytes of a difference, the first hash, then each difference in as many bytes as
+    99 of 100 need; larger ones have all bits set there and follow in full."""
     d = np.diff(h)
-    size = max(1, -(-int(d.max(initial=0)).bit_length() // 8))
-    return bytes([size]) + h[:1].astype("<u8").tobytes() + np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+    common = int(np.partition(d, len(d) * 99 // 100)[len(d) * 99 // 100]) if len(d) else 0
+    size = min(8, max(1, -(-(common + 1).bit_length() // 8)))
+    most = (1 << 8 * size) - 1
+    large = d[d >= np.uint64(most)]
+    raw = np.minimum(d, np.uint64(most)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]
+    return len(h).to_bytes(8, "little") + bytes([size]) + h[:1].astype("<u8").tobytes() + np.ascontiguousarray(raw).tobytes() + large.astype("<u8").tobytes()
 
 
 def _from_deltas(data) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
-    d = np.zeros(((len(raw) - 9) // int(raw[0]), 8), np.uint8)
-    d[:, : raw[0]] = raw[9:].reshape(len(d), raw[0])
-    return np.cumsum(np.concatenate([raw[1:9].view("<u8"), d.view("<u8").ravel()]), dtype=np.uint64)
+    n, size = int.from_bytes(raw[:8].tobytes(), "little"), int(raw[8])
+    d = np.zeros((n - 1, 8), np.uint8)
+    d[:, :size] = raw[17 : 17 + (n - 1) * size].reshape(n - 1, size)
+    d = d.view("<u8").ravel()
+    d[d == np.uint64((1 << 8 * size) - 1)] = np.frombuffer(raw[17 + (n - 1) * size :].tobytes(), "<u8")
+    return np.cumsum(np.concatenate([raw[9:17].view("<u8"), d]), dtype=np.uint64)
 
 
 def _narrow(x: np.ndarray) -> bytes:
