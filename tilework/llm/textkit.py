@@ -18,6 +18,7 @@ SLICE_BYTES = 1 << 20
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x2545F4914F6CDD1D
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _SHINGLE = np.uint64(0xD6E8FEB86659FD93)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -33,15 +34,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = np.ones(1, dtype=np.uint64)
+_tables: dict[int, np.ndarray] = {}
 
 
-def _power_table(n: int) -> np.ndarray:
-    """1, B, B^2, ... modulo 2^64, at least n of them, grown by doubling."""
-    global _powers
-    while len(_powers) < n:
-        _powers = np.concatenate([_powers, _powers * np.uint64(pow(_BASE, len(_powers), 1 << 64))])
-    return _powers
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base^2, ... modulo 2^64, at least n of them, grown by doubling."""
+    table = _tables.get(base, np.ones(1, dtype=np.uint64))
+    while len(table) < n:
+        table = np.concatenate([table, table * np.uint64(pow(base, len(table), 1 << 64))])
+    if n <= 2 * SLICE_BYTES:  # those of a very long word aren't kept
+        _tables[base] = table
+    return table[:n]
 
 
 def release() -> None:
@@ -86,15 +89,17 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        if not len(self):
-            return np.zeros(0, dtype=np.uint64)
-        length = self.end - self.start
-        packed = np.concatenate([[0], np.cumsum(length)])
-        within = np.arange(packed[-1]) - np.repeat(packed[:-1], length)
-        letters = self.data[within + np.repeat(self.start, length)].astype(np.uint64) + np.uint64(1)
-        sums = np.add.reduceat(letters * _power_table(int(length.max()))[within], packed[:-1])
-        return mix(sums + _GOLDEN * length.astype(np.uint64))
+        """A 64-bit hash of each word: its letters as the digits of a number, from running sums over the bytes of a stretch."""
+        n, out, i = len(self), np.empty(len(self), dtype=np.uint64), 0
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(self.start, self.start[i] + SLICE_BYTES)))
+            begin, start, end = self.start[i], self.start[i:j] - self.start[i], self.end[i:j] - self.start[i]
+            size = int(end[-1])
+            sums = np.zeros(size + 1, dtype=np.uint64)
+            np.cumsum((self.data[begin : begin + size].astype(np.uint64) + np.uint64(1)) * _powers(_BASE, size), out=sums[1:])
+            out[i:j] = (sums[end] - sums[start]) * _powers(_INVERSE, size)[start]
+            i = j
+        return mix(out + _GOLDEN * (self.end - self.start).astype(np.uint64))
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
