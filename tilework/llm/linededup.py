@@ -10,8 +10,9 @@ common passage of WINDOW_WORDS + GRAM_WORDS + 3 * UNIT_WORDS - 4 words (48) has
 
 Each later occurrence of a fingerprint is joined to the first one (by id, text, unit) only, so a line
 that occurs in a third of all documents costs one row each and no pairs. A match is extended over
-equal neighbouring units as far as the next fingerprint on either side, which has a match of its own
-(units there are compared by 16 bits: one in 65,536 that ends a match is taken for equal).
+equal neighbouring units as far as the REACH-th fingerprint on either side: the next one has a match of
+its own, unless a window that looks beyond the passage chose it in one text only. (Units there are
+compared by 16 bits: one in 65,536 that ends a match is taken for equal.)
 Of what is matched in the later document, whole lines of LINE_WORDS words and more are deleted,
 shorter ones as part of a run of GRAM_WORDS, and parts of lines in a run of PASSAGE_WORDS.
 
@@ -39,6 +40,8 @@ from tilework.llm.textkit import binary, mix, text_slices, words
 from tilework.storage import materialize
 
 LINE_WORDS, UNIT_WORDS, GRAM_WORDS, WINDOW_WORDS, PASSAGE_WORDS = 3, 4, 8, 32, 20
+#: Fingerprints to which a match is extended on either side.
+REACH = 2
 
 _BASE = 0x9FB21C651E98DF25
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -105,12 +108,15 @@ def fingerprints(u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own[~whole] = _MAX
     # the window of a unit: grams that start before WINDOW_WORDS words are over
     window = np.minimum(np.searchsorted(upto, before + WINDOW_WORDS) + 1, document_end)
-    best, least = np.arange(n), own.copy()
-    for d in range(1, int((window - np.arange(n)).max(initial=0))):
-        at = np.arange(n - d)
-        better = (at + d < window[: n - d]) & (own[d:] < least[: n - d])
-        least[: n - d][better] = own[d:][better]
-        best[: n - d][better] = at[better] + d
+    # the first least gram of each window, from those of two stretches of a power of two that cover it
+    span = window - np.arange(n)
+    best, lead, size = np.arange(n), np.arange(n), 1
+    while size <= span.max(initial=0):
+        at = np.flatnonzero((span >= size) & (span < 2 * size))
+        a, b = lead[at], lead[window[at] - size]
+        best[at] = np.where(own[b] < own[a], b, a)
+        a, b = lead[:-size], lead[size:]
+        lead, size = np.where(own[b] < own[a], b, a), 2 * size
     # windows that reach beyond a text's last gram tell nothing more, save its first one
     last = np.maximum.accumulate(np.where(whole, np.arange(n), 0))[document_end - 1]
     first_of_text = np.searchsorted(u.row, u.row) == np.arange(n)
@@ -141,9 +147,9 @@ def _fingerprint_table(docs: DataFrame, alone: bool = False) -> DataFrame:
                     continue
                 own = u.row[at]
                 begin, low, high = np.searchsorted(u.row, own), np.searchsorted(u.row, own), np.searchsorted(u.row, own, side="right")
-                same = own[1:] == own[:-1]
-                low[1:][same] = at[:-1][same]
-                high[:-1][same] = stop[1:][same]
+                same = own[REACH:] == own[:-REACH]
+                low[REACH:][same] = at[:-REACH][same]
+                high[:-REACH][same] = stop[REACH:][same]
                 high = np.maximum(high, stop)
                 narrow = u.hash.astype(np.uint16)
                 take = lambda a, b: binary(narrow[np.arange((b - a).sum()) + np.repeat(a - np.cumsum(b - a) + (b - a), b - a)].view(np.uint8), 2 * (b - a))  # noqa: B023, E731
@@ -160,14 +166,15 @@ def _extended(df: DataFrame) -> DataFrame:
     """(doc_id, text_hash, first, end) of repeated units, from matches with the units beside both."""
 
     def common(a: bytes, b: bytes, backwards: bool) -> int:
-        if not a or not b:
+        """How many pairs of bytes are equal, from the first or from the last one on."""
+        n = min(len(a), len(b))
+        if not n:
             return 0
-        x, y = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
-        if backwards:
-            x, y = x[::-1], y[::-1]
-        n = min(len(x), len(y))
-        other = np.flatnonzero(x[:n] != y[:n])
-        return int(other[0]) if len(other) else n
+        x, y = (a[-n:], b[-n:]) if backwards else (a[:n], b[:n])
+        if x == y:
+            return n // 2
+        differ = int.from_bytes(x, "little") ^ int.from_bytes(y, "little")
+        return (8 * n - differ.bit_length() if backwards else (differ & -differ).bit_length() - 1) // 16
 
     def run(batches):
         for batch in batches:
