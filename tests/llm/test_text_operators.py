@@ -39,9 +39,11 @@ def brute_scores(rows, order):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_scores_equal_brute_force(spark, monkeypatch, order):
-    monkeypatch.setattr(lmscore, "BLOCK_BYTES", 4000)
+@pytest.mark.parametrize(("order", "fan"), [(1, 8), (2, 8), (3, 8), (3, 1)])
+def test_scores_equal_brute_force(spark, monkeypatch, order, fan):
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", 4000 if fan == 8 else 12000)
+    monkeypatch.setattr(lmscore, "LEAST_BYTES", 12000)
+    monkeypatch.setattr(lmscore, "FAN_BITS", fan)  # blocks are added up in several levels
     rows = corpus()
     got = lmscore.stupid_backoff(clashing(frame(spark, rows)), order).collect()
     key = lambda i, n, s: (i is None, i or 0, n, round(s, 6))
@@ -66,43 +68,130 @@ def test_cells_unpack():
         assert (lmscore._from_deltas(lmscore._deltas(h)) == h).all()
         x = r.integers(1, 600, n)
         assert (lmscore._wide(lmscore._narrow(x)) == x).all()
-    ends = np.array([0, (1 << 64) - 1], np.uint64)
-    assert (lmscore._from_deltas(lmscore._deltas(ends)) == ends).all()
+    for ends in ([0, (1 << 64) - 1], [5], [0, *range(255, 1000), 1 << 60, (1 << 60) + 1]):
+        ends = np.array(ends, np.uint64)
+        assert (lmscore._from_deltas(lmscore._deltas(ends)) == ends).all()
+
+
+def test_the_count_table_has_the_same_rows_for_each_block(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", 20000)
+    monkeypatch.setattr(lmscore, "LEAST_BYTES", 20000)
+    listed = []
+    real = lmscore.corpus_counts
+    monkeypatch.setattr(lmscore, "corpus_counts", lambda cells, blocks, *rest: listed.append((cells.count(), blocks)) or real(cells, blocks, *rest))
+    for n in (60, 480):
+        lmscore.stupid_backoff(frame(spark, [(i, t) + ("en", "s", 0) for i, (_, t, *_) in enumerate(corpus(n)[:n])]), 3).count()
+    (few, a), (many, b) = listed
+    assert many / b <= 1.2 * few / a and few / a <= 256
 
 
 # --- line dedup
 
 
 def test_lines_equal_brute_force(spark):
-    rows = [(r[0], r[1], *r[2:]) for r in corpus() if r[0] is not None]
+    rows = corpus()
     got = linededup.dedup_lines(clashing(frame(spark, rows)))
-    assert {"n_lines", "removed", "removed_"} <= set(got.columns)
+    assert {"n_lines", "removed", "removed_", "removed_words"} <= set(got.columns)
     by = {}
     for x in got.collect():
         by.setdefault((x.doc_id, x.n_lines), []).append(x)
-    order = {(r.doc_id, r.text): r.h for r in frame(spark, rows).select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    assert sum(map(len, by.values())) == len(rows)
+    order = {(r.doc_id, r.text): r.h for r in frame(spark, rows).select("doc_id", "text", F.hash("text").alias("h")).collect()}
     seen = set()
-    for i, text in sorted({(r[0], r[1]) for r in rows}, key=lambda k: (k[0], order[k])):
+    for i, text in sorted({(r[0], r[1]) for r in rows}, key=lambda k: (k[0] is not None, k[0] or 0, order[k])):
         lines = (text or "").split("\n")
-        found = [x for x in by[(i, 0 if text is None else len(lines))] if x.text == text or x.removed_]
-        gone = set(found[0].removed_)
-        assert found[0].text == (None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in gone))
+        (found, *_) = [x for x in by[(i, 0 if text is None else len(lines))] if x.text == text or x.removed_words]
+        gone = set(found.removed_)
+        if not found.removed_words:
+            assert found.text == text
         for k, line in enumerate(lines):
             w = " ".join(words_of(line, lower=False))
             n = len(w.split())
-            if n >= linededup.GRAM_WORDS:
+            if n >= linededup.LINE_WORDS and len(set(w.split())) > 1:
                 assert (k in gone) == (w in seen), (i, k, line)
             elif k in gone:
-                assert w in seen
+                assert w in seen or len(set(w.split())) == 1
             if n:
                 seen.add(w)
 
 
+def plain_without(text, ranges):
+    """The rule for one text, a unit at a time."""
+    raw = text.encode()
+    u = linededup.units_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    n, run, i = len(u.row), [], 0
+    found = [any(a <= k < b for a, b in ranges) for k in range(n)]
+    while i < n:
+        j = i
+        while j < n and found[j] == found[i]:
+            j += 1
+        run += [int(u.count[i:j].sum()) * found[i]] * (j - i)
+        i = j
+    line = lambda k: [j for j in range(n) if u.line[j] == u.line[k]]
+    whole = lambda k: all(found[j] for j in line(k)) and (sum(u.count[j] for j in line(k)) >= linededup.LINE_WORDS or run[k] >= linededup.GRAM_WORDS)
+    gone = [found[k] and (run[k] >= linededup.PASSAGE_WORDS or whole(k)) for k in range(n)]
+    out, removed = [], []
+    for i, x in enumerate(text.split("\n")):
+        own = [k for k in range(n) if u.line[k] == i]
+        if own and all(gone[k] for k in own):
+            removed.append(i)
+        else:
+            out.append(" ".join(raw[u.start[k] : u.end[k]].decode() for k in own if not gone[k]) if any(gone[k] for k in own) else x)
+    return "\n".join(out), removed, int(sum(u.count[k] for k in range(n) if gone[k]))
+
+
+def test_deletions_equal_the_plain_rule():
+    import random
+
+    r = random.Random(0)
+    texts, ranges = [], []
+    for _ in range(200):
+        text = "\n".join(" ".join(f"w{r.randrange(40)}" for _ in range(r.choice([0, 1, 2, 5, 9, 30, 60]))) for _ in range(r.randint(0, 6)))
+        n = len(linededup.units_of(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])).row)
+        firsts = [r.randrange(n) for _ in range(r.randint(0, 3))] if n else []
+        texts.append(text)
+        ranges.append([(a, min(n, a + r.randint(1, 25))) for a in firsts])
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    flat = np.array([(i, a, b) for i, own in enumerate(ranges) for a, b in own]).T
+    new, length, at, line, words = linededup.without_repeats(np.frombuffer(b"".join(raw), np.uint8), offsets, *flat)
+    ends = np.cumsum(length)
+    for i, (a, b) in enumerate(zip(ends - length, ends, strict=True)):
+        assert (new[a:b].tobytes().decode(), line[at == i].tolist(), int(words[i])) == plain_without(texts[i], ranges[i])
+
+
+def test_passages_in_the_middle_of_lines_go(spark):
+    import random
+
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdefghij", k=r.randint(2, 7)))
+    passages = [" ".join(word() for _ in range(51)) for _ in range(5)]
+    rows = []
+    for i in range(40):
+        own = [word() for _ in range(150)]
+        at = r.randrange(150)
+        rows.append((i, " ".join([*own[:at], passages[i % 5], *own[at:]]) if i < 35 else " ".join(own)))
+    got = {x.doc_id: x for x in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        left = got[i].text.split()
+        if i < 5 or i >= 35:
+            assert got[i].text == text
+            continue
+        w = passages[i % 5].split()
+        kept = [x for x in w if f" {x} " in f" {got[i].text} "]
+        assert len(left) == len(text.split()) - got[i].removed_words and 25 <= got[i].removed_words <= 51 and len(kept) <= 28
+        others = text.replace(passages[i % 5], "").split()
+        assert all(x in left for x in others)
+
+
 def test_runs_of_short_lines_are_extended_both_ways(spark):
     run = "\n".join(f"short line {i}" for i in range(20))
     rows = [(1, "own start\n" + run + "\nown end"), (2, "x y\n" + run + "\nz"), (3, "other text that has nothing to do with it at all")]
     got = {x.doc_id: x for x in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].removed == [] and got[2].text == "x y\nz" and got[3].removed == []
+    alone = [(i, f"own words {i} of this text only\nAll rights reserved\nnothing like it {i} at all here") for i in range(6)]
+    got = linededup.dedup_lines(spark.createDataFrame(alone, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.removed) for x in got) == [(0, []), *((i, [1]) for i in range(1, 6))]
 
 
 def test_repeats_inside_a_text(spark):

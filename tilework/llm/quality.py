@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tilework.llm.textkit import text_slices, words
 
 #: Labelled rows that a model is fitted on at most, and folds that choose its shrinkage.
-FIT_ROWS, FOLDS = 50_000, 4
+FIT_ROWS, FOLDS = 20_000, 4
 #: Shrinkages that are tried: of a class's covariance to the pooled one, of that to its mean variance.
 TO_POOLED, TO_SPHERE = (0.0, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7), (0.001, 0.005, 0.02, 0.05, 0.1, 0.3)
 #: A document is predicted to be of label 1 from this score on.
