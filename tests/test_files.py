@@ -48,12 +48,12 @@ def test_files_become_rows_and_bad_ones_errors(spark, px, tmp_path):
     (tmp_path / "e.svg").write_text('<!DOCTYPE svg [<!ENTITY a "a">]><svg/>')
     (tmp_path / "f.svg").write_text('<svg viewBox="0 0 4 4"><rect width="4" height="4" fill="#f00"/></svg>')
     (tmp_path / "g.psd").write_bytes(psd(px)[:60])
-    got = {r.img_id: r for r in pictures.read_files(spark, [str(tmp_path)]).collect()}
+    got = {r.img_id.rpartition("/")[2]: r for r in pictures.read_files(spark, [str(tmp_path)]).collect()}
     assert {k for k, r in got.items() if r.error is None} == {"a.tga", "b.psd", "f.svg"}
     assert "allowed" in got["d.tga"].error and "refused" in got["e.svg"].error
     assert bytes(got["a.tga"].pixels) == bytes(got["b.psd"].pixels) == px.tobytes()
     runs = pictures.image_runs(pictures.read_files(spark, [str(tmp_path)]))
-    assert runs.where("img_id = 'f.svg'").agg(F.sum(F.expr("x1 - x0 + 1"))).first()[0] == 16
+    assert runs.where("img_id LIKE '%/f.svg'").agg(F.sum(F.expr("x1 - x0 + 1"))).first()[0] == 16
     assert pictures.image_pixels(pictures.read_files(spark, [str(tmp_path / "a.tga")])).count() == 35
 
 
@@ -62,10 +62,36 @@ def test_png_round_trip_and_image_source(spark, px, tmp_path):
     opaque[..., 3] = 255
     (tmp_path / "a.png").write_bytes(drawings.png_bytes(opaque))
     (tmp_path / "b.png").write_bytes(b"junk")
-    got = {r.img_id: r for r in pictures.read_images(spark, [str(tmp_path)]).collect()}
+    got = {r.img_id.rpartition("/")[2]: r for r in pictures.read_images(spark, [str(tmp_path)]).collect()}
     assert bytes(got["a.png"].pixels) == opaque.tobytes() and got["b.png"].error
 
 
+def test_equal_names_in_two_folders_are_two_pictures(spark, px, tmp_path):
+    for folder in ("one", "two"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a.tga").write_bytes(tga(px))
+    images = pictures.read_files(spark, [str(tmp_path / "*")])
+    assert images.select("img_id").distinct().count() == 2
+    files = spark.createDataFrame([(f"file:/{n}", bytearray(b"1")) for n in ("x/a.png", "y/A.png", "y/b.png")], "img_id string, content binary")
+    names = sorted(r.name for r in drawings.named(files, "svg").collect())
+    assert len({n.lower() for n in names}) == 3 and names[-1] == "b.svg" and all(n.lower().startswith("a-") for n in names[:2])
+
+
+def test_a_psd_of_many_channels_is_refused(px):
+    many = bytearray(psd(px))
+    many[12:14] = struct.pack(">H", 60000)
+    with pytest.raises(ValueError, match="channels"):
+        pictures.read_psd(bytes(many))
+
+
+def test_svg_reads_curves_circles_and_gradients():
+    svg = b'<svg viewBox="0 0 20 20"><defs><linearGradient id="g" gradientUnits="userSpaceOnUse" x1="0" y1="0" x2="20" y2="0"><stop offset="0" stop-color="#000000"/><stop offset="1" stop-color="#ffffff"/></linearGradient></defs><rect width="20" height="20" fill="url(#g)"/><circle cx="10" cy="10" r="5" fill="#ff0000"/><path fill="#0000ff" d="M0 0C5 0 5 5 5 5L0 5Z"/></svg>'
+    _, _, raw = pictures.read_svg(svg)
+    got = np.frombuffer(raw, np.uint8).reshape(20, 20, 4)
+    assert got[10, 10].tolist() == [255, 0, 0, 255] and got[4, 1].tolist() == [0, 0, 255, 255] and got[0, 5].tolist() != [0, 0, 255, 255]
+    assert got[19, 0, 0] == 6 and got[19, 19, 0] == 249 and (np.diff(got[19, :, 0].astype(int)) > 0).all()
+
+
 def test_svg_pattern_is_laid_out_in_rectangles():
     svg = b'<svg viewBox="0 0 4 2"><defs><pattern id="p" width="2" height="1"><rect width="1" height="1" fill="#000"/><rect x="1" width="1" height="1" fill="#fff"/></pattern></defs><rect width="4" height="2" fill="url(#p)"/></svg>'
     _, _, data = pictures.read_svg(svg)
@@ -118,7 +144,7 @@ def test_names_and_overwriting(spark, tmp_path):
 
 
 def test_settings_are_checked():
-    assert Settings(colors=64).tolerance("photo") > Settings().tolerance("pixel_art") == 0
+    assert Settings(colors=64).tolerance("photo", "low") > Settings().tolerance("pixel_art", "high") == 0
     for bad in ({"category": "x"}, {"colors": 0}, {"colors": 65}, {"svg_decimals": 4}, {"regularize": 2}, {"simplify": "much"}, {"page": 0}, {"background": -1}):
         with pytest.raises(ValueError):
             Settings(**bad)
@@ -149,11 +175,11 @@ def test_folder_stream(spark, px, tmp_path):
     (tmp_path / "in/a.tga").write_bytes(tga(px))
     (tmp_path / "in/b.tga").write_bytes(b"bad")
     seen = []
-    stream.trace_arriving(spark, str(tmp_path / "in"), str(tmp_path / "check"), lambda df, _: seen.extend(r.img_id for r in df.collect())).awaitTermination(60)
-    assert seen == ["a.tga"]
+    stream.trace_arriving(spark, str(tmp_path / "in"), str(tmp_path / "check"), lambda df, _: seen.extend(r.img_id.rpartition("/")[2] for r in df.collect())).awaitTermination(60)
+    assert sorted(seen) == ["a.tga", "b.tga"]
     (tmp_path / "in/c.tga").write_bytes(tga(px))
-    stream.trace_arriving(spark, str(tmp_path / "in"), str(tmp_path / "check"), lambda df, _: seen.extend(r.img_id for r in df.collect())).awaitTermination(60)
-    assert seen == ["a.tga", "c.tga"]
+    stream.trace_arriving(spark, str(tmp_path / "in"), str(tmp_path / "check"), lambda df, _: seen.extend(r.img_id.rpartition("/")[2] for r in df.collect())).awaitTermination(60)
+    assert sorted(seen) == ["a.tga", "b.tga", "c.tga"]
     q = stream.colour_counts(stream.arriving(spark, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("sizes").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("sizes").first().pictures == 2
@@ -161,5 +187,5 @@ def test_folder_stream(spark, px, tmp_path):
 
 def test_sample_traces(spark):
     shapes, _ = trace_pictures(pictures.image_pixels(pictures.sample(spark)))
-    assert shapes.where("rgb = 14696480").first().primitive == "rectangle"
+    assert shapes.where("rgb = 14696480").first().primitive.kind == "rectangle"
     assert tiles.palette(pictures.image_pixels(pictures.sample(spark))).count() == 3

@@ -34,7 +34,7 @@ def test_query_equals_sql(spark, folder, name):
 
 
 def test_two_colours_are_left(spark, folder):
-    got = queries.REDUCED_ROWS_ONLY["reduced_to_two_colours"](spark, folder)
+    got = queries.queries()["reduced_to_two_colours"](spark, folder)
     assert got.groupBy("img_id").agg({"area": "sum"}).where("`sum(area)` <> 64").isEmpty()
     assert got.select("img_id", "rgb").distinct().groupBy("img_id").count().where("count > 2").isEmpty()
 

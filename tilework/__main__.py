@@ -48,8 +48,8 @@ def main(arguments: list[str] | None = None) -> int:
         options = {"decimals": settings.svg_decimals, "smallest": settings.svg_smallest}
     if given["format"] == "png":
         options = {"background": None if settings.png_background == "clear" else 0xFFFFFF}
-    made = drawings.drawings(shapes, sizes, given["format"], **options)
-    files = images.where("error IS NOT NULL").select(F.col("img_id").alias("name"), F.lit(None).cast("binary").alias("content")).unionByName(made.select(drawings.output_names(F.col("img_id"), given["format"]).alias("name"), "content"))
+    made = drawings.drawings(shapes, sizes, given["format"], settings.stack == "grouped", **options)
+    files = images.where("error IS NOT NULL").select(F.col("img_id").alias("name"), F.lit(None).cast("binary").alias("content")).unionByName(drawings.named(made, given["format"]))
     saved = drawings.save(files, given["output"], settings.overwrite)
     if given["stats"]:
         statistics(shapes).show(1000, truncate=False)

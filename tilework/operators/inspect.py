@@ -15,13 +15,17 @@ from tilework.sources.tiles import palette, row_runs
 
 #: Most pixels of a picture on a cluster, and edge counts from which a run is long.
 MAX_PIXELS, LONG_RUN_EDGES = 100_000_000, 400_000
+#: Shades of grey above which a picture of greys alone can be a photo.
+GREYS = 64
 
 
 def summary(pixels: DataFrame) -> DataFrame:
     """(img_id, width, height, transparent, colours, flat_share, kind, quality).
 
-    flat_share: part of the horizontal neighbours with equal colours. Kinds: pixel_art, if small, in
-    few colours and without soft steps; photo, if many colours and few flat steps; else artwork.
+    flat_share: part of the horizontal neighbours with equal colours. Kinds: photo, if less than half is
+    flat and there are many colours (in a grey picture, which has 256 at most, more than GREYS); pixel_art,
+    if small and in few colours; else artwork. So a drawing that holds photographs is artwork as long as
+    half of it is flat, and a portrait on plain ground is a photo if its colours take the larger part.
     """
     row = Window.partitionBy("img_id", "y").orderBy("x")
     step = pixels.withColumn("next", F.lead("rgb").over(row))
@@ -32,10 +36,11 @@ def summary(pixels: DataFrame) -> DataFrame:
         F.countDistinct("rgb").alias("colours"),
         F.count("next").alias("steps"),
         F.count(F.when(F.col("next") == F.col("rgb"), 1)).alias("flat"),
+        F.min(((colour.red(F.col("rgb")) == colour.green(F.col("rgb"))) & (colour.green(F.col("rgb")) == colour.blue(F.col("rgb")))).cast("int")).alias("grey"),
     )
     facts = facts.withColumn("flat_share", F.when(F.col("steps") > 0, F.col("flat") / F.col("steps")).otherwise(1.0))
     longest = F.greatest("width", "height")
-    photo = (F.col("colours") > 256) & (F.col("flat_share") < 0.5)
+    photo = (F.col("colours") > F.when(F.col("grey") == 1, GREYS).otherwise(256)) & (F.col("flat_share") < 0.5)
     art = (longest <= 256) & (F.col("colours") <= 64)
     quality = F.when(longest < 48, "low").when(longest <= 160, "medium").otherwise("high")
     return facts.select("img_id", "width", "height", "transparent", "colours", "flat_share", F.when(photo, "photo").when(art, "pixel_art").otherwise("artwork").alias("kind"), quality.alias("quality"))

@@ -13,6 +13,13 @@ def stack_order(regions: DataFrame) -> DataFrame:
     return regions.select("img_id", "region_id", "rgb", "area", F.row_number().over(Window.partitionBy("img_id").orderBy(F.desc("area"), "region_id")).alias("z"))
 
 
+def drawing_order(regions: DataFrame) -> DataFrame:
+    """(img_id, region_id, rgb, area, z): by falling size of the bounding box, so that what a shape encloses is drawn after it."""
+    box = (F.col("x1") - F.col("x0") + 1).cast("long") * (F.col("y1") - F.col("y0") + 1)
+    w = Window.partitionBy("img_id").orderBy(F.desc(box), F.desc("area"), "region_id")
+    return regions.select("img_id", "region_id", "rgb", "area", F.row_number().over(w).alias("z"))
+
+
 def under_strips(stacked: DataFrame, borders: DataFrame) -> DataFrame:
     """(img_id, lower, upper, border): the lower region of each neighbouring pair reaches under their common edge."""
     a, b = (stacked.select("img_id", F.col("region_id").alias(f"region_{s}"), F.col("z").alias(f"z_{s}")) for s in "ab")
@@ -21,18 +28,19 @@ def under_strips(stacked: DataFrame, borders: DataFrame) -> DataFrame:
     return pairs.select("img_id", F.when(first, F.col("region_a")).otherwise(F.col("region_b")).alias("lower"), F.when(first, F.col("region_b")).otherwise(F.col("region_a")).alias("upper"), "border")
 
 
-def fields_under_dots(labelled: DataFrame) -> DataFrame:
-    """(img_id, field, dots, dot_area): regions that are the only neighbour of others off the picture's edge.
-
-    Such a field can be drawn whole, beneath its dots, which saves a strip round each.
-    """
+def dots_of_fields(labelled: DataFrame) -> DataFrame:
+    """(img_id, field, dot, area): regions off the picture's edge that have one neighbour only, their field."""
     borders = adjacency(labelled)
     sides = borders.select("img_id", F.col("region_a").alias("dot"), F.col("region_b").alias("field")).union(borders.select("img_id", "region_b", "region_a"))
     inner = sides.groupBy("img_id", "dot").agg(F.count("*").alias("n"), F.min("field").alias("field")).where("n = 1")
     size = labelled.groupBy("img_id").agg(F.max("x").alias("w"), F.max("y").alias("h"))
     boxes = labelled.join(size, "img_id").groupBy("img_id", F.col("region_id").alias("dot")).agg(F.max((F.expr("x = 0 OR y = 0 OR x = w OR y = h")).cast("int")).alias("edge"), F.count("*").alias("area"))
-    dots = inner.join(boxes.where("edge = 0"), ["img_id", "dot"])
-    return dots.groupBy("img_id", "field").agg(F.count("*").alias("dots"), F.sum("area").alias("dot_area"))
+    return inner.join(boxes.where("edge = 0"), ["img_id", "dot"]).select("img_id", "field", "dot", "area")
+
+
+def fields_under_dots(labelled: DataFrame) -> DataFrame:
+    """(img_id, field, dots, dot_area): fields that can be drawn whole, beneath their dots, which saves a strip round each."""
+    return dots_of_fields(labelled).groupBy("img_id", "field").agg(F.count("*").alias("dots"), F.sum("area").alias("dot_area"))
 
 
 def colour_groups(regions: DataFrame) -> DataFrame:

@@ -1,41 +1,117 @@
 """Regions of equal colour, their boundaries, neighbours and shapes.
 
 A region is a 4-connected set of pixels of one colour, so every pixel of a checker is its own. Its
-id is the place y * STRIDE + x of its first pixel. Regions are found over runs, not pixels: runs of
-neighbouring rows that overlap and share a colour are edges, and union-find joins them, so that
-one huge picture is spread over tasks like a batch of small ones.
+id is the place y * STRIDE + x of its first pixel. Regions are found over runs, not pixels, in bands of
+BAND rows: a task joins the overlapping runs of its bands in numpy, for many small pictures at once.
+Only where a picture goes on in another band, runs on both sides of the seam are edges for the
+union-find over tables, so that one huge picture is spread over tasks like a batch of small ones.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilework.operators.components import components
 from tilework.sources.tiles import row_runs
+from tilework.storage import materialize
 
 #: More than any picture's width: places in different rows differ.
 STRIDE = 1 << 17
+#: Rows of a band.
+BAND = 64
+
+
+def joined_runs(piece: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, rgb: np.ndarray) -> np.ndarray:
+    """For each run the first one of its region; runs are in order of piece, y and x0, and regions end at pieces."""
+    n = len(y)
+    new = np.ones(n, dtype=bool)
+    new[1:] = (piece[1:] != piece[:-1]) | (y[1:] != y[:-1])
+    row = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    goes_on = np.zeros(len(first), dtype=bool)  # whether the row before is the one above
+    goes_on[1:] = (piece[first[1:]] == piece[first[:-1]]) & (y[first[1:]] == y[first[:-1]] + 1)
+    own = np.flatnonzero(goes_on[row])
+    above = (row[own] - 1) * STRIDE
+    low = np.searchsorted(row * STRIDE + x1, above + x0[own])
+    size = np.searchsorted(row * STRIDE + x0, above + x1[own], side="right") - low
+    u = np.repeat(own, size)
+    v = np.arange(len(u)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+    same = rgb[u] == rgb[v]
+    u, v = u[same], v[same]
+    label = np.arange(n)
+    while len(u):
+        a, b = label[u], label[v]
+        open_ = a != b
+        u, v, a, b = u[open_], v[open_], a[open_], b[open_]
+        least = np.minimum(a, b)
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        while True:  # every run to the end of its chain
+            further = label[label]
+            if (further == label).all():
+                break
+            label = further
+    return label
+
+
+def _in_bands(runs: DataFrame) -> DataFrame:
+    """(img_id, band, y, x0, x1, rgb, root): root is the place of the first run that a run is joined with in its band."""
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+            out, rest = label(table, last=False)
+            yield from out
+        if rest is not None:
+            yield from label(pa.Table.from_batches([rest]), last=True)[0]
+
+    def label(table: pa.Table, last: bool):
+        name, columns = table["img_id"].combine_chunks().dictionary_encode(), [table[c].to_numpy() for c in ("band", "y", "x0", "x1", "rgb")]
+        band, y, x0, x1, rgb = (c.astype(np.int64) for c in columns)
+        code = name.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.ones(len(y), dtype=bool)
+        new[1:] = (code[1:] != code[:-1]) | (band[1:] != band[:-1])
+        # the last picture's band may go on in the next batch
+        end = len(y) if last else int(np.flatnonzero(new)[-1]) if len(y) else 0
+        piece = np.cumsum(new)[:end]
+        first = joined_runs(piece, y[:end], x0[:end], x1[:end], rgb[:end])
+        root = (y * STRIDE + x0)[first]
+        done = table.slice(0, end).append_column("root", pa.array(root))
+        left = table.slice(end).combine_chunks().to_batches()
+        return done.to_batches(), left[0] if left else None
+
+    kind = runs.schema["img_id"].dataType.simpleString()
+    dealt = runs.select("img_id", F.floor(F.col("y") / BAND).cast("int").alias("band"), "y", "x0", "x1", "rgb").repartition("img_id", "band").sortWithinPartitions("img_id", "band", "y", "x0")
+    return dealt.mapInArrow(run, f"img_id {kind}, band int, y int, x0 int, x1 int, rgb int, root long")
 
 
 def label_runs(runs: DataFrame) -> DataFrame:
     """runs with region_id. Runs: (img_id, y, x0, x1, rgb)."""
-    place = F.col("y").cast("long") * STRIDE + F.col("x0")
-    own = runs.withColumn("place", place).withColumn("node", F.struct("img_id", "place"))
-    # overlapping runs of two rows meet in a tile of both, so the join has keys and no row is compared to all
-    reach = own.withColumn("cell", F.explode(F.sequence(F.floor(F.col("x0") / 64), F.floor(F.col("x1") / 64))))
-    upper = reach.select("img_id", "rgb", "cell", (F.col("y") + 1).alias("y"), F.col("x0").alias("a"), F.col("x1").alias("b"), F.col("node").alias("v"))
-    edges = reach.join(upper, ["img_id", "rgb", "cell", "y"]).where("a <= x1 AND x0 <= b").select(F.col("node").alias("u"), "v")
-    ids = edges.select(F.struct(F.col("u.img_id").alias("i"), F.col("u.place").alias("p")).alias("u"), F.struct(F.col("v.img_id").alias("i"), F.col("v.place").alias("p")).alias("v"))
-    labels = components(ids).select(F.col("node.i").alias("img_id"), F.col("node.p").alias("place"), F.col("label.p").alias("root"))
-    named = own.drop("node").join(labels, ["img_id", "place"], "left")
-    return named.select("img_id", "y", "x0", "x1", "rgb", F.coalesce("root", "place").alias("region_id"))
+    own = materialize(_in_bands(runs), "bands")
+    named = own.select("img_id", "y", "x0", "x1", "rgb", F.col("root").alias("region_id"))
+    if own.where("band > 0").isEmpty():
+        return named
+    # overlapping runs on both sides of a seam meet in a tile of both, so the join has keys and no row is compared to all
+    reach = lambda df: df.withColumn("cell", F.explode(F.sequence(F.floor(F.col("x0") / 64), F.floor(F.col("x1") / 64))))
+    upper = reach(own.where((F.col("y") + 1) % BAND == 0)).select("img_id", "rgb", "cell", (F.col("y") + 1).alias("y"), F.col("x0").alias("a"), F.col("x1").alias("b"), F.col("root").alias("above"))
+    seams = reach(own.where((F.col("y") % BAND == 0) & (F.col("y") > 0))).join(upper, ["img_id", "rgb", "cell", "y"]).where("a <= x1 AND x0 <= b")
+    node = lambda c: F.struct(F.col("img_id").alias("i"), F.col(c).alias("p"))
+    labels = components(seams.select(node("root").alias("u"), node("above").alias("v"))).select(F.col("node.i").alias("img_id"), F.col("node.p").alias("region_id"), F.col("label.p").alias("least"))
+    return named.join(labels, ["img_id", "region_id"], "left").select("img_id", "y", "x0", "x1", "rgb", F.coalesce("least", "region_id").alias("region_id"))
+
+
+def run_pixels(runs: DataFrame) -> DataFrame:
+    """(img_id, x, y, rgb, region_id): the pixels of labelled runs."""
+    return runs.select("img_id", F.explode(F.sequence("x0", "x1")).alias("x"), "y", "rgb", "region_id")
 
 
 def label_pixels(pixels: DataFrame) -> DataFrame:
     """(img_id, x, y, rgb, region_id)."""
-    runs = label_runs(row_runs(pixels))
-    return runs.select("img_id", F.explode(F.sequence("x0", "x1")).alias("x"), "y", "rgb", "region_id")
+    return run_pixels(label_runs(row_runs(pixels)))
 
 
 def region_table(runs: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 A chain is a piece of border between the same two regions, from junction to junction (a lattice
 point where three sides or more meet), or a closed loop. Each is fitted once and used by both
-regions, so neighbours meet exactly. Outside the picture is region -1. Sides, junctions and
-pairs are relational; only walking along a pair's sides is done by a grouped function, whose
-groups are some of a picture's borders: a small picture is one group, a large one many.
+regions, so neighbours meet exactly. Outside the picture is region -1. Sides and junctions come
+from windows over rows, columns and lattice points; only walking along sides is done by a grouped
+function, in numpy and for many borders at once: borders are dealt by hash into groups of about
+GROUP_ROWS sides, so that a group holds some of a large picture or many small ones.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilework.storage import materialize
+
 OUTSIDE = -1
 #: Sides or chains that a grouped task gets, about.
 GROUP_ROWS = 20_000
@@ -24,15 +27,22 @@ GROUP_ROWS = 20_000
 def boundary_sides(labelled: DataFrame) -> DataFrame:
     """(img_id, left, right, ax, ay, bx, by): directed sides with the region `left` to their left (y points down).
 
-    Each pixel gives its four sides, clockwise round it on the screen so that its inside is to the
-    right; sides between two regions are kept once, from the region with the greater id.
+    The sides of a pixel go clockwise round it on the screen, so that its inside is to the right;
+    a side between two regions is listed once, as that of the region with the greater id.
     """
-    x, y = F.col("x"), F.col("y")
-    corners = [("up", 0, -1, x, y, x + 1, y), ("right", 1, 0, x + 1, y, x + 1, y + 1), ("down", 0, 1, x + 1, y + 1, x, y + 1), ("left", -1, 0, x, y + 1, x, y)]
-    sides = labelled.select("img_id", F.col("region_id").alias("own"), F.explode(F.array(*(F.struct((x + dx).alias("nx"), (y + dy).alias("ny"), ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by")) for _, dx, dy, ax, ay, bx, by in corners))).alias("s")).select("img_id", "own", "s.*")
-    near = labelled.select("img_id", F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("region_id").alias("other"))
-    met = sides.join(near, ["img_id", "nx", "ny"], "left").withColumn("other", F.coalesce("other", F.lit(OUTSIDE).cast("long")))
-    return met.where("own > other").select("img_id", F.col("other").alias("left"), F.col("own").alias("right"), "ax", "ay", "bx", "by")
+    x, y, own = F.col("x"), F.col("y"), F.col("region_id")
+    up, right, down, left = (x, y, x + 1, y), (x + 1, y, x + 1, y + 1), (x + 1, y + 1, x, y + 1), (x, y + 1, x, y)
+    side = lambda a, b, p: F.struct(a.alias("left"), b.alias("right"), *(v.cast("int").alias(n) for v, n in zip(p, ("ax", "ay", "bx", "by"), strict=True)))
+    none, out = F.lit(OUTSIDE).cast("long"), []
+    for line, along, before, after in (("y", "x", left, right), ("x", "y", up, down)):
+        w = Window.partitionBy("img_id", line).orderBy(along)
+        near = labelled.select("img_id", "x", "y", "region_id", F.lag(along).over(w).alias("last"), F.lead(along).over(w).alias("next"), F.lead("region_id").over(w).alias("other"))
+        touches = F.coalesce(F.col("next") == F.col(along) + 1, F.lit(False))
+        first = F.when(F.coalesce(F.col("last") != F.col(along) - 1, F.lit(True)), side(none, own, before))
+        # the next pixel's side is this one's, the other way round
+        second = F.when(~touches, side(none, own, after)).when(own > F.col("other"), side(F.col("other"), own, after)).when(own < F.col("other"), side(own, F.col("other"), after[2:] + after[:2]))
+        out.append(near.select("img_id", F.explode(F.array_compact(F.array(first, second))).alias("s")).select("img_id", "s.*"))
+    return out[0].unionByName(out[1])
 
 
 def junctions(sides: DataFrame) -> DataFrame:
@@ -42,32 +52,30 @@ def junctions(sides: DataFrame) -> DataFrame:
     return met.where("n <> 2 OR pairs <> 1").select("img_id", "p.x", "p.y")
 
 
-def walk(sides: list[tuple[int, int, int, int]], stops: set[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Maximal chains of directed sides; they end at stops, or close."""
-    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for ax, ay, bx, by in sorted(sides):
-        out.setdefault((ax, ay), []).append((bx, by))
-    chains = []
-    for start in sorted(out, key=lambda p: (p not in stops, p)):
-        while out[start]:
-            chain = [start, out[start].pop(0)]
-            while chain[-1] not in stops and chain[-1] != start and out.get(chain[-1]):
-                chain.append(out[chain[-1]].pop(0))
-            chains.append(chain)
-    return chains
-
-
-def _straight(points: list[tuple[float, float]], closed: bool) -> list[tuple[float, float]]:
-    """Without the points in the middle of straight steps; a closed chain repeats its first point."""
-    ring = points[:-1] if closed else points
-    n = len(ring)
-    turns = [i for i in range(n) if (not closed and i in (0, n - 1)) or _cross(ring[i - 1], ring[i], ring[(i + 1) % n]) != 0]
-    kept = [ring[i] for i in turns]
-    return [*kept, kept[0]] if closed and kept else kept
-
+def walks(key_a: np.ndarray, key_b: np.ndarray, stop_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, chain): directed sides in the order of their chains, and the number of each one's chain.
 
-def _cross(a, b, c) -> float:
-    return (b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0])
+    Sides are in order of key_a; a chain goes on from a side to that which starts where it ends, but at
+    stops, and where none does; at other points just one starts. A closed loop starts at its first side.
+    """
+    n = len(key_a)
+    at = np.minimum(np.searchsorted(key_a, key_b), max(n - 1, 0))
+    follows = np.where(~stop_b & (key_a[at] == key_b), at, -1) if n else np.zeros(0, np.int64)
+    steps = max(1, n.bit_length())
+    here = np.arange(n)
+    jump, least = np.where(follows >= 0, follows, here), here.copy()
+    for _ in range(steps):
+        least, jump = np.minimum(least, least[jump]), jump[jump]
+    loop = follows[jump] >= 0
+    follows[loop & (least[np.maximum(follows, 0)] == follows)] = -1  # a loop ends before its first side
+    far, jump = (follows >= 0).astype(np.int64), np.where(follows >= 0, follows, here)
+    for _ in range(steps):
+        far, jump = far + far[jump], jump[jump]
+    head = np.full(n, n)
+    np.minimum.at(head, jump, np.where(far == np.bincount(jump, minlength=n)[jump] - 1, here, n))
+    order = np.lexsort((-far, head[jump]))
+    first = head[jump][order]
+    return order, np.cumsum(np.concatenate([[0], first[1:] != first[:-1]])) if n else first
 
 
 def _far(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,60 +113,164 @@ def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tupl
     return [tuple(x) for x in out.tolist()]
 
 
-def chains(labelled: DataFrame, tolerance: float = 0.0) -> DataFrame:
-    """(img_id, left, right, chain, closed, nodes): every border once, its straight steps merged and simplified."""
+def chains(labelled: DataFrame, tolerance: float | DataFrame = 0.0) -> DataFrame:
+    """(img_id, left, right, chain, closed, nodes): every border once, its straight steps merged and simplified.
+
+    tolerance: one for all, or (img_id, tolerance) of each picture.
+    """
     sides = boundary_sides(labelled)
-    stops = junctions(sides).withColumn("stop", F.lit(True))
-    marked = sides
-    for end in "ab":
-        marked = marked.join(stops.select("img_id", F.col("x").alias(f"{end}x"), F.col("y").alias(f"{end}y"), F.col("stop").alias(f"{end}_stop")), ["img_id", f"{end}x", f"{end}y"], "left")
+    ends = sides.select("*", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.lit(1).alias("end"), F.col("bx").alias("x"), F.col("by").alias("y")))).alias("p"))
+    pair = F.struct("left", "right")
+    point = Window.partitionBy("img_id", "p.x", "p.y")
+    stop = (F.count("*").over(point) != 2) | (F.min(pair).over(point) != F.max(pair).over(point))
+    marked = materialize(ends.select("img_id", "left", "right", "ax", "ay", "bx", "by", F.col("p.end").alias("end"), stop.alias("stop")), "sides")
+    if isinstance(tolerance, DataFrame):
+        marked = marked.join(tolerance.select("img_id", F.col("tolerance").cast("double").alias("tolerance")), "img_id")
+    else:
+        marked = marked.withColumn("tolerance", F.lit(float(tolerance)))
 
     def fit(table: pa.Table) -> pa.Table:
-        pairs: dict[tuple[int, int], tuple[list, set]] = {}
-        name = table["img_id"][0]
-        for r in table.to_pylist():
-            sides, own = pairs.setdefault((r["left"], r["right"]), ([], set()))
-            sides.append((r["ax"], r["ay"], r["bx"], r["by"]))
-            own.update(p for p, stop in (((r["ax"], r["ay"]), r["a_stop"]), ((r["bx"], r["by"]), r["b_stop"])) if stop)
-        rows = []
-        for (left, right), (sides, own) in sorted(pairs.items()):
-            for i, c in enumerate(walk(sides, own)):
-                closed = c[0] == c[-1]
-                rows.append((left, right, i, closed, simplified(_straight(c, closed and c[0] not in own), tolerance)))
-        return pa.table({"img_id": pa.array([name.as_py()] * len(rows), name.type), "left": pa.array([r[0] for r in rows], pa.int64()), "right": pa.array([r[1] for r in rows], pa.int64()), "chain": pa.array([r[2] for r in rows], pa.int32()), "closed": pa.array([r[3] for r in rows], pa.bool_()), "nodes": _node_lists([r[4] for r in rows])})
+        name = table["img_id"].combine_chunks().dictionary_encode()
+        code = name.indices.to_numpy(zero_copy_only=False)
+        left, right, ax, ay, bx, by, end, stop, limit = (table[c].to_numpy() for c in ("left", "right", "ax", "ay", "bx", "by", "end", "stop", "tolerance"))
+        # the two ends of a side come one after the other; sides by border and first point
+        order = np.lexsort((end, by, bx, ay, ax, right, left, code))
+        stop = stop[order].astype(bool)
+        stop_a, stop_b, order = stop[0::2], stop[1::2], order[0::2]
+        code, left, right, limit = code[order], left[order], right[order], limit[order]
+        ax, ay, bx, by = (c[order].astype(np.int64) for c in (ax, ay, bx, by))
+        new = np.ones(len(code), dtype=bool)
+        new[1:] = (code[1:] != code[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+        border = np.cumsum(new) - 1
+        place = lambda x, y: (border << 36) + (x << 18) + y
+        order, chain = walks(place(ax, ay), place(bx, by), stop_b)
+        ax, ay, bx, by, stop_a, border = (c[order] for c in (ax, ay, bx, by, stop_a, border))
+        head = np.flatnonzero(np.concatenate([[True], chain[1:] != chain[:-1]]))
+        tail = np.append(head[1:], len(chain)) - 1
+        closed = (ax[head] == bx[tail]) & (ay[head] == by[tail])
+        free = closed & ~stop_a[head]
+        turns = np.ones(len(chain), dtype=bool)
+        dx, dy = bx - ax, by - ay
+        turns[1:] = (chain[1:] != chain[:-1]) | (dx[1:] != dx[:-1]) | (dy[1:] != dy[:-1])
+        turns[head[free]] = (dx[head[free]] != dx[tail[free]]) | (dy[head[free]] != dy[tail[free]])
+        at = np.flatnonzero(turns)
+        size = np.bincount(chain[at], minlength=len(head))
+        start = np.cumsum(size) - size
+        # each chain's turning points, then its last point, or a free loop's first one again
+        last_x, last_y = np.where(free, ax[at[np.minimum(start, len(at) - 1)]], bx[tail]), np.where(free, ay[at[np.minimum(start, len(at) - 1)]], by[tail])
+        x, y = (np.insert(c[at].astype(float), start + size, e) for c, e in ((ax, last_x), (ay, last_y)))
+        size = size + 1
+        limit = limit[order][head]
+        if (limit > 0).any():
+            x, y, size = _simplified_all(x, y, size, limit)
+        of = order[head]
+        return pa.table({
+            "img_id": name.dictionary.take(pa.array(code[of])), "left": pa.array(left[of]), "right": pa.array(right[of]),
+            "chain": pa.array((np.arange(len(head)) - np.searchsorted(border[head], border[head])).astype(np.int32)), "closed": pa.array(closed), "nodes": _node_lists(x, y, size),
+        })
 
     kind = labelled.schema["img_id"].dataType.simpleString()
-    return _slotted(marked, ["left", "right"]).groupBy("img_id", "slot").applyInArrow(fit, f"img_id {kind}, left long, right long, chain int, closed boolean, nodes array<struct<x: double, y: double>>")
+    dealt = _dealt(marked, ["img_id", "left", "right"])
+    return dealt.groupBy("slot").applyInArrow(fit, f"img_id {kind}, left long, right long, chain int, closed boolean, nodes array<struct<x: double, y: double>>")
 
 
-def _slotted(df: DataFrame, keys: list[str]) -> DataFrame:
-    """df with a slot for each key, as many a picture as it has GROUP_ROWS rows: small pictures are one group, large ones many."""
-    size = df.groupBy("img_id").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("slots"))
-    return df.join(size, "img_id").withColumn("slot", F.pmod(F.xxhash64(*keys), F.col("slots")).cast("int")).drop("slots")
+def rejoined(chain_table: DataFrame, tolerance: DataFrame) -> DataFrame:
+    """Chains that go on in others, where a junction is none any more, as one; each simplified to (img_id, tolerance).
 
+    For borders some of which went because regions were merged: no side of a pixel is looked at again.
+    """
+    point = lambda p, end: F.struct(F.lit(end).alias("end"), p["x"].alias("x"), p["y"].alias("y"))
+    table = materialize(chain_table.withColumn("__id", F.xxhash64("img_id", "left", "right", "chain", "nodes")), "rejoining")
+    ends = table.select("img_id", "__id", "left", "right", F.explode(F.array(point(F.element_at("nodes", 1), 0), point(F.element_at("nodes", -1), 1))).alias("p"))
+    w = Window.partitionBy("img_id", "p.x", "p.y")
+    pair = F.struct("left", "right")
+    stop = (F.count("*").over(w) != 2) | (F.min(pair).over(w) != F.max(pair).over(w))
+    stops = ends.select("img_id", "__id", (F.col("p.end") == 1).alias("last"), stop.alias("stop")).where("last").select("img_id", "__id", "stop").distinct()
+    marked = materialize(table.join(stops, ["img_id", "__id"]).join(tolerance.select("img_id", F.col("tolerance").cast("double").alias("tolerance")), "img_id").select("img_id", "left", "right", "nodes", "stop", "tolerance"), "marked")
 
-def _node_lists(nodes: list[list[tuple[float, float]]]) -> pa.Array:
-    return pa.array([[{"x": float(x), "y": float(y)} for x, y in n] for n in nodes], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        name, nodes = table["img_id"].combine_chunks().dictionary_encode(), table["nodes"].combine_chunks()
+        code = name.indices.to_numpy(zero_copy_only=False)
+        left, right, stop, limit = (table[c].to_numpy() for c in ("left", "right", "stop", "tolerance"))
+        flat, size = nodes.flatten(), np.diff(nodes.offsets.to_numpy())
+        x, y = (flat.field(c).to_numpy() for c in "xy")
+        begin = np.cumsum(size) - size
+        _, place = np.unique(x + 1j * y, return_inverse=True)
+        order = np.lexsort((place[begin], right, left, code))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (np.diff(code[order]) != 0) | (np.diff(left[order]) != 0) | (np.diff(right[order]) != 0)
+        border = (np.cumsum(new) - 1) * (int(place.max()) + 1)
+        own, chain = walks(border + place[begin[order]], border + place[(begin + size - 1)[order]], stop[order].astype(bool))
+        points = list(zip(x.tolist(), y.tolist(), strict=True))
+        joined: list[list] = []
+        of = []
+        for i, c in zip(order[own].tolist(), chain.tolist(), strict=True):
+            part = points[begin[i] : begin[i] + size[i]]
+            if c == len(joined):
+                joined.append(part)
+                of.append(i)
+            else:
+                joined[-1] = joined[-1] + part[1:]
+        of = np.array(of)
+        flat_x, flat_y, size = _simplified_all(*np.array([p for c in joined for p in c], dtype=float).reshape(-1, 2).T, np.array([len(c) for c in joined]), limit[of])
+        number = np.arange(len(of), dtype=np.int32)  # tells chains of a border apart
+        return pa.table({"img_id": name.dictionary.take(pa.array(code[of])), "left": pa.array(left[of]), "right": pa.array(right[of]), "chain": pa.array(number), "closed": pa.array([c[0] == c[-1] for c in joined]), "nodes": _node_lists(flat_x, flat_y, size)})
+
+    kind = chain_table.schema["img_id"].dataType.simpleString()
+    return _dealt(marked, ["img_id", "left", "right"]).groupBy("slot").applyInArrow(fit, f"img_id {kind}, left long, right long, chain int, closed boolean, nodes array<struct<x: double, y: double>>")
+
+
+def _simplified_all(x: np.ndarray, y: np.ndarray, size: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chains of nodes, one after the other, each simplified to its own tolerance."""
+    points, ends = list(zip(x.tolist(), y.tolist(), strict=True)), np.cumsum(size).tolist()
+    done = [simplified(points[e - n : e], t) for e, n, t in zip(ends, size.tolist(), limit.tolist(), strict=True)]
+    flat = np.array([p for c in done for p in c], dtype=float).reshape(-1, 2)
+    return flat[:, 0], flat[:, 1], np.array([len(c) for c in done])
+
+
+def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df with a slot by the hash of the keys; there are as many as it has GROUP_ROWS rows. df is counted, so it should be a table."""
+    slots = max(1, -(-df.count() // GROUP_ROWS))
+    return df.withColumn("slot", F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int"))
+
+
+def _node_lists(x: np.ndarray, y: np.ndarray, size: np.ndarray) -> pa.Array:
+    offsets = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(x, pa.float64()), pa.array(y, pa.float64())], names=["x", "y"]))
 
 
 def rings(chain_table: DataFrame) -> DataFrame:
     """(img_id, region_id, ring, is_hole, area, nodes): each region's outlines from its chains, signed area by the shoelace rule."""
-    both = chain_table.select("img_id", F.col("right").alias("region_id"), "nodes").unionByName(chain_table.where(F.col("left") != OUTSIDE).select("img_id", F.col("left").alias("region_id"), F.reverse("nodes").alias("nodes")))
+    table = materialize(chain_table.select("img_id", "left", "right", "nodes"), "chains")
+    both = table.select("img_id", F.col("right").alias("region_id"), "nodes").unionByName(table.where(F.col("left") != OUTSIDE).select("img_id", F.col("left").alias("region_id"), F.reverse("nodes").alias("nodes")))
 
     def join(table: pa.Table) -> pa.Table:
-        regions: dict[int, list] = {}
-        name = table["img_id"][0]
-        for r in table.to_pylist():
-            regions.setdefault(r["region_id"], []).append([(p["x"], p["y"]) for p in r["nodes"]])
-        rows = []
-        for region, parts in sorted(regions.items()):
-            for i, ring in enumerate(sorted(_joined(parts))):
-                area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring[:-1], ring[1:], strict=True)) / 2
-                rows.append((region, i, area, ring))
-        return pa.table({"img_id": pa.array([name.as_py()] * len(rows), name.type), "region_id": pa.array([r[0] for r in rows], pa.int64()), "ring": pa.array([r[1] for r in rows], pa.int32()), "is_hole": pa.array([r[2] < 0 for r in rows], pa.bool_()), "area": pa.array([r[2] for r in rows], pa.float64()), "nodes": _node_lists([r[3] for r in rows])})
+        table = table.combine_chunks()
+        name, region, nodes = table["img_id"].combine_chunks().dictionary_encode(), table["region_id"].to_numpy(), table["nodes"].combine_chunks()
+        code, flat = name.indices.to_numpy(zero_copy_only=False), nodes.flatten()
+        points = list(zip(flat.field("x").to_pylist(), flat.field("y").to_pylist(), strict=True))
+        ends = np.cumsum(np.diff(nodes.offsets.to_numpy())).tolist()
+        parts = [points[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        order = np.lexsort((region, code))
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(region[order]) != 0) | (np.diff(code[order]) != 0)]))
+        own, number, found = [], [], []
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(order)], strict=True):
+            joined = sorted(_joined([parts[i] for i in order[a:b].tolist()]))
+            own += [int(order[a])] * len(joined)
+            number += range(len(joined))
+            found += joined
+        size = np.array([len(r) for r in found])
+        xy = np.array([p for r in found for p in r], dtype=float).reshape(-1, 2)
+        x, y, first = xy[:, 0], xy[:, 1], np.cumsum(size) - size
+        cross = x[:-1] * y[1:] - x[1:] * y[:-1]
+        cross = np.append(cross, 0.0)
+        cross[first + size - 1] = 0.0  # not from one ring to the next
+        area = np.add.reduceat(cross, first) / 2 if len(first) else cross[:0]
+        return pa.table({"img_id": name.dictionary.take(pa.array(code[own])), "region_id": pa.array(region[own]), "ring": pa.array(number, pa.int32()), "is_hole": pa.array(area < 0), "area": pa.array(area), "nodes": _node_lists(x, y, size)})
 
     kind = chain_table.schema["img_id"].dataType.simpleString()
-    return _slotted(both, ["region_id"]).groupBy("img_id", "slot").applyInArrow(join, f"img_id {kind}, region_id long, ring int, is_hole boolean, area double, nodes array<struct<x: double, y: double>>")
+    return _dealt(both, ["img_id", "region_id"]).groupBy("slot").applyInArrow(join, f"img_id {kind}, region_id long, ring int, is_hole boolean, area double, nodes array<struct<x: double, y: double>>")
 
 
 def _joined(parts: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
@@ -228,6 +340,14 @@ def straightened(nodes: Column | str, slack: float = 0.5):
     return F.aggregate(F.slice(n, 2, F.greatest(F.size(n) - 1, F.lit(0))), F.slice(n, 1, 1), step)
 
 
+def straightened_inside(nodes: Column | str, slack: float = 0.5) -> Column:
+    """As straightened, but both ends stay: inner nodes alone take their predecessor's coordinate, so borders still meet."""
+    n = F.col(nodes) if isinstance(nodes, str) else nodes
+    moved = straightened(n, slack)
+    last = F.size(n) - 1
+    return F.when(last < 2, n).otherwise(F.transform(moved, lambda p, i: F.when(i == last, F.element_at(n, -1)).otherwise(p)))
+
+
 def fit_primitives(regions: DataFrame, moments: DataFrame, slack: float = 0.06) -> DataFrame:
     """(img_id, region_id, primitive, cx, cy, rx, ry): rectangles that fill their box, circles and ellipses whose moments fit their area."""
     both = regions.join(moments.select("img_id", "region_id", "cx", "cy", "mxx", "mxy", "myy"), ["img_id", "region_id"])

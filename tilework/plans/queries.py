@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tilework.operators import colours, edit, inspect, layers, prepare, regions, trace
 from tilework.plans import vectorize
 from tilework.sources import drawings, pictures, tiles
+from tilework.storage import materialize
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,9 +86,12 @@ _add("palette_histogram", lambda s, d: tiles.palette(_pixels(s, d)), f"{_PX} SEL
 _add(
     "inspect_summary",
     lambda s, d: inspect.summary(_pixels(s, d)),
-    f"""{_PX}, st AS (SELECT *, lead(rgb) OVER (PARTITION BY img_id, y ORDER BY x) AS nx FROM px)
-SELECT img_id, max(x) + 1 AS width, max(y) + 1 AS height, false AS transparent, count(DISTINCT rgb) AS colours,
-  CAST(count(*) FILTER (nx = rgb) AS DOUBLE) / count(nx) AS flat_share, 'pixel_art' AS kind, 'low' AS quality FROM st GROUP BY img_id""",
+    f"""{_PX}, st AS (SELECT *, lead(rgb) OVER (PARTITION BY img_id, y ORDER BY x) AS nx FROM px),
+f AS (SELECT img_id, max(x) + 1 AS width, max(y) + 1 AS height, count(DISTINCT rgb) AS colours, CAST(count(*) FILTER (nx = rgb) AS DOUBLE) / count(nx) AS flat_share,
+  bool_and(rgb // 65536 = rgb // 256 % 256 AND rgb // 256 % 256 = rgb % 256) AS grey FROM st GROUP BY img_id)
+SELECT img_id, width, height, false AS transparent, colours, flat_share,
+  CASE WHEN colours > CASE WHEN grey THEN 64 ELSE 256 END AND flat_share < 0.5 THEN 'photo' WHEN greatest(width, height) <= 256 AND colours <= 64 THEN 'pixel_art' ELSE 'artwork' END AS kind,
+  CASE WHEN greatest(width, height) < 48 THEN 'low' WHEN greatest(width, height) <= 160 THEN 'medium' ELSE 'high' END AS quality FROM f""",
 )
 _add(
     "two_colour_share",
@@ -108,9 +112,9 @@ _add("border_pixels", lambda s, d: regions.border_pixels(_pixels(s, d)), f"{_PX}
 _add(
     "checker_cells",
     lambda s, d: inspect.checker_cells(_pixels(s, d)),
-    f"""{_PX} SELECT p.img_id, p.x, p.y FROM px p JOIN px r ON r.img_id = p.img_id AND r.x = p.x + 1 AND r.y = p.y
-JOIN px b ON b.img_id = p.img_id AND b.x = p.x AND b.y = p.y + 1 JOIN px c ON c.img_id = p.img_id AND c.x = p.x + 1 AND c.y = p.y + 1
-WHERE p.rgb = c.rgb AND r.rgb = b.rgb AND p.rgb <> r.rgb""",
+    f"""{_PX}, r AS (SELECT *, lead(rgb) OVER (PARTITION BY img_id, y ORDER BY x) AS r FROM px),
+d AS (SELECT *, lead(rgb) OVER w AS b, lead(r) OVER w AS c FROM r WINDOW w AS (PARTITION BY img_id, x ORDER BY y))
+SELECT img_id, x, y FROM d WHERE rgb = c AND r = b AND rgb <> r""",
 )
 _add(
     "softness",
@@ -171,7 +175,28 @@ def _reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.region_table(regions.label_runs(tiles.row_runs(less)))
 
 
-REDUCED_ROWS_ONLY: dict[str, Query] = {"reduced_to_two_colours": _reduced}
+def _merge_sql(k: int) -> str:
+    """A merge of the nearest pair of clusters c{k}, in rasters that have more than two: clusters c{k + 1} and the map m{k + 1}."""
+    return f"""
+pr{k} AS (SELECT a.img_id, a.id AS ia, b.id AS ib, row_number() OVER (PARTITION BY a.img_id ORDER BY CAST(9 * (a.v - b.v) * (a.v - b.v) * a.n * b.n AS DOUBLE) / (a.n + b.n), a.id, b.id) AS r,
+  CAST((2 * (a.v * a.n + b.v * b.n) + a.n + b.n) // (2 * (a.n + b.n)) AS BIGINT) AS v, a.n + b.n AS n
+  FROM c{k} a JOIN c{k} b ON a.img_id = b.img_id AND a.id < b.id WHERE a.img_id IN (SELECT img_id FROM c{k} GROUP BY img_id HAVING count(*) > 2)),
+b{k} AS (SELECT * FROM pr{k} WHERE r = 1),
+c{k + 1} AS (SELECT c.img_id, c.id, coalesce(b.v, c.v) AS v, coalesce(b.n, c.n) AS n FROM c{k} c LEFT JOIN b{k} b ON b.img_id = c.img_id AND b.ia = c.id
+  WHERE NOT EXISTS (SELECT 1 FROM b{k} g WHERE g.img_id = c.img_id AND g.ib = c.id)),
+m{k + 1} AS (SELECT m.img_id, m.rgb, coalesce(b.ia, m.id) AS id FROM m{k} m LEFT JOIN b{k} b ON b.img_id = m.img_id AND b.ib = m.id)"""
+
+
+# rasters have four colours at most, so two merges
+_add(
+    "reduced_to_two_colours",
+    _reduced,
+    _PX.replace("), px AS (", "), px0 AS (").replace("FROM px GROUP", "FROM px0 GROUP")
+    + ", c0 AS (SELECT img_id, rgb AS id, CAST(rgb % 256 AS BIGINT) AS v, area AS n FROM pal), m0 AS (SELECT img_id, rgb, rgb AS id FROM pal),"
+    + _merge_sql(0) + "," + _merge_sql(1)
+    + ", px AS (SELECT p.img_id, p.x, p.y, CAST(65793 * c2.v AS INT) AS rgb FROM px0 p JOIN m2 ON m2.img_id = p.img_id AND m2.rgb = p.rgb JOIN c2 ON c2.img_id = p.img_id AND c2.id = m2.id)"
+    + _REG + " SELECT * FROM reg",
+)
 
 
 def _dissolved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,9 +226,14 @@ g AS (SELECT *, CASE WHEN det <> 0 THEN CAST(c * d - b * e AS DOUBLE) / det END
 SELECT img_id, region_id, n, slope_x, slope_y, (sv - slope_x * sx - slope_y * sy) / n AS base FROM g""",
 )
 _add("stack_order", lambda s, d: layers.stack_order(regions.region_table(_runs(s, d))), f"{_PX}{_REG}{_Z} SELECT * FROM z")
+def _strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _runs(spark, sf_dir)
+    return layers.under_strips(layers.stack_order(regions.region_table(runs)), regions.adjacency(regions.run_pixels(runs)))
+
+
 _add(
     "under_strips",
-    lambda s, d: layers.under_strips(layers.stack_order(regions.region_table(_runs(s, d))), regions.adjacency(_labelled(s, d))),
+    _strips,
     f"""{_PX}{_REG}{_Z} SELECT adj.img_id, CASE WHEN a.z < b.z THEN region_a ELSE region_b END AS lower, CASE WHEN a.z < b.z THEN region_b ELSE region_a END AS upper, border
 FROM adj JOIN z a ON a.img_id = adj.img_id AND a.region_id = region_a JOIN z b ON b.img_id = adj.img_id AND b.region_id = region_b""",
 )
@@ -268,9 +298,9 @@ UNION ALL SELECT img_id, 2 * x + 1, 2 * y + 1, CASE WHEN b = r AND b <> l AND r
 )
 _add(
     "sticker_rim",
-    lambda s, d: layers.sticker_rim(_pixels(s, d).where("rgb < 11184810"), 1).groupBy("img_id").agg(F.count("*").alias("rim")),
+    lambda s, d: layers.sticker_rim(_pixels(s, d).where("rgb < 11184810"), 1),
     f"""{_PX}, d AS (SELECT img_id, x, y FROM px WHERE rgb < 11184810), g AS (SELECT DISTINCT img_id, CAST(x + i.i AS INT) AS x, CAST(y + j.j AS INT) AS y FROM d, range(-1, 2) i(i), range(-1, 2) j(j))
-SELECT img_id, count(*) AS rim FROM g ANTI JOIN d USING (img_id, x, y) GROUP BY img_id""",
+SELECT img_id, x, y FROM g ANTI JOIN d USING (img_id, x, y)""",
 )
 _add(
     "pixel_edged",
@@ -330,18 +360,28 @@ def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("edited_shapes", _edited, f"{_PX}{_REG} SELECT img_id, region_id, area FROM reg WHERE area > 1 OR y0 = 0 OR img_id % 2 = 0")
+def _gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled, values = materialize(_labelled(spark, sf_dir), "labelled"), _values(spark, sf_dir)
+    chosen = colours.accepted_gradients(colours.gradient_fits(labelled, values), labelled, values)
+    return chosen.select("img_id", "region_id", "n", F.col("flat_error").cast("decimal(18,3)").cast("double").alias("flat_error"), "is_gradient")
+
+
 _add(
     "gradient_choice",
-    lambda s, d: colours.accepted_gradients(colours.gradient_fits(_labelled(s, d), _values(s, d)), _labelled(s, d), _values(s, d)).select("img_id", "region_id", "n", F.col("flat_error").cast("decimal(18,3)").cast("double").alias("flat_error")),
+    _gradients,
     f"""{_PX}{_REG}, s AS (SELECT img_id, region_id, count(*) AS n, sum(x)::BIGINT AS sx, sum(y)::BIGINT AS sy, sum(x * x)::BIGINT AS sxx, sum(x * y)::BIGINT AS sxy, sum(y * y)::BIGINT AS syy,
-  sum(v)::BIGINT AS sv, sum(v * v)::BIGINT AS sq FROM lab JOIN v8 USING (img_id, x, y) GROUP BY img_id, region_id)
-SELECT img_id, region_id, n, CAST(CAST(sq - CAST(sv * sv AS DOUBLE) / n AS DECIMAL(18,3)) AS DOUBLE) AS flat_error FROM s
-WHERE (n * sxx - sx * sx) * (n * syy - sy * sy) - (n * sxy - sx * sy) * (n * sxy - sx * sy) <> 0""",
+  sum(v)::BIGINT AS sv, sum(v * v)::BIGINT AS sq, sum(x * v)::BIGINT AS sxv, sum(y * v)::BIGINT AS syv FROM lab JOIN v8 USING (img_id, x, y) GROUP BY img_id, region_id),
+m AS (SELECT *, n * sxx - sx * sx AS a, n * sxy - sx * sy AS b, n * syy - sy * sy AS c, n * sxv - sx * sv AS d, n * syv - sy * sv AS e FROM s),
+g AS (SELECT *, CAST(c * d - b * e AS DOUBLE) / (a * c - b * b) AS kx, CAST(a * e - b * d AS DOUBLE) / (a * c - b * b) AS ky FROM m WHERE a * c - b * b <> 0),
+h AS (SELECT *, (sv - kx * sx - ky * sy) / n AS k0 FROM g),
+e AS (SELECT h.img_id, h.region_id, any_value(n) AS n, any_value(sq - CAST(sv * sv AS DOUBLE) / n) AS flat, sum((v - k0 - kx * x - ky * y) * (v - k0 - kx * x - ky * y)) AS plane, max(k0 + kx * x + ky * y) - min(k0 + kx * x + ky * y) AS reach
+  FROM h JOIN lab USING (img_id, region_id) JOIN v8 USING (img_id, x, y) GROUP BY h.img_id, h.region_id)
+SELECT img_id, region_id, n, CAST(CAST(flat AS DECIMAL(18,3)) AS DOUBLE) AS flat_error, plane <= flat / 2 - 1e-6 AND reach > 2 + 1e-6 AS is_gradient FROM e""",
 )
 
 
 def queries() -> dict[str, Query]:
-    return {name: run for name, (run, _) in REGISTRY.items()} | REDUCED_ROWS_ONLY
+    return {name: run for name, (run, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,12 +9,16 @@ from dataclasses import dataclass
 class Settings:
     """Names follow the usual command line; `auto` leaves a choice to the picture's own features.
 
-    regularize is ours: the share, from 0 to 1, by which near-equal coordinates of neighbouring nodes
+    clean_up is a median filter; enlarge doubles the picture once or twice; page chooses a page of a
+    document, and as no documents of many pages can be read, only the first is allowed. gradients have
+    an effect where colours are reduced. regularize is ours: the share, from 0 to 1, by which near-equal coordinates of neighbouring nodes
     are drawn together.
     """
 
     category: str = "auto"
     quality: str = "auto"
+    clean_up: bool = False
+    enlarge: int = 1
     sharpen: bool = False
     simplify: float | str = "auto"
     corners: bool = True
@@ -53,11 +57,13 @@ class Settings:
                 raise ValueError(f"{name} is auto or a distance in pixels")
         if self.background is not None and not 0 <= self.background <= 0xFFFFFF:
             raise ValueError("background is a colour from 0 to 0xFFFFFF")
-        if self.page < 1:
-            raise ValueError("pages count from 1")
+        if self.page != 1:
+            raise ValueError("only the first page can be read")
+        if self.enlarge not in (1, 2, 4):
+            raise ValueError("enlarge is 1, 2 or 4")
 
-    def tolerance(self, kind: str) -> float:
-        """The largest distance, in pixels, that simplifying may move an outline (our values)."""
+    def tolerance(self, kind: str, quality: str) -> float:
+        """The largest distance, in pixels, that simplifying may move an outline (our values): small pictures keep more."""
         if self.simplify != "auto":
             return float(self.simplify)
-        return {"pixel_art": 0.0, "artwork": 0.75, "photo": 1.25}[kind]
+        return {"pixel_art": 0.0, "artwork": 0.75, "photo": 1.25}[kind] * {"low": 0.6, "medium": 0.8, "high": 1.0}[quality]

@@ -2,8 +2,9 @@
 
 images: (img_id, path, width, height, channels, pixels, error); pixels are RGBA bytes in rows.
 PNG, JPEG and the like are decoded by Spark's own image source; TGA, flattened PSD and PSB and a
-subset of SVG by small decoders here, each of which sees one file. Sizes are read from headers and
-checked against the cap before anything is allocated.
+subset of SVG by small decoders here, each of which sees one file; these check sizes from headers
+against the cap before anything is allocated. Spark's image source decodes before the check here. A
+picture's id is its path, as files of one name may lie in several folders.
 """
 
 from __future__ import annotations
@@ -72,6 +73,9 @@ def read_psd(data: bytes, most: int = MAX_PIXELS) -> tuple[int, int, bytes]:
     _check(width, height, most)
     if depth != 8 or mode not in (1, 3):
         raise ValueError("only 8-bit RGB and grey are supported")
+    if not (1 if mode == 1 else 3) <= channels <= 56:
+        raise ValueError(f"{channels} channels are not allowed")
+    _check(width, height * channels, most * 4)
     at = 26
     for form in (">I", ">I", ">Q" if version == 2 else ">I"):
         at += struct.calcsize(form) + struct.unpack_from(form, data, at)[0]
@@ -130,10 +134,10 @@ def _colour(text: str | None) -> int | None:
 
 
 def read_svg(data: bytes, most: int = MAX_PIXELS) -> tuple[int, int, bytes]:
-    """(width, height, RGBA) of rectangles and straight paths with flat or pattern fills, drawn in order.
+    """(width, height, RGBA) of rectangles, circles, ellipses and paths with flat, pattern or linear gradient fills, drawn in order.
 
     Entities are refused, and nothing outside the file is ever read. A pattern is laid out as tiles
-    in rectangles only.
+    in rectangles only; a gradient has two stops.
     """
     if b"<!DOCTYPE" in data or b"<!ENTITY" in data:
         raise ValueError("document types and entities are refused")
@@ -144,6 +148,15 @@ def read_svg(data: bytes, most: int = MAX_PIXELS) -> tuple[int, int, bytes]:
     out = np.zeros((height, width, 4), np.uint8)
     patterns = {e.get("id"): e for e in root.iter() if e.tag.rpartition("}")[2] == "pattern"}
     inside = {id(c) for e in patterns.values() for c in e.iter()}
+    ramps = {e.get("id"): e for e in root.iter() if e.tag.rpartition("}")[2] == "linearGradient"}
+
+    def paint(on: np.ndarray, mask: np.ndarray, fill: str) -> None:
+        if fill.startswith("url(#") and (own := ramps.get(fill[5:-1])) is not None:
+            first, *_, last = [_colour(c.get("stop-color")) or 0 for c in own]
+            ends = {k: float(own.get(k, "0")) for k in ("x1", "y1", "x2", "y2")}
+            on[mask] = ramp(ends | {"rgb1": first, "rgb2": last}, on.shape[1], on.shape[0])[mask]
+        elif (c := _colour(fill)) is not None:
+            on[mask] = (c >> 16, c >> 8 & 255, c & 255, 255)
 
     def draw(on: np.ndarray, e: ET.Element) -> None:
         kind, fill = e.tag.rpartition("}")[2], e.get("fill", "black")
@@ -159,10 +172,16 @@ def read_svg(data: bytes, most: int = MAX_PIXELS) -> tuple[int, int, bytes]:
                 ys, xs = np.ogrid[max(y, 0) : max(y, 0) + part.shape[0], max(x, 0) : max(x, 0) + part.shape[1]]
                 laid = tile[ys % th, xs % tw]
                 part[laid[..., 3] > 0] = laid[laid[..., 3] > 0]
-            elif (c := _colour(fill)) is not None:
-                part[:] = (c >> 16, c >> 8 & 255, c & 255, 255)
-        elif kind == "path" and (c := _colour(fill)) is not None:
-            on[filled(path_rings(e.get("d", "")), on.shape[1], on.shape[0])] = (c >> 16, c >> 8 & 255, c & 255, 255)
+            elif fill != "none":
+                mask = np.zeros(on.shape[:2], bool)
+                mask[max(y, 0) : max(y + h, 0), max(x, 0) : max(x + w, 0)] = True
+                paint(on, mask, fill)
+        elif kind in ("circle", "ellipse") and fill != "none":
+            cx, cy, rx, ry = (float(e.get(k) or e.get("r", "0")) for k in ("cx", "cy", "rx", "ry"))
+            v, u = np.ogrid[0 : on.shape[0], 0 : on.shape[1]]
+            paint(on, ((u + 0.5 - cx) / max(rx, 1e-9)) ** 2 + ((v + 0.5 - cy) / max(ry, 1e-9)) ** 2 < 1, fill)
+        elif kind == "path" and fill != "none":
+            paint(on, filled(path_rings(e.get("d", "")), on.shape[1], on.shape[0]), fill)
 
     for e in root.iter():
         if id(e) not in inside:
@@ -170,9 +189,35 @@ def read_svg(data: bytes, most: int = MAX_PIXELS) -> tuple[int, int, bytes]:
     return width, height, out.tobytes()
 
 
+def flattened(pieces: list[tuple], steps: int = 8) -> list[tuple[float, float]]:
+    """A first point, then points of lines (2 numbers) and cubic curves (6), as a closed ring of short lines."""
+    out = [tuple(pieces[0])]
+    for p in pieces[1:]:
+        if len(p) == 6:
+            (x0, y0), (x1, y1, x2, y2, x3, y3) = out[-1], p
+            for k in range(1, steps):
+                t = k / steps
+                a, b, c, d = (1 - t) ** 3, 3 * t * (1 - t) ** 2, 3 * t * t * (1 - t), t**3
+                out.append((a * x0 + b * x1 + c * x2 + d * x3, a * y0 + b * y1 + c * y2 + d * y3))
+        out.append(tuple(p[-2:]))
+    return out if out[0] == out[-1] else [*out, out[0]]
+
+
+def ramp(g: dict, width: int, height: int) -> np.ndarray:
+    """RGBA pixels of a linear gradient from (x1, y1) in rgb1 to (x2, y2) in rgb2."""
+    y, x = np.mgrid[0:height, 0:width] + 0.5
+    dx, dy = g["x2"] - g["x1"], g["y2"] - g["y1"]
+    t = np.clip(((x - g["x1"]) * dx + (y - g["y1"]) * dy) / max(dx * dx + dy * dy, 1e-12), 0, 1)
+    out = np.full((height, width, 4), 255, np.uint8)
+    for i, k in enumerate((16, 8, 0)):
+        a, b = g["rgb1"] >> k & 255, g["rgb2"] >> k & 255
+        out[..., i] = np.floor(a + (b - a) * t + 0.5)
+    return out
+
+
 def path_rings(d: str) -> list[list[tuple[float, float]]]:
-    """The rings of a path of absolute M, L, H, V and Z."""
-    rings: list[list[tuple[float, float]]] = []
+    """The rings of a path of absolute M, L, H, V, C and Z; curves as short lines."""
+    rings: list[list[tuple]] = []
     words = "".join(f" {c} " if c.isalpha() else c for c in d.replace(",", " ")).split()
     i, op, x, y = 0, "", 0.0, 0.0
     while i < len(words):
@@ -180,17 +225,23 @@ def path_rings(d: str) -> list[list[tuple[float, float]]]:
             op, i = words[i], i + 1
             if op in "Zz":
                 continue
-        if op not in ("M", "L", "H", "V") or (op != "M" and not rings):
+        if op not in ("M", "L", "H", "V", "C") or (op != "M" and not rings):
             raise ValueError(f"the path command {op!r} is not supported")
-        if op in "ML":
-            x, y, i = float(words[i]), float(words[i + 1]), i + 2
-        else:
-            x, y, i = (float(words[i]), y, i + 1) if op == "H" else (x, float(words[i]), i + 1)
+        n = {"M": 2, "L": 2, "H": 1, "V": 1, "C": 6}[op]
+        piece = [float(w) for w in words[i : i + n]]
+        if len(piece) < n:
+            raise ValueError("the path is cut off")
+        i += n
+        if op == "H":
+            piece = [piece[0], y]
+        elif op == "V":
+            piece = [x, piece[0]]
+        x, y = piece[-2:]
         if op == "M":
             rings.append([])
             op = "L"
-        rings[-1].append((x, y))
-    return rings
+        rings[-1].append(tuple(piece))
+    return [flattened(r) for r in rings]
 
 
 def filled(rings: list[list[tuple[float, float]]], width: int, height: int) -> np.ndarray:
@@ -220,9 +271,9 @@ def read_files(spark: SparkSession, paths: list[str], most: int = MAX_PIXELS) ->
                 name = path.rpartition("/")[2]
                 try:
                     w, h, px = READERS[name.rpartition(".")[2].lower()](bytes(content), most)
-                    rows.append((name, path, w, h, 4, px, None))
+                    rows.append((path, path, w, h, 4, px, None))
                 except Exception as e:  # noqa: BLE001  whatever a hostile file provokes becomes its row's error
-                    rows.append((name, path, None, None, None, None, f"{type(e).__name__}: {e}"[:300]))
+                    rows.append((path, path, None, None, None, None, f"{type(e).__name__}: {e}"[:300]))
             yield pd.DataFrame(rows, columns=["img_id", "path", "width", "height", "channels", "pixels", "error"])
 
     return files.mapInPandas(decode, SCHEMA)
@@ -253,18 +304,17 @@ def read_images(spark: SparkSession, paths: list[str], most: int = MAX_PIXELS) -
         for pdf in frames:
             rows = []
             for path, h, w, n, data in zip(pdf["origin"], pdf["height"], pdf["width"], pdf["nChannels"], pdf["data"], strict=True):
-                name = path.rpartition("/")[2]
                 if w < 1:
-                    rows.append((name, path, None, None, None, None, "the file is no picture that can be decoded"))
+                    rows.append((path, path, None, None, None, None, "the file is no picture that can be decoded"))
                 elif w * h > most:
-                    rows.append((name, path, int(w), int(h), None, None, f"{w} x {h} pixels are more than the {most} allowed"))
+                    rows.append((path, path, int(w), int(h), None, None, f"{w} x {h} pixels are more than the {most} allowed"))
                 else:
                     px = np.frombuffer(data, np.uint8).reshape(h, w, n)
                     out = np.full((h, w, 4), 255, np.uint8)
                     out[..., :3] = px if n == 1 else px[..., 2::-1]
                     if n == 4:
                         out[..., 3] = px[..., 3]
-                    rows.append((name, path, int(w), int(h), int(n), out.tobytes(), None))
+                    rows.append((path, path, int(w), int(h), int(n), out.tobytes(), None))
             yield pd.DataFrame(rows, columns=["img_id", "path", "width", "height", "channels", "pixels", "error"])
 
     return raw.mapInPandas(turn, SCHEMA)

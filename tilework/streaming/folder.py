@@ -24,18 +24,17 @@ def arriving(spark: SparkSession, folder: str, most: int = MAX_PIXELS) -> DataFr
                 name = path.rpartition("/")[2]
                 try:
                     w, h, px = READERS[name.rpartition(".")[2].lower()](bytes(content), most)
-                    rows.append((name, path, w, h, 4, px, None))
+                    rows.append((path, path, w, h, 4, px, None))
                 except Exception as e:  # noqa: BLE001  whatever a hostile file provokes becomes its row's error
-                    rows.append((name, path, None, None, None, None, f"{type(e).__name__}: {e}"[:300]))
+                    rows.append((path, path, None, None, None, None, f"{type(e).__name__}: {e}"[:300]))
             yield pd.DataFrame(rows, columns=["img_id", "path", "width", "height", "channels", "pixels", "error"])
 
     return files.mapInPandas(decode, SCHEMA)
 
 
 def trace_arriving(spark: SparkSession, folder: str, checkpoint: str, each: Callable[[DataFrame, int], None], most: int = MAX_PIXELS) -> StreamingQuery:
-    """Run `each` on every micro-batch of images that could be read; what has arrived is done once, then the query ends."""
-    good = arriving(spark, folder, most).where("error IS NULL")
-    return good.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run `each` on every micro-batch of images, those that could not be read among them with an error; what has arrived is done once, then the query ends."""
+    return arriving(spark, folder, most).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def colour_counts(images: DataFrame) -> DataFrame:
