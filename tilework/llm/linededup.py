@@ -98,7 +98,10 @@ def fingerprints(u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(u.row)
     upto = np.cumsum(u.count)
     before = upto - u.count
-    document_end = np.searchsorted(u.row, u.row, side="right")
+    starts = np.ones(n, dtype=bool)  # texts
+    starts[1:] = u.row[1:] != u.row[:-1]
+    head = np.flatnonzero(starts)
+    document_end = np.repeat(np.append(head[1:], n), np.diff(np.append(head, n)))
     end = np.searchsorted(upto, before + GRAM_WORDS) + 1
     whole = end <= document_end
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(u.hash * _powers(_BASE, n))])
@@ -119,17 +122,19 @@ def fingerprints(u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lead, size = np.where(own[b] < own[a], b, a), 2 * size
     # windows that reach beyond a text's last gram tell nothing more, save its first one
     last = np.maximum.accumulate(np.where(whole, np.arange(n), 0))[document_end - 1]
-    first_of_text = np.searchsorted(u.row, u.row) == np.arange(n)
-    chosen = np.unique(best[whole & (first_of_text | (before + WINDOW_WORDS <= before[last] + 1))])
+    sure = np.zeros(n, dtype=bool)
+    sure[best[whole & (starts | (before + WINDOW_WORDS <= before[last] + 1))]] = True
+    chosen = np.flatnonzero(sure)
     # whole lines
-    new = np.ones(n, dtype=bool)
-    new[1:] = (u.row[1:] != u.row[:-1]) | (u.line[1:] != u.line[:-1])
+    new = starts.copy()
+    new[1:] |= u.line[1:] != u.line[:-1]
     first = np.flatnonzero(new)
     stop = np.append(first[1:], n)
     size = upto[stop - 1] - before[first]
     short = (size >= LINE_WORDS) & (size < WINDOW_WORDS + GRAM_WORDS + 3 * UNIT_WORDS)
-    both = np.unique(np.stack([np.concatenate([chosen, first[short]]), np.concatenate([end[chosen], stop[short]])]), axis=1)
-    return gram(*both), *both
+    both = np.unique(np.concatenate([chosen << 32 | end[chosen], first[short] << 32 | stop[short]]))
+    at, to = both >> 32, both & 0xFFFFFFFF
+    return gram(at, to), at, to
 
 
 def _fingerprint_table(docs: DataFrame, alone: bool = False) -> DataFrame:
@@ -265,11 +270,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for first, end, data, offsets in text_slices(batch.column(where)):
                 part = batch.slice(first, end - first)
                 old, texts = part.column(len(names)), part.column(where)
-                flat, n = old.flatten(), end - first
-                row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(old), 0).to_numpy())
-                new, length, at, line, gone = without_repeats(data, offsets, row, *(flat.field(k).to_numpy() for k in ("first", "end")))
+                flat, n, times = old.flatten(), end - first, pc.fill_null(pc.list_value_length(old), 0).to_numpy()
+                # the texts without repeats stay as they are
+                some = np.flatnonzero(times)
+                size = np.diff(offsets)[some]
+                own = np.concatenate([[0], np.cumsum(size)])
+                letters = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in some.tolist()] or [data[:0]])
+                new, length, at, line, words_gone = without_repeats(letters, own, np.repeat(np.arange(len(some)), times[some]), *(flat.field(k).to_numpy() for k in ("first", "end")))
+                at, gone = some[at], np.zeros(n, np.int64)
+                gone[some] = words_gone
                 columns = list(part.columns[: len(names)])
-                columns[where] = pc.if_else(pc.is_valid(texts), binary(new, length).cast(texts.type), pa.scalar(None, texts.type))
+                columns[where] = pc.replace_with_mask(texts, pa.array(times > 0), binary(new, length).cast(texts.type))
                 lines = np.diff(np.concatenate([[0], np.cumsum(data == 0x0A)])[offsets]) + texts.is_valid().to_numpy(zero_copy_only=False)
                 removed = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.arange(n + 1)), pa.int32()), pa.array(line, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), removed, pa.array(gone)], names=[*names, *extra])

@@ -104,9 +104,9 @@ class Words:
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
     if lower:
-        data = LOWER[data]
+        data = np.frombuffer(data.tobytes().translate(LOWER.tobytes()), dtype=np.uint8)
     inside = np.zeros(len(data) + 1, dtype=bool)
-    inside[:-1] = _WORD[data]
+    inside[:-1] = np.frombuffer(data.tobytes().translate(_WORD.tobytes()), dtype=bool)
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
     borders = offsets[(offsets > 0) & (offsets < len(data))]
