@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilework.llm import linededup, lmscore, media, mixing, neardup, packing, quality, tokenfile, topk, urls
+from tilework.llm import alignment, linededup, lmscore, media, mixing, neardup, packing, quality, tokenfile, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_stupid_backoff": lmscore.op1_stupid_backoff,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": urls.op8_url_filter,
     "op9_mixing": mixing.op9_mixing,
     "op10_media": media.op10_media,
+    "op11_alignment": alignment.op11_alignment,
 }
 
 SQL: dict[str, str] = {
