@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilework.llm import alignment, linededup, lmscore, media, mixing, neardup, packing, quality, tokenfile, topk, urls
+from tilework.llm import alignment, collocations, linededup, lmscore, media, mixing, neardup, packing, quality, tokenfile, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_stupid_backoff": lmscore.op1_stupid_backoff,
@@ -20,10 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": mixing.op9_mixing,
     "op10_media": media.op10_media,
     "op11_alignment": alignment.op11_alignment,
+    "op12_collocations": collocations.op12_collocations,
 }
 
 SQL: dict[str, str] = {
     "op4_top_k": topk.OP4_SQL,
     "op8_url_filter": urls.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op12_collocations": collocations.OP12_SQL,
 }
