@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilework.llm import alignment, collocations, linededup, lmscore, media, mixing, neardup, packing, quality, tokenfile, topk, urls
+from tilework.llm import alignment, collocations, linededup, lmscore, media, mixing, neardup, packing, quality, tokenfile, topk, triejoin, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_stupid_backoff": lmscore.op1_stupid_backoff,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media": media.op10_media,
     "op11_alignment": alignment.op11_alignment,
     "op12_collocations": collocations.op12_collocations,
+    "op13_jaccard_join": triejoin.op13_jaccard_join,
 }
 
 SQL: dict[str, str] = {
@@ -28,4 +29,5 @@ SQL: dict[str, str] = {
     "op8_url_filter": urls.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op12_collocations": collocations.OP12_SQL,
+    "op13_jaccard_join": triejoin.OP13_SQL,
 }
