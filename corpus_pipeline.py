@@ -7,7 +7,7 @@ reads it again, so a lost executor never costs a finished stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilework.llm import linededup, mixing, neardup, packing, quality
@@ -31,20 +31,32 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) one stays, that with the least hash.
 
     A document is known by its id and text, so that unlike texts that share an id are documents of
-    their own; of rows that are equal in both one stays.
+    their own; of rows that are equal in both, the least by all columns stays. The hash has 64 bits;
+    documents that share one are told apart by another of 128 bits and known by both then.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.xxhash64("doc_id", F.col("doc_id").isNull(), text, F.col("text").isNull())
-    keyed = docs.withColumn("__key", key)
+    keyed = docs.withColumn("__key", row_key(text))
+    # what xxhash64 gives twice, seen by md5
+    other = F.md5(F.to_json(F.struct(F.col("doc_id").alias("i"), F.col("text").alias("t")), {"ignoreNullFields": "false"}))
+    shared = keyed.select("__key", other.alias("m")).groupBy("__key").agg(F.count("*").alias("n"), F.min("m").alias("low"), F.max("m").alias("high")).where("n > 1")
+    shared = materialize(shared.select("__key", (F.col("low") != F.col("high")).alias("unlike")), "shared")
+    unlike = shared.where("unlike").select("__key", F.lit(True).alias("__unlike"))
+    if not unlike.isEmpty():
+        keyed = keyed.join(unlike, "__key", "left").withColumn("__key", F.when(F.col("__unlike"), F.xxhash64("__key", other)).otherwise(F.col("__key"))).drop("__unlike")
     found = materialize(neardup.near_duplicates(keyed, threshold=80, id_col="__key"), "groups")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__key")).distinct()
     kept = keyed.join(gone, "__key", "left_anti")
-    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__key"))
-    if not again.isEmpty():
-        kept = kept.join(again, "__key", "left_anti").unionByName(kept.join(again, "__key").dropDuplicates(["__key"]))
+    if not shared.isEmpty():
+        again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__key"))
+        least = kept.join(again, "__key").groupBy("__key").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("__row")).select("__row.*")
+        return kept.join(again, "__key", "left_anti").select(docs.columns).unionByName(least)
     return kept.select(docs.columns)
 
 
+def row_key(text: Column) -> Column:
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), text, F.col("text").isNull())
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the number of copies that meets the sources' targets; those without any go."""
     mixed, _ = mixing.mix(docs, F.array("source"), mixing.cyclic_weights(docs, "source"), 1.5)

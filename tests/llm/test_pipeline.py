@@ -54,6 +54,20 @@ def test_stages_take_clashing_names_null_and_repeated_ids(spark, tmp_path):
             assert "an unlike text with the id of another document" in texts and rows[-2][1] in texts
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+def test_texts_that_share_a_hash_stay(spark, monkeypatch):
+    monkeypatch.setattr(pipeline, "row_key", lambda text: F.xxhash64("doc_id") % 3)  # few keys for many texts
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(9)), "en", "s", 0) for i in range(40)] + [(100 + i, " ".join(f"copy{k}" for k in range(9)), "en", "s", 0) for i in range(4)]
+    got = [r.doc_id for r in pipeline.near_dedup(spark, frame(spark, rows), "").collect()]
+    assert sorted(i for i in got if i < 100) == list(range(40)) and sum(i >= 100 for i in got) == 1
+
+
+def test_of_equal_rows_the_least_by_all_columns_stays(spark):
+    rows = [(1, "one text of several words in a row", "en", s, 5) for s in ("b", "a", "c")] + [(2, "another text", "en", None, 1), (2, "another text", None, "x", 1)]
+    for seed in range(3):
+        got = pipeline.near_dedup(spark, frame(spark, rows).orderBy(F.rand(seed)), "").collect()
+        assert sorted((r.doc_id, r.lang, r.source) for r in got) == [(1, "en", "a"), (2, None, "x")]
+
+
+def test_all_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
     assert set(registry.SQL) <= set(registry.QUERIES)

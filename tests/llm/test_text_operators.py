@@ -429,3 +429,18 @@ def test_tokenizer_files_are_what_the_cuts_rely_on():
     for path in (BYTES, WORDS):
         config = json.load(open(path))
         assert config["model"]["type"] == "BPE" and config["post_processor"] is None
+
+
+def test_a_line_that_only_looks_like_a_repeat_stays(spark):
+    lines = [f"line {i} of a passage that both texts have in common" for i in range(12)]
+    rows = [(1, "\n".join([*lines, "solo398 item398"]), None, None, None), (2, "\n".join([*lines, "solo406 item406"]), None, None, None)]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(frame(spark, rows)).collect()}
+    assert got[1] == rows[0][1] and got[2] == "solo406 item406"
+
+
+def test_the_line_dedup_query_counts_what_it_removes(spark, tmp_path):
+    rows = corpus(40)
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = linededup.op3_line_dedup(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(r.removed_lines == len(r.removed) for r in got) and any(r.removed_lines for r in got)
+    assert sum(r.removed_words for r in got) == sum(len(words_of(t)) for _, t, *_ in rows) - sum(len(words_of(r.text)) for r in got)

@@ -12,7 +12,7 @@ Each later occurrence of a fingerprint is joined to the first one (by id, text,
 that occurs in a third of all documents costs one row each and no pairs. A match is extended over
 equal neighbouring units as far as the REACH-th fingerprint on either side: the next one has a match of
 its own, unless a window that looks beyond the passage chose it in one text only. (Units there are
-compared by 16 bits: one in 65,536 that ends a match is taken for equal.)
+compared by 32 bits: one in four billion that ends a match is taken for equal.)
 Of what is matched in the later document, whole lines of LINE_WORDS words and more are deleted,
 shorter ones as part of a run of GRAM_WORDS, and parts of lines in a run of PASSAGE_WORDS.
 
@@ -156,8 +156,8 @@ def _fingerprint_table(docs: DataFrame, alone: bool = False) -> DataFrame:
                 low[REACH:][same] = at[:-REACH][same]
                 high[:-REACH][same] = stop[REACH:][same]
                 high = np.maximum(high, stop)
-                narrow = u.hash.astype(np.uint16)
-                take = lambda a, b: binary(narrow[np.arange((b - a).sum()) + np.repeat(a - np.cumsum(b - a) + (b - a), b - a)].view(np.uint8), 2 * (b - a))  # noqa: B023, E731
+                narrow = u.hash.astype(np.uint32)
+                take = lambda a, b: binary(narrow[np.arange((b - a).sum()) + np.repeat(a - np.cumsum(b - a) + (b - a), b - a)].view(np.uint8), 4 * (b - a))  # noqa: B023, E731
                 part, pick = batch.slice(first, end - first), pa.array(own)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pick), part.column(1).take(pick), pa.array(gram.view(np.int64)), pa.array((at - begin).astype(np.int32)), pa.array((stop - at).astype(np.int32)), take(low, at), take(stop, high)],
@@ -171,15 +171,15 @@ def _extended(df: DataFrame) -> DataFrame:
     """(doc_id, text_hash, first, end) of repeated units, from matches with the units beside both."""
 
     def common(a: bytes, b: bytes, backwards: bool) -> int:
-        """How many pairs of bytes are equal, from the first or from the last one on."""
+        """How many hashes of four bytes are equal, from the first or from the last one on."""
         n = min(len(a), len(b))
         if not n:
             return 0
         x, y = (a[-n:], b[-n:]) if backwards else (a[:n], b[:n])
         if x == y:
-            return n // 2
+            return n // 4
         differ = int.from_bytes(x, "little") ^ int.from_bytes(y, "little")
-        return (8 * n - differ.bit_length() if backwards else (differ & -differ).bit_length() - 1) // 16
+        return (8 * n - differ.bit_length() if backwards else (differ & -differ).bit_length() - 1) // 32
 
     def run(batches):
         for batch in batches:
