@@ -249,31 +249,31 @@ def overlapping(docs: DataFrame, threshold: int = 80, size: int = SIZE, id_col:
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = materialize(ordered_sets(own, threshold, size), "sets")
     usable = sets.where(F.col("items").isNotNull())
-    least = materialize(usable.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "row")).alias("x")).select("set_a", "set_b", F.col("x.doc_id").alias("node"), F.col("x.row").alias("at")), "least")
-    copies = usable.select("doc_id", "set_a", "set_b").distinct().join(least, ["set_a", "set_b"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    # a row is a class's if it's the least's own
-    classes = usable.join(least.select("at", "node"), F.col("row") == F.col("at")).select("node", "n_shingles", "items", "often")
+    least = materialize(usable.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "row")).alias("x")).select("set_a", "set_b", F.col("x.doc_id").alias("node"), F.col("x.row").alias("row")), "least")
+    # joins by merging, as the sides grow with the input: the plan is the same at every size
+    copies = usable.select("doc_id", "set_a", "set_b").distinct().join(least.hint("merge"), ["set_a", "set_b"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    classes = materialize(usable.select("row", "n_shingles", "items", "often").join(least.select("row", "node").hint("merge"), "row").select("node", "n_shingles", "items", "often"), "classes")
 
     routed = materialize(routes(classes, threshold), "routes")
     pivots = materialize(routed.groupBy("item").agg(F.min("node").alias("unit"), F.count("*").alias("c")).where("c > 1").select("item", "unit"), "pivots")
-    members = materialize(routed.join(pivots, "item").select("unit", "node").distinct(), "units")
-    weights = members.join(sets.join(least, F.col("row") == F.col("at")).select("node", (F.length("items") / 8).cast("long").alias("m")), "node")
+    members = materialize(routed.join(pivots.hint("merge"), "item").select("unit", "node").distinct(), "units")
+    weights = members.join(classes.select("node", (F.length("items") / 8).cast("long").alias("m")).hint("merge"), "node")
     sizes = materialize(weights.groupBy("unit").agg(F.count("*").alias("c"), F.sum("m").alias("m")).where("c > 1").select("unit", F.greatest(F.ceil(F.col("c") / PART_SETS), F.ceil(F.col("m") / PART_ITEMS)).cast("int").alias("parts")), "unit_sizes")
-    placed = members.join(sizes, "unit")
+    placed = members.join(sizes.hint("merge"), "unit")
     # the least class is in all parts of its unit
     part = F.explode(F.when(F.col("node") == F.col("unit"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))))
-    keyed = placed.select("node", part.alias("part"), "unit").select(F.xxhash64("unit", "part").alias("key"), "node", F.col("node").alias("label"))
-    links = materialize(joined(keyed.join(classes, "node"), threshold).unionByName(copies), "links")
+    keyed = materialize(placed.select("node", part.alias("part"), "unit").select(F.xxhash64("unit", "part").alias("key"), "node", F.col("node").alias("label")), "parts")
+    links = materialize(joined(keyed.join(classes.hint("merge"), "node"), threshold).unionByName(copies), "links")
 
     large = materialize(placed.where("parts > 1").select(F.col("unit").alias("bucket"), "node"), "large")
     if not large.isEmpty():
         labels = components(links)
         named = materialize(large.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "named")
         mixed = materialize(named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket"), "mixed")
-        more = joined(dealt_blocks(materialize(named.join(mixed, "bucket"), "unlike")).join(classes, "node"), threshold)
+        more = joined(dealt_blocks(materialize(named.join(mixed, "bucket"), "unlike")).join(classes.hint("merge"), "node"), threshold)
         links = materialize(links.unionByName(more), "links")
     labels = components(links)
-    return sets.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    return sets.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
 def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
