@@ -265,14 +265,14 @@ def overlapping(docs: DataFrame, threshold: int = 80, size: int = SIZE, id_col:
     keyed = materialize(placed.select("node", part.alias("part"), "unit").select(F.xxhash64("unit", "part").alias("key"), "node", F.col("node").alias("label")), "parts")
     links = materialize(joined(keyed.join(classes.hint("merge"), "node"), threshold).unionByName(copies), "links")
 
-    large = materialize(placed.where("parts > 1").select(F.col("unit").alias("bucket"), "node"), "large")
-    if not large.isEmpty():
-        labels = components(links)
-        named = materialize(large.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "named")
-        mixed = materialize(named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket"), "mixed")
-        more = joined(dealt_blocks(materialize(named.join(mixed, "bucket"), "unlike")).join(classes.hint("merge"), "node"), threshold)
-        links = materialize(links.unionByName(more), "links")
     labels = components(links)
+    large = placed.where("parts > 1").select(F.col("unit").alias("bucket"), "node")
+    named = materialize(large.join(labels.hint("merge"), "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "named")
+    mixed = materialize(named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket"), "mixed")
+    if not mixed.isEmpty():
+        more = materialize(joined(dealt_blocks(materialize(named.join(mixed, "bucket"), "unlike")).join(classes.hint("merge"), "node"), threshold), "more")
+        if not more.isEmpty():  # what is joined already takes part by its labels
+            labels = components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more))
     return sets.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
