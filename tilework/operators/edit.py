@@ -1,7 +1,7 @@
 """Edits of a traced drawing: a log per picture, replayed in order, then applied as joins.
 
 A log row is (img_id, seq, op, region_id, other): delete, restore (a shape), merge (shades: colour
-`region_id` becomes colour `other`), undo, redo. Replaying is the one sequential step and needs a
+`region_id` becomes colour `other`), join (shapes: `region_id` and `other` become one), undo, redo. Replaying is the one sequential step and needs a
 picture's log only; everything it decides is applied to all shapes at once.
 """
 
@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilework.operators.components import components
+from tilework.storage import materialize
+
 #: Radii of rounded corners in pixels (our values).
 RADII = {"tiny": 1.0, "tight": 2.0, "medium": 4.0, "wide": 8.0}
 
@@ -25,7 +28,7 @@ def effective_edits(log: DataFrame) -> DataFrame:
                 undone += [done.pop()] if done else []
             elif op == "redo":
                 done += [undone.pop()] if undone else []
-            elif op in ("delete", "restore", "merge"):
+            elif op in ("delete", "restore", "merge", "join"):
                 done.append(i)
                 undone = []
             else:
@@ -56,6 +59,35 @@ def merged_shades(shapes: DataFrame, edits: DataFrame) -> DataFrame:
     return shapes.join(mapping, ["img_id", "rgb"], "left").withColumn("rgb", F.coalesce("to_rgb", "rgb")).drop("to_rgb")
 
 
+def joined_shapes(edits: DataFrame) -> DataFrame:
+    """(img_id, region_id, whole): the shape that each joined one is part of, the least of them; roots have no row."""
+    node = lambda c: F.struct(F.col("img_id").alias("i"), F.col(c).alias("p"))
+    labels = components(edits.where("op = 'join' AND region_id <> other").select(node("region_id").alias("u"), node("other").alias("v")))
+    return materialize(labels.select(F.col("node.i").alias("img_id"), F.col("node.p").alias("region_id"), F.col("label.p").alias("whole")), "joined")
+
+
+def with_joined(table: DataFrame, joined: DataFrame) -> DataFrame:
+    """A region table (img_id, region_id, rgb, area, x0, y0, x1, y1) with joined shapes as one, in the colour of the largest part (of equals the least id)."""
+    named = table.join(joined, ["img_id", "region_id"], "left").withColumn("whole", F.coalesce("whole", "region_id"))
+    first = F.max_by("rgb", F.struct("area", -F.col("region_id"))).alias("rgb")
+    sums = [F.sum("area").alias("area"), *(F.min(c).alias(c) for c in ("x0", "y0")), *(F.max(c).alias(c) for c in ("x1", "y1"))]
+    return named.groupBy("img_id", F.col("whole").alias("region_id")).agg(first, *sums)
+
+
+def relabelled(outline: DataFrame, joined: DataFrame) -> DataFrame:
+    """Chains (img_id, left, right, chain, closed, nodes) with the ids of wholes; those inside a whole go.
+
+    Junctions may have become none by this: `trace.rejoined` makes chains that go on in one another one. No pixel is
+    looked at, and all other chains stay as they are.
+    """
+    for side in ("left", "right"):
+        own = joined.select("img_id", F.col("region_id").alias(side), F.col("whole").alias(f"whole_{side}"))
+        outline = outline.join(own, ["img_id", side], "left").withColumn(side, F.coalesce(f"whole_{side}", side)).drop(f"whole_{side}")
+    # the region with the greater id stays on the right
+    turned = F.col("left") > F.col("right")
+    return outline.where("left <> right").select("img_id", F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"), "chain", "closed", F.when(turned, F.reverse("nodes")).otherwise(F.col("nodes")).alias("nodes"))
+
+
 def moved(nodes: Column, at: Column, x: Column, y: Column) -> Column:
     """A node array with one node moved; a closed outline's last node follows its first."""
     closed = F.element_at(nodes, 1) == F.element_at(nodes, -1)

@@ -11,6 +11,7 @@ GROUP_ROWS sides, so that a group holds some of a large picture or many small on
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -113,21 +114,32 @@ def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tupl
     return [tuple(x) for x in out.tolist()]
 
 
-def chains(labelled: DataFrame, tolerance: float | DataFrame = 0.0) -> DataFrame:
+def chains(labelled: DataFrame, tolerance: float | DataFrame = 0.0, finer: Callable[[DataFrame], DataFrame] | None = None, exact: DataFrame | None = None) -> DataFrame:
     """(img_id, left, right, chain, closed, nodes): every border once, its straight steps merged and simplified.
 
-    tolerance: one for all, or (img_id, tolerance) of each picture.
+    tolerance: one for all, or (img_id, tolerance) of each picture. exact: (img_id, region_id) of regions whose borders
+    keep every pixel. finer gives the sides a point (px, py)
+    each; then chains have these in order too, as points, after the first junction and before the last one, or of a
+    loop without junctions (free) with the first again, and their tolerance.
     """
     sides = boundary_sides(labelled)
+    more = ["px", "py"] if finer else []
+    sides = finer(sides) if finer else sides
     ends = sides.select("*", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.lit(1).alias("end"), F.col("bx").alias("x"), F.col("by").alias("y")))).alias("p"))
     pair = F.struct("left", "right")
     point = Window.partitionBy("img_id", "p.x", "p.y")
     stop = (F.count("*").over(point) != 2) | (F.min(pair).over(point) != F.max(pair).over(point))
-    marked = materialize(ends.select("img_id", "left", "right", "ax", "ay", "bx", "by", F.col("p.end").alias("end"), stop.alias("stop")), "sides")
+    marked = materialize(ends.select("img_id", "left", "right", "ax", "ay", "bx", "by", *more, F.col("p.end").alias("end"), stop.alias("stop")), "sides")
     if isinstance(tolerance, DataFrame):
         marked = marked.join(tolerance.select("img_id", F.col("tolerance").cast("double").alias("tolerance")), "img_id")
     else:
         marked = marked.withColumn("tolerance", F.lit(float(tolerance)))
+    if exact is not None:
+        own = exact.select("img_id", "region_id").distinct().withColumn("__exact", F.lit(True))
+        for side in ("left", "right"):
+            marked = marked.join(own.withColumnRenamed("region_id", side), ["img_id", side], "left")
+            marked = marked.withColumn("tolerance", F.when(F.col("__exact"), 0.0).otherwise(F.col("tolerance"))).drop("__exact")
+        marked = materialize(marked, "sides")
 
     def fit(table: pa.Table) -> pa.Table:
         name = table["img_id"].combine_chunks().dictionary_encode()
@@ -137,6 +149,7 @@ def chains(labelled: DataFrame, tolerance: float | DataFrame = 0.0) -> DataFrame
         order = np.lexsort((end, by, bx, ay, ax, right, left, code))
         stop = stop[order].astype(bool)
         stop_a, stop_b, order = stop[0::2], stop[1::2], order[0::2]
+        rows = order
         code, left, right, limit = code[order], left[order], right[order], limit[order]
         ax, ay, bx, by = (c[order].astype(np.int64) for c in (ax, ay, bx, by))
         new = np.ones(len(code), dtype=bool)
@@ -164,14 +177,24 @@ def chains(labelled: DataFrame, tolerance: float | DataFrame = 0.0) -> DataFrame
         if (limit > 0).any():
             x, y, size = _simplified_all(x, y, size, limit)
         of = order[head]
-        return pa.table({
+        found = {
             "img_id": name.dictionary.take(pa.array(code[of])), "left": pa.array(left[of]), "right": pa.array(right[of]),
             "chain": pa.array((np.arange(len(head)) - np.searchsorted(border[head], border[head])).astype(np.int32)), "closed": pa.array(closed), "nodes": _node_lists(x, y, size),
-        })
+        }
+        if more:
+            px, py = (table[c].to_numpy()[rows][order] for c in more)
+            stop_at = tail + 1
+            first = [np.where(free, np.nan, c[head]) for c in (ax, ay)]
+            last = [np.where(free, f[head], c[tail]) for f, c in ((px, bx), (py, by))]
+            px, py = (np.insert(np.insert(f, stop_at, b), head + np.arange(len(head)), a) for f, a, b in ((px, first[0], last[0]), (py, first[1], last[1])))
+            inside = ~np.isnan(px)
+            found |= {"points": _node_lists(px[inside], py[inside], tail - head + 3 - free), "free": pa.array(free), "tolerance": pa.array(limit)}
+        return pa.table(found)
 
     kind = labelled.schema["img_id"].dataType.simpleString()
     dealt = _dealt(marked, ["img_id", "left", "right"])
-    return dealt.groupBy("slot").applyInArrow(fit, f"img_id {kind}, left long, right long, chain int, closed boolean, nodes array<struct<x: double, y: double>>")
+    point = "array<struct<x: double, y: double>>"
+    return dealt.groupBy("slot").applyInArrow(fit, f"img_id {kind}, left long, right long, chain int, closed boolean, nodes {point}" + (f", points {point}, free boolean, tolerance double" if more else ""))
 
 
 def rejoined(chain_table: DataFrame, tolerance: DataFrame) -> DataFrame:
@@ -241,9 +264,16 @@ def _node_lists(x: np.ndarray, y: np.ndarray, size: np.ndarray) -> pa.Array:
 
 
 def rings(chain_table: DataFrame) -> DataFrame:
-    """(img_id, region_id, ring, is_hole, area, nodes): each region's outlines from its chains, signed area by the shoelace rule."""
-    table = materialize(chain_table.select("img_id", "left", "right", "nodes"), "chains")
-    both = table.select("img_id", F.col("right").alias("region_id"), "nodes").unionByName(table.where(F.col("left") != OUTSIDE).select("img_id", F.col("left").alias("region_id"), F.reverse("nodes").alias("nodes")))
+    """(img_id, region_id, ring, is_hole, area, nodes): each region's outlines from its chains, signed area by the shoelace rule.
+
+    Where chains have handles (`chain_handles`), rings have curves too: their nodes but the last, with the handles of
+    the chains, so that both sides of a border have the same.
+    """
+    more = ["handles"] if "handles" in chain_table.columns else []
+    table = materialize(chain_table.select("img_id", "left", "right", "nodes", *more), "chains")
+    back = lambda p: F.struct(*(p[a].alias(b) for a, b in zip(_HANDLE, ("x", "y", "corner", "out_x", "out_y", "in_x", "in_y"), strict=True)))
+    turned = [F.transform(F.reverse(c), back).alias(c) for c in more]
+    both = table.select("img_id", F.col("right").alias("region_id"), "nodes", *more).unionByName(table.where(F.col("left") != OUTSIDE).select("img_id", F.col("left").alias("region_id"), F.reverse("nodes").alias("nodes"), *turned))
 
     def join(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -254,9 +284,13 @@ def rings(chain_table: DataFrame) -> DataFrame:
         parts = [points[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         order = np.lexsort((region, code))
         new = np.flatnonzero(np.concatenate([[True], (np.diff(region[order]) != 0) | (np.diff(code[order]) != 0)]))
-        own, number, found = [], [], []
+        own, number, found, curves = [], [], [], []
+        held = table["handles"].combine_chunks().flatten().to_pylist() if more else []
+        first_of = dict(zip(range(len(ends)), [0, *ends[:-1]], strict=True))
         for a, b in zip(new.tolist(), [*new[1:].tolist(), len(order)], strict=True):
             joined = sorted(_joined([parts[i] for i in order[a:b].tolist()]))
+            if more:
+                curves += _curves(joined, [held[first_of[i] : ends[i]] for i in order[a:b].tolist()])
             own += [int(order[a])] * len(joined)
             number += range(len(joined))
             found += joined
@@ -267,10 +301,28 @@ def rings(chain_table: DataFrame) -> DataFrame:
         cross = np.append(cross, 0.0)
         cross[first + size - 1] = 0.0  # not from one ring to the next
         area = np.add.reduceat(cross, first) / 2 if len(first) else cross[:0]
-        return pa.table({"img_id": name.dictionary.take(pa.array(code[own])), "region_id": pa.array(region[own]), "ring": pa.array(number, pa.int32()), "is_hole": pa.array(area < 0), "area": pa.array(area), "nodes": _node_lists(x, y, size)})
+        out = {"img_id": name.dictionary.take(pa.array(code[own])), "region_id": pa.array(region[own]), "ring": pa.array(number, pa.int32()), "is_hole": pa.array(area < 0), "area": pa.array(area), "nodes": _node_lists(x, y, size)}
+        if more:
+            out["curves"] = pa.array(curves, pa.list_(pa.struct([(c, pa.bool_() if c == "corner" else pa.float64()) for c in _HANDLE])))
+        return pa.table(out)
 
     kind = chain_table.schema["img_id"].dataType.simpleString()
-    return _dealt(both, ["img_id", "region_id"]).groupBy("slot").applyInArrow(join, f"img_id {kind}, region_id long, ring int, is_hole boolean, area double, nodes array<struct<x: double, y: double>>")
+    schema = f"img_id {kind}, region_id long, ring int, is_hole boolean, area double, nodes array<struct<x: double, y: double>>"
+    return _dealt(both, ["img_id", "region_id"]).groupBy("slot").applyInArrow(join, schema + (f", curves {_HANDLES}" if more else ""))
+
+
+_HANDLE = ("x", "y", "corner", "in_x", "in_y", "out_x", "out_y")
+_HANDLES = "array<struct<x: double, y: double, corner: boolean, in_x: double, in_y: double, out_x: double, out_y: double>>"
+
+
+def _curves(joined: list[list[tuple[float, float]]], parts: list[list[dict]]) -> list[list[dict]]:
+    """The nodes of a region's rings with the handles that its chains have for each segment."""
+    of = {(p["x"], p["y"], q["x"], q["y"]): (p, q) for part in parts for p, q in zip(part[:-1], part[1:], strict=True)}
+    out = []
+    for ring in joined:
+        pieces = [of[*a, *b] for a, b in zip(ring[:-1], ring[1:], strict=True)]
+        out.append([{"x": p["x"], "y": p["y"], "corner": p["corner"] and before["corner"], "in_x": before["in_x"], "in_y": before["in_y"], "out_x": p["out_x"], "out_y": p["out_y"]} for (_, before), (p, _) in zip(pieces[-1:] + pieces[:-1], pieces, strict=True)])
+    return out
 
 
 def _joined(parts: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
@@ -372,23 +424,75 @@ def regularized(chain_table: DataFrame, strength: float) -> DataFrame:
     return chain_table.withColumn("nodes", F.transform("nodes", lambda p: F.struct(pull(p["x"]).alias("x"), pull(p["y"]).alias("y"))))
 
 
-def curve_nodes(nodes: Column | str, corner_degrees: float = 60.0) -> Column:
-    """Nodes with handles: cubic curves through a closed outline, straight into and out of its corners.
+def chain_handles(nodes: Column | str, free: Column, corner_degrees: float = 60.0, before: Column | None = None, after: Column | None = None) -> Column:
+    """A chain's nodes with handles: cubic curves through them, straight into and out of corners.
 
-    A node at which the outline turns by more than corner_degrees is a corner; the handles of the
-    others lie along the line from the node before to the node after, a sixth of it long.
+    A node at which the chain turns by more than corner_degrees is a corner; the handles of the others lie along the
+    line from the node before to the node after, a sixth of it long. They belong to the chain, so both sides of
+    a border have the same. free: a loop without junctions, whose last node is its first again; before, after: the
+    nodes from which and to which other chains go on at the ends; where none does, the end is a corner.
     """
     n = F.col(nodes) if isinstance(nodes, str) else nodes
-    size = F.size(n) - 1  # the last node repeats the first
+    last = F.size(n) - 1
+    none = F.lit(None).cast("struct<x: double, y: double>")
+    before, after = (none if c is None else c for c in (before, after))
 
     def node(p, i):
-        a, b = F.get(n, F.pmod(i - 1, size)), F.get(n, F.pmod(i + 1, size))
+        a = F.when(i > 0, F.get(n, i - 1)).when(free, F.get(n, last - 1)).otherwise(before)
+        b = F.when(i < last, F.get(n, i + 1)).when(free, F.get(n, F.lit(1))).otherwise(after)
         d = F.atan2(b["y"] - p["y"], b["x"] - p["x"]) - F.atan2(p["y"] - a["y"], p["x"] - a["x"])
-        corner = F.abs(F.pmod(d + math.pi, F.lit(2 * math.pi)) - math.pi) > math.radians(corner_degrees)
+        corner = F.coalesce(F.abs(F.pmod(d + math.pi, F.lit(2 * math.pi)) - math.pi) > math.radians(corner_degrees), F.lit(True))
         dx, dy = (F.when(corner, 0.0).otherwise((b[c] - a[c]) / 6) for c in "xy")
         return F.struct(p["x"].alias("x"), p["y"].alias("y"), corner.alias("corner"), (p["x"] - dx).alias("in_x"), (p["y"] - dy).alias("in_y"), (p["x"] + dx).alias("out_x"), (p["y"] + dy).alias("out_y"))
 
-    return F.transform(F.slice(n, F.lit(1), F.greatest(size, F.lit(0))), node)
+    return F.transform(n, node)
+
+
+def curve_nodes(nodes: Column | str, corner_degrees: float = 60.0) -> Column:
+    """The nodes, but the last, of a closed outline without junctions, with handles."""
+    n = F.col(nodes) if isinstance(nodes, str) else nodes
+    return F.slice(chain_handles(n, F.lit(True), corner_degrees), F.lit(1), F.greatest(F.size(n) - 1, F.lit(0)))
+
+
+def with_handles(chain_table: DataFrame, corner_degrees: float = 60.0) -> DataFrame:
+    """Chains with handles. Where chains meet, the two that go on in one another most straightly, each for the other, share a tangent.
+
+    A closed chain is a loop without junctions (free) where no other chain ends at its first node. At a point of the
+    lattice four chains end at most, so ends are compared within their point.
+    """
+    key = ["img_id", "left", "right", "chain"]
+    table = materialize(chain_table, "unhandled")
+    end = lambda last: F.struct(F.lit(last).alias("last"), F.element_at("nodes", -1 if last else 1).alias("p"), F.element_at("nodes", -2 if last else 2).alias("q"))
+    ends = table.select(*key, F.explode(F.array(end(False), end(True))).alias("e")).select("img_id", F.struct("left", "right", "chain", "e.last").alias("own"), "e.p", "e.q")
+    other = ends.select("img_id", "p", F.col("own").alias("other"), F.col("q").alias("to"))
+    turn = F.atan2(F.col("to.y") - F.col("p.y"), F.col("to.x") - F.col("p.x")) - F.atan2(F.col("p.y") - F.col("q.y"), F.col("p.x") - F.col("q.x"))
+    turn = F.round(F.abs(F.pmod(turn + math.pi, F.lit(2 * math.pi)) - math.pi), 9)
+    met = ends.join(other, ["img_id", "p"]).where("own <> other")
+    point = Window.partitionBy("img_id", "p")
+    met = met.withColumns({"turn": turn, "n": F.count("*").over(point)})
+    best = materialize(met.groupBy("img_id", "p", "own").agg(F.min(F.struct("turn", "other", "to")).alias("b"), F.max("n").alias("n")), "met")
+    back = best.select("img_id", "p", F.col("own").alias("there"), F.col("b.other").alias("back"))
+    mutual = best.join(back, ["img_id", "p"]).where("b.other = there AND own = back").select("img_id", "own", "b.turn", "b.to")
+    going = mutual.where(F.col("turn") <= math.radians(corner_degrees)).groupBy("img_id", "own.left", "own.right", "own.chain").agg(*(F.max(F.when(F.col("own.last") == last, F.col("to"))).alias(c) for last, c in ((False, "__before"), (True, "__after"))))
+    # at a loop's own point its two ends meet each other only
+    lone = best.where("n = 2 AND own.left = b.other.left AND own.right = b.other.right AND own.chain = b.other.chain").select("img_id", "own.left", "own.right", "own.chain").distinct().withColumn("__free", F.lit(True))
+    out = table.join(going, key, "left").join(lone, key, "left")
+    free = F.col("closed") & F.coalesce("__free", F.lit(False))
+    return out.withColumn("handles", chain_handles("nodes", free, corner_degrees, F.col("__before"), F.col("__after"))).select(*chain_table.columns, "handles")
+
+
+def unlike_curves(ring_table: DataFrame) -> DataFrame:
+    """(img_id, segments, unlike): segments that two regions share, and how many of them the two would draw as unlike curves."""
+    n = F.size("curves")
+    piece = lambda p, q: F.struct(*(p[c].alias(f"a_{c}") for c in ("x", "y", "out_x", "out_y")), *(q[c].alias(f"b_{c}") for c in ("x", "y", "in_x", "in_y")))
+    pieces = ring_table.select("img_id", F.explode(F.transform("curves", lambda p, i: piece(p, F.get("curves", (i + 1) % n)))).alias("s"))
+    ahead = F.struct("s.a_x", "s.a_y") < F.struct("s.b_x", "s.b_y")
+    ends = F.when(ahead, F.array("s.a_x", "s.a_y", "s.b_x", "s.b_y")).otherwise(F.array("s.b_x", "s.b_y", "s.a_x", "s.a_y"))
+    drawn = F.when(ahead, F.array("s.a_out_x", "s.a_out_y", "s.b_in_x", "s.b_in_y")).otherwise(F.array("s.b_in_x", "s.b_in_y", "s.a_out_x", "s.a_out_y"))
+    # two borders may have a segment with equal ends (of a shape that is thin there): each is drawn twice, or once at the picture's edge
+    kinds = pieces.select("img_id", ends.alias("ends"), drawn.alias("drawn")).groupBy("img_id", "ends", "drawn").agg(F.count("*").alias("c"))
+    met = kinds.groupBy("img_id", "ends").agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") % 2 == 1, 1)).alias("odd"))
+    return met.groupBy("img_id").agg(F.count(F.when(F.col("n") > 1, 1)).alias("segments"), F.count(F.when(F.col("odd") > F.col("n") % 2, 1)).alias("unlike"))
 
 
 def without_short_pieces(nodes: Column | str, length: float = 1.0) -> Column:

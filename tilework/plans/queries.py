@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilework.operators import colours, edit, inspect, layers, prepare, regions, trace
+from tilework.operators import colours, corners, edit, inspect, layers, prepare, regions, trace
 from tilework.plans import vectorize
 from tilework.sources import drawings, pictures, tiles
 from tilework.storage import materialize
@@ -380,6 +380,64 @@ SELECT img_id, region_id, n, CAST(CAST(flat AS DECIMAL(18,3)) AS DOUBLE) AS flat
 )
 
 
+def _crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(img_id, x, y, upright, at): where each side between two regions of four levels has the colour halfway between theirs, by the 256 levels, in thousandths."""
+    labelled, values = _labelled(spark, sf_dir), _values(spark, sf_dir)
+    shades = regions.region_table(_runs(spark, sf_dir)).select("img_id", "region_id", "rgb")
+    grey = values.select("img_id", "x", "y", (F.col("v") * 65793).cast("int").alias("rgb"))
+    sides = trace.boundary_sides(labelled).where(F.col("left") != trace.OUTSIDE)
+    upright = F.col("ax") == F.col("bx")
+    at = F.when(upright, F.col("px") - F.least("ax", "bx")).otherwise(F.col("py") - F.least("ay", "by"))
+    return corners.crossings(sides, grey, shades).select("img_id", F.least("ax", "bx").alias("x"), F.least("ay", "by").alias("y"), upright.alias("upright"), F.floor(at * 1000 + 0.3).cast("long").alias("at"))
+
+
+_add(
+    "edge_crossings",
+    _crossings,
+    f"""{_PX}, s AS (
+  SELECT q.img_id, q.x, q.y, p.y = q.y AS upright, p.rgb % 256 AS a, q.rgb % 256 AS b, vp.v AS vp, vq.v AS vq FROM px p JOIN px q USING (img_id)
+  JOIN v8 vp ON vp.img_id = p.img_id AND vp.x = p.x AND vp.y = p.y JOIN v8 vq ON vq.img_id = q.img_id AND vq.x = q.x AND vq.y = q.y
+  WHERE ((q.x = p.x + 1 AND q.y = p.y) OR (q.x = p.x AND q.y = p.y + 1)) AND p.rgb <> q.rgb
+), t AS (
+  SELECT *, CAST(3 * (vp - a) * (b - a) AS DOUBLE) / (3 * (b - a) * (b - a)) AS tp, CAST(3 * (vq - a) * (b - a) AS DOUBLE) / (3 * (b - a) * (b - a)) AS tq FROM s
+), u AS (SELECT *, CASE WHEN abs(tq - tp) > 0.05 THEN (0.5 - tp) / (tq - tp) END AS u FROM t)
+SELECT img_id, x, y, upright, CAST(floor((CASE WHEN u BETWEEN -0.5 AND 1.5 THEN u ELSE 0.5 END - 0.5) * 1000 + 0.3) AS BIGINT) AS at FROM u""",
+)
+
+
+def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(img_id, region_id, rgb, area): shapes after a log that joins each lone pixel to its least neighbour, and is undone where a raster's number is even; areas are those of the new outlines."""
+    runs = materialize(_runs(spark, sf_dir), "runs")
+    table, labelled = regions.region_table(runs), regions.run_pixels(runs)
+    near = regions.adjacency(labelled)
+    near = near.select("img_id", F.col("region_a").alias("region_id"), F.col("region_b").alias("other")).unionByName(near.select("img_id", F.col("region_b").alias("region_id"), F.col("region_a").alias("other")))
+    least = table.where("area = 1").select("img_id", "region_id").join(near, ["img_id", "region_id"]).groupBy("img_id", "region_id").agg(F.min("other").alias("other"))
+    log = least.select("img_id", F.col("region_id").alias("seq"), F.lit("join").alias("op"), "region_id", "other")
+    undone = log.where("img_id % 2 = 0").withColumns({"seq": F.col("seq") + (1 << 40), "op": F.lit("undo")})
+    joined = edit.joined_shapes(edit.effective_edits(log.unionByName(undone)))
+    outline = trace.rejoined(edit.relabelled(trace.chains(labelled), joined), table.select("img_id").distinct().withColumn("tolerance", F.lit(0.0)))
+    areas = trace.rings(outline).groupBy("img_id", "region_id").agg(F.sum("area").cast("long").alias("area"))
+    return edit.with_joined(table, joined).select("img_id", "region_id", "rgb").join(areas, ["img_id", "region_id"])
+
+
+_add(
+    "joined_shapes",
+    _joined,
+    f"""{_PX}{_REG}, e0 AS (SELECT r.img_id, r.region_id AS u, min(CASE WHEN a.region_a = r.region_id THEN a.region_b ELSE a.region_a END) AS v FROM reg r
+  JOIN adj a ON a.img_id = r.img_id AND (a.region_a = r.region_id OR a.region_b = r.region_id) WHERE r.area = 1 AND r.img_id % 2 <> 0 GROUP BY r.img_id, r.region_id),
+e2 AS (SELECT img_id, u, v FROM e0 UNION SELECT img_id, v, u FROM e0),
+j AS (SELECT img_id, region_id AS p, region_id AS q FROM reg UNION SELECT j.img_id, j.p, e2.v FROM j JOIN e2 ON e2.img_id = j.img_id AND e2.u = j.q),
+w AS (SELECT img_id, p, min(q) AS whole FROM j GROUP BY img_id, p),
+o AS (SELECT reg.img_id, whole, rgb, area, row_number() OVER (PARTITION BY reg.img_id, whole ORDER BY area DESC, region_id) AS r FROM reg JOIN w ON w.img_id = reg.img_id AND w.p = reg.region_id)
+SELECT img_id, whole AS region_id, max(rgb) FILTER (r = 1) AS rgb, CAST(sum(area) AS BIGINT) AS area FROM o GROUP BY img_id, whole""",
+)
+_add(
+    "unlike_curves",
+    lambda s, d: trace.unlike_curves(trace.rings(trace.with_handles(trace.chains(_labelled(s, d), 0.8)))).select("img_id", "unlike"),
+    f"{_PX}{_REG} SELECT img_id, CAST(0 AS BIGINT) AS unlike FROM reg GROUP BY img_id",
+)
+
+
 def queries() -> dict[str, Query]:
     return {name: run for name, (run, _) in REGISTRY.items()}
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilework.functions import colour
-from tilework.operators import colours, inspect, layers, prepare, regions, trace
+from tilework.operators import colours, corners, edit, inspect, layers, prepare, regions, trace
 from tilework.operators.components import components
 from tilework.plans.settings import Settings
 from tilework.sources import tiles
@@ -81,14 +83,8 @@ def merged_colours(runs: DataFrame, outline: DataFrame, colors: int) -> tuple[Da
     node = lambda c: F.struct(F.col("img_id").alias("i"), F.col(c).alias("p"))
     labels = components(touch.select(node("left").alias("u"), node("right").alias("v")))
     labels = materialize(labels.select(F.col("node.i").alias("img_id"), F.col("node.p").alias("region_id"), F.col("label.p").alias("whole")), "merged")
-    for side in ("left", "right"):
-        own = labels.select("img_id", F.col("region_id").alias(side), F.col("whole").alias(f"whole_{side}"))
-        outline = outline.join(own, ["img_id", side], "left").withColumn(side, F.coalesce(f"whole_{side}", side)).drop(f"whole_{side}")
     named = fewer.join(labels, ["img_id", "region_id"], "left").withColumn("region_id", F.coalesce("whole", "region_id")).select("img_id", "y", "x0", "x1", "rgb", "region_id")
-    # the region with the greater id stays on the right
-    turned = F.col("left") > F.col("right")
-    outline = outline.where("left <> right").select("img_id", F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"), "chain", "closed", F.when(turned, F.reverse("nodes")).otherwise(F.col("nodes")).alias("nodes"))
-    return materialize(named, "runs"), materialize(outline, "outline")
+    return materialize(named, "runs"), materialize(edit.relabelled(outline, labels), "outline")
 
 
 def gradients(runs: DataFrame, pixels: DataFrame) -> DataFrame:
@@ -119,6 +115,32 @@ def gradients(runs: DataFrame, pixels: DataFrame) -> DataFrame:
     return out.join(box, ["img_id", "region_id"]).select("img_id", "region_id", F.struct(*parts).alias("gradient"))
 
 
+def slivers(outline: DataFrame, runs: DataFrame) -> DataFrame:
+    """(img_id, region_id): regions of which simplifying left too little area, or none, or turned them inside out."""
+    drawn = trace.rings(outline).groupBy("img_id", "region_id").agg(F.sum("area").alias("drawn"), F.min(F.when(~F.col("is_hole"), F.col("area"))).alias("least"))
+    both = regions.region_table(runs).select("img_id", "region_id", "area").join(drawn, ["img_id", "region_id"], "left")
+    kept = F.coalesce(F.col("drawn") >= 0.4 * F.col("area"), F.lit(False)) & F.col("least").isNotNull()
+    return materialize(both.where(~kept).select("img_id", "region_id"), "slivers")
+
+
+def with_corners(outline: DataFrame, runs: DataFrame, pixels: DataFrame, given: DataFrame, chosen: DataFrame, settings: Settings) -> DataFrame:
+    """The outline with corners, tips and flat tops put back in pictures with soft edges.
+
+    The pixels that decide are those before clean-up and sharpening, where the picture has kept its size.
+    """
+    soft = chosen.where("curved").select("img_id")
+    if soft.isEmpty():
+        return outline
+    judges = pixels
+    if settings.enlarge == 1 and (settings.clean_up or settings.sharpen):
+        judges = prepared(given, replace(settings, clean_up=False, sharpen=False)).where("a > 0")
+    judges, own = judges.join(soft, "img_id"), runs.join(soft, "img_id")
+    shades = materialize(regions.region_table(own).select("img_id", "region_id", "rgb"), "shades")
+    fine = trace.chains(regions.run_pixels(own), chosen.select("img_id", "tolerance"), lambda sides: corners.crossings(sides, pixels, shades))
+    done = corners.restored(materialize(fine, "fine"), judges, shades).select(*outline.columns)
+    return materialize(outline.join(soft, "img_id", "left_anti").unionByName(done), "outline")
+
+
 def _layered(table: DataFrame, outline: DataFrame, stack: str) -> tuple[DataFrame, DataFrame]:
     """(order, rings): z of each region and the rings to draw, by the layout.
 
@@ -150,28 +172,33 @@ def trace_pictures(pixels: DataFrame, settings: Settings = Settings()) -> tuple[
     edges are straightened. curves has nodes with handles for the rings of pictures that aren't traced from
     their pixels; else it is null. Pixels, runs and borders are written once, and everything derives from them.
     """
+    given = pixels
     pixels = materialize(prepared(pixels, settings).where("a > 0"), "pixels")
     runs = materialize(regions.label_runs(tiles.row_runs(pixels)), "runs")
     chosen = materialize(choices(pixels, settings), "choices")
-    outline = trace.chains(regions.run_pixels(runs), chosen.select("img_id", "tolerance"))
-    if settings.regularize:
-        outline = trace.regularized(outline, settings.regularize)
-    outline = materialize(outline, "outline")
+    limits = chosen.select("img_id", "tolerance")
+    outline = materialize(trace.chains(regions.run_pixels(runs), limits), "outline")
+    thin = slivers(outline, runs)
+    if not thin.isEmpty():
+        outline = materialize(trace.chains(regions.run_pixels(runs), limits, exact=thin), "outline")
     if settings.colors is not None:
         runs, outline = merged_colours(runs, outline, settings.colors)
-        outline = trace.rejoined(outline, chosen.select("img_id", "tolerance"))
+        outline = materialize(trace.rejoined(outline, limits), "outline")
+    if settings.corners:
+        outline = with_corners(outline, runs, pixels, given, chosen, settings)
+    if settings.regularize:
+        outline = materialize(trace.regularized(outline, settings.regularize), "outline")
     slack = 0.5 if settings.straighten == "auto" else float(settings.straighten)
     if slack > 0:
         # junctions stay, and pictures traced from their pixels are straight already
         curved = outline.join(chosen.select("img_id", F.col("curved").alias("__curved")), "img_id")
         outline = curved.withColumn("nodes", F.when(F.col("__curved"), trace.straightened_inside("nodes", slack)).otherwise(F.col("nodes"))).drop("__curved")
-    if settings.colors is not None or slack > 0:
         outline = materialize(outline, "outline")
+    outline = trace.with_handles(outline, 60.0 if settings.corners else 179.0)
     table = regions.region_table(runs)
     order, ring = _layered(table, outline, settings.stack)
     ring = ring.join(chosen.select("img_id", "curved"), "img_id")
-    handles = F.when(F.col("curved"), trace.curve_nodes("nodes", 60.0 if settings.corners else 179.0))
-    one = F.array_sort(F.collect_list(F.struct("ring", "nodes", handles.alias("handles"))))  # a region's own rings
+    one = F.array_sort(F.collect_list(F.struct("ring", "nodes", F.when(F.col("curved"), F.col("curves")).alias("handles"))))  # a region's own rings
     ring = ring.groupBy("img_id", "region_id").agg(F.first("curved").alias("curved"), one.alias("own"))
     ring = ring.select("img_id", "region_id", F.transform("own", lambda s: s["nodes"]).alias("rings"), F.when(F.col("curved"), F.transform("own", lambda s: s["handles"])).alias("curves"))
     shapes = order.join(ring, ["img_id", "region_id"])
