@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilework.operators import colours, corners, edit, inspect, layers, prepare, regions, trace
+from tilework.operators import colours, corners, edit, inspect, layers, lettering, prepare, regions, trace
 from tilework.plans import vectorize
 from tilework.sources import drawings, pictures, tiles
 from tilework.storage import materialize
@@ -431,6 +431,17 @@ w AS (SELECT img_id, p, min(q) AS whole FROM j GROUP BY img_id, p),
 o AS (SELECT reg.img_id, whole, rgb, area, row_number() OVER (PARTITION BY reg.img_id, whole ORDER BY area DESC, region_id) AS r FROM reg JOIN w ON w.img_id = reg.img_id AND w.p = reg.region_id)
 SELECT img_id, whole AS region_id, max(rgb) FILTER (r = 1) AS rgb, CAST(sum(area) AS BIGINT) AS area FROM o GROUP BY img_id, whole""",
 )
+_add(
+    "text_lines",
+    lambda s, d: lettering.text_lines(regions.region_table(_runs(s, d)), 1, 3, 3),
+    f"""{_PX}{_REG}, g AS (SELECT *, y1 - y0 + 1 AS h FROM reg WHERE y1 - y0 + 1 BETWEEN 1 AND 3 AND x1 - x0 + 1 <= 2.5 * 3),
+n0 AS (SELECT a.img_id, a.region_id AS u, b.region_id AS v FROM g a JOIN g b ON a.img_id = b.img_id AND a.region_id <> b.region_id AND a.x0 <= b.x0
+  AND b.x0 - a.x1 - 1 <= least(a.h, b.h) AND 2 * (least(a.y1, b.y1) - greatest(a.y0, b.y0) + 1) >= least(a.h, b.h) AND greatest(a.h, b.h) <= 2 * least(a.h, b.h)),
+n2 AS (SELECT img_id, u, v FROM n0 UNION SELECT img_id, v, u FROM n0),
+j AS (SELECT img_id, region_id AS p, region_id AS q FROM g UNION SELECT j.img_id, j.p, n2.v FROM j JOIN n2 ON n2.img_id = j.img_id AND n2.u = j.q),
+w AS (SELECT img_id, p AS region_id, min(q) AS line_id FROM j GROUP BY img_id, p)
+SELECT img_id, region_id, line_id FROM w QUALIFY count(*) OVER (PARTITION BY img_id, line_id) >= 3""",
+)
 _add(
     "unlike_curves",
     lambda s, d: trace.unlike_curves(trace.rings(trace.with_handles(trace.chains(_labelled(s, d), 0.8)))).select("img_id", "unlike"),

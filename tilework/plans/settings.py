@@ -11,7 +11,7 @@ class Settings:
 
     clean_up is a median filter; enlarge doubles the picture once or twice; page chooses a page of a
     document, and as no documents of many pages can be read, only the first is allowed. gradients have
-    an effect where colours are reduced. regularize is ours: the share, from 0 to 1, by which near-equal coordinates of neighbouring nodes
+    an effect where colours are reduced, lettering (small print in one ink, drawn from its pixels) where they are not. regularize is ours: the share, from 0 to 1, by which near-equal coordinates of neighbouring nodes
     are drawn together.
     """
 
@@ -26,6 +26,7 @@ class Settings:
     straighten: float | str = "auto"
     primitives: bool = True
     gradients: bool = True
+    lettering: bool = True
     stack: str = "stacked"
     colors: int | None = None
     background: int | None = None

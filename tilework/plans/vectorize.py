@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilework.functions import colour
-from tilework.operators import colours, corners, edit, inspect, layers, prepare, regions, trace
+from tilework.operators import colours, corners, edit, inspect, layers, lettering, prepare, regions, trace
 from tilework.operators.components import components
 from tilework.plans.settings import Settings
 from tilework.sources import tiles
@@ -18,6 +18,8 @@ from tilework.storage import materialize
 STRIP = 0.3
 #: Differences of brightness that make an area faint, and that of a strong edge near it.
 FAINT = (6, 48)
+#: Pixels of a region that may be a glyph.
+GLYPH_AREA = 6
 
 
 def prepared(pixels: DataFrame, settings: Settings) -> DataFrame:
@@ -123,8 +125,8 @@ def slivers(outline: DataFrame, runs: DataFrame) -> DataFrame:
     return materialize(both.where(~kept).select("img_id", "region_id"), "slivers")
 
 
-def with_corners(outline: DataFrame, runs: DataFrame, pixels: DataFrame, given: DataFrame, chosen: DataFrame, settings: Settings) -> DataFrame:
-    """The outline with corners, tips and flat tops put back in pictures with soft edges.
+def with_corners(outline: DataFrame, runs: DataFrame, pixels: DataFrame, given: DataFrame, chosen: DataFrame, settings: Settings, exact: DataFrame) -> DataFrame:
+    """The outline with corners, tips and flat tops put back in pictures with soft edges, but at borders of `exact` regions.
 
     The pixels that decide are those before clean-up and sharpening, where the picture has kept its size.
     """
@@ -136,9 +138,29 @@ def with_corners(outline: DataFrame, runs: DataFrame, pixels: DataFrame, given:
         judges = prepared(given, replace(settings, clean_up=False, sharpen=False)).where("a > 0")
     judges, own = judges.join(soft, "img_id"), runs.join(soft, "img_id")
     shades = materialize(regions.region_table(own).select("img_id", "region_id", "rgb"), "shades")
-    fine = trace.chains(regions.run_pixels(own), chosen.select("img_id", "tolerance"), lambda sides: corners.crossings(sides, pixels, shades))
-    done = corners.restored(materialize(fine, "fine"), judges, shades).select(*outline.columns)
-    return materialize(outline.join(soft, "img_id", "left_anti").unionByName(done), "outline")
+    exact = exact if settings.colors is None else None
+    fine = trace.chains(regions.run_pixels(own), chosen.select("img_id", "tolerance"), lambda sides: corners.crossings(sides, pixels, shades), exact)
+    fine = materialize(fine, "fine")
+    done = corners.restored(fine.where("tolerance > 0"), judges, shades).select(*outline.columns)
+    kept = fine.where("tolerance = 0").select(*outline.columns)
+    return materialize(outline.join(soft, "img_id", "left_anti").unionByName(done).unionByName(kept), "outline")
+
+
+def with_lettering(runs: DataFrame, pixels: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(runs, regions of small print): in pictures with soft edges, each text line in one ink; None where there is no text."""
+    table = regions.region_table(runs.join(chosen.where("curved").select("img_id"), "img_id"))
+    lines = materialize(lettering.text_lines(table.where(F.col("area") >= GLYPH_AREA)), "text")
+    if lines.isEmpty():
+        return runs, None
+    boxes = materialize(lettering.line_boxes(lines, table), "boxes")
+    inks = materialize(lettering.line_inks(boxes, pixels), "inks")
+    changed = lettering.inked(table, boxes, inks)
+    some = boxes.select("img_id").distinct()
+    shown = regions.run_pixels(runs.join(some, "img_id")).join(changed.select("img_id", "region_id", "to_rgb"), ["img_id", "region_id"], "left")
+    again = regions.label_runs(tiles.row_runs(shown.select("img_id", "x", "y", F.coalesce("to_rgb", "rgb").alias("rgb"))))
+    runs = materialize(runs.join(some, "img_id", "left_anti").unionByName(again.select(*runs.columns)), "runs")
+    printed = lettering.inked(regions.region_table(runs.join(some, "img_id")), boxes, inks).select("img_id", "region_id")
+    return runs, materialize(printed, "printed")
 
 
 def _layered(table: DataFrame, outline: DataFrame, stack: str) -> tuple[DataFrame, DataFrame]:
@@ -176,16 +198,20 @@ def trace_pictures(pixels: DataFrame, settings: Settings = Settings()) -> tuple[
     pixels = materialize(prepared(pixels, settings).where("a > 0"), "pixels")
     runs = materialize(regions.label_runs(tiles.row_runs(pixels)), "runs")
     chosen = materialize(choices(pixels, settings), "choices")
-    limits = chosen.select("img_id", "tolerance")
-    outline = materialize(trace.chains(regions.run_pixels(runs), limits), "outline")
-    thin = slivers(outline, runs)
-    if not thin.isEmpty():
-        outline = materialize(trace.chains(regions.run_pixels(runs), limits, exact=thin), "outline")
+    limits, printed = chosen.select("img_id", "tolerance"), None
+    if settings.lettering and settings.colors is None:
+        runs, printed = with_lettering(runs, pixels, chosen)
+    outline = materialize(trace.chains(regions.run_pixels(runs), limits, exact=printed), "outline")
+    exact = slivers(outline, runs)
+    if printed is not None:
+        exact = materialize(exact.unionByName(printed), "exact")
+    if not exact.isEmpty():
+        outline = materialize(trace.chains(regions.run_pixels(runs), limits, exact=exact), "outline")
     if settings.colors is not None:
         runs, outline = merged_colours(runs, outline, settings.colors)
         outline = materialize(trace.rejoined(outline, limits), "outline")
     if settings.corners:
-        outline = with_corners(outline, runs, pixels, given, chosen, settings)
+        outline = with_corners(outline, runs, pixels, given, chosen, settings, exact)
     if settings.regularize:
         outline = materialize(trace.regularized(outline, settings.regularize), "outline")
     slack = 0.5 if settings.straighten == "auto" else float(settings.straighten)
@@ -201,6 +227,9 @@ def trace_pictures(pixels: DataFrame, settings: Settings = Settings()) -> tuple[
     one = F.array_sort(F.collect_list(F.struct("ring", "nodes", F.when(F.col("curved"), F.col("curves")).alias("handles"))))  # a region's own rings
     ring = ring.groupBy("img_id", "region_id").agg(F.first("curved").alias("curved"), one.alias("own"))
     ring = ring.select("img_id", "region_id", F.transform("own", lambda s: s["nodes"]).alias("rings"), F.when(F.col("curved"), F.transform("own", lambda s: s["handles"])).alias("curves"))
+    if printed is not None:
+        ring = ring.join(printed.withColumn("__pixels", F.lit(True)), ["img_id", "region_id"], "left")
+        ring = ring.withColumn("curves", F.when(F.col("__pixels").isNull(), F.col("curves"))).drop("__pixels")
     shapes = order.join(ring, ["img_id", "region_id"])
     if settings.primitives:
         found = trace.fit_primitives(table, regions.ellipses(runs)).select("img_id", "region_id", F.struct(F.col("primitive").alias("kind"), "cx", "cy", "rx", "ry").alias("primitive"))
