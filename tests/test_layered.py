@@ -103,3 +103,14 @@ def test_blend_modes_groups_and_clear_pixels(spark):
     }
     errors = {r.img_id: r.error for r in found.where("error IS NOT NULL").collect()}
     assert set(errors) == {"odd", "cut", "huge", "junk"} and "diss" in errors["odd"]
+
+
+def test_the_command_line_traces_layers(spark, tmp_path):
+    from tilework.__main__ import main
+
+    layers = [{"rgba": flat(6, 4, 0xFFFFFF)}, {"x": 1, "y": 1, "rgba": flat(3, 2, 0x0000FF)}, {"rgba": flat(6, 4, 0), "hidden": 1}]
+    (tmp_path / "a.psd").write_bytes(psd(6, 4, layers))
+    assert main([f"{tmp_path}/a.psd", "-o", f"{tmp_path}/out", "--layers"]) == 0
+    assert "#0000ff" in (tmp_path / "out" / "a.svg").read_text().lower()
+    with pytest.raises(ValueError, match="mounted"):
+        main([f"{tmp_path}/a.psd", "-o", "s3a://bucket/out"])

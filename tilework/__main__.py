@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import argparse
 from dataclasses import fields
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilework.plans.settings import Settings
 from tilework.plans.vectorize import statistics, trace_pictures
-from tilework.sources import drawings, pictures
+from tilework.sources import drawings, layered, pictures
+from tilework.storage import materialize
 
 
 def _switch(text: str) -> bool:
@@ -33,23 +35,30 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("-o", "--output", required=True, help="a folder that all executors share")
     parser.add_argument("--format", choices=sorted(drawings.WRITERS), default="svg")
     parser.add_argument("--stats", action="store_true", help="print a line of counts for each picture")
+    parser.add_argument("--layers", action="store_true", help="composite PSD and PSB files from their visible layers, not from the merged picture that they hold")
     for f in fields(Settings):
         parser.add_argument(f"--{f.name.replace('_', '-')}", type=_TYPES[str(f.type)], default=f.default)
     given = vars(parser.parse_args(arguments))
     settings = Settings(**{f.name: given[f.name] for f in fields(Settings)})
     spark = SparkSession.builder.appName("tilework").getOrCreate()
-    own = [p for p in given["pictures"] if p.rpartition(".")[2].lower() in pictures.READERS]
-    other = [p for p in given["pictures"] if p not in own]
-    parts = [pictures.read_files(spark, own)] * bool(own) + [pictures.read_images(spark, other)] * bool(other)
-    images = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    shapes, sizes = trace_pictures(pictures.image_pixels(images), settings)
+    kind = lambda p: p.rpartition(".")[2].lower()
+    deep = [p for p in given["pictures"] if given["layers"] and kind(p) in ("psd", "psb")]
+    own = [p for p in given["pictures"] if kind(p) in pictures.READERS and p not in deep]
+    other = [p for p in given["pictures"] if p not in own and p not in deep]
+    parts = [read(spark, paths) for read, paths in ((pictures.read_files, own), (pictures.read_images, other)) if paths]
+    pixels, errors = [pictures.image_pixels(p) for p in parts], [p.select("img_id", "error") for p in parts]
+    if deep:
+        found = materialize(layered.read_layered(spark, deep), "layers")
+        pixels, errors = [*pixels, layered.composited(found)], [*errors, found.select("img_id", "error")]
+    together = lambda frames: reduce(DataFrame.unionByName, frames)
+    shapes, sizes = trace_pictures(together(pixels), settings)
     options: dict = {}
     if given["format"] == "svg":
         options = {"decimals": settings.svg_decimals, "smallest": settings.svg_smallest}
     if given["format"] == "png":
         options = {"background": None if settings.png_background == "clear" else 0xFFFFFF}
     made = drawings.drawings(shapes, sizes, given["format"], settings.stack == "grouped", **options)
-    files = images.where("error IS NOT NULL").select(F.col("img_id").alias("name"), F.lit(None).cast("binary").alias("content")).unionByName(drawings.named(made, given["format"]))
+    files = together(errors).where("error IS NOT NULL").select(F.col("img_id").alias("name"), F.lit(None).cast("binary").alias("content")).unionByName(drawings.named(made, given["format"]))
     saved = drawings.save(files, given["output"], settings.overwrite)
     if given["stats"]:
         statistics(shapes).show(1000, truncate=False)

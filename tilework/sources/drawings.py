@@ -368,11 +368,14 @@ def save(files: DataFrame, folder: str, overwrite: bool = False) -> DataFrame:
     """Write (name, content) to a folder that all executors share; (name, saved, error) of each.
 
     Each file is written as soon as its task has it, under a name of its own and then renamed, so
-    that a task that runs again leaves no half a file. A file that exists is kept unless `overwrite`.
+    that a task that runs again leaves no half a file. A file that exists is kept unless `overwrite`. The folder is
+    a path or a file: address; other addresses are refused.
     """
     import os
     import uuid
 
+    if re.match(r"(?!file:)[A-Za-z][A-Za-z0-9+.-]*:", folder):
+        raise ValueError(f"{folder}: drawings can be saved to a mounted folder only")
     root = re.sub(r"^file:/+", "/", folder)
 
     def run(frames):
