@@ -102,3 +102,24 @@ def test_empty_pictures(spark):
     none = pixels(spark, {"a": checker(2)}).where("x > 9")
     assert regions.label_pixels(none).isEmpty() and tiles.row_runs(none).isEmpty() and inspect.summary(none).isEmpty()
     assert regions.label_pixels(none.withColumn("region_id", F.lit(1))).isEmpty()
+
+
+def test_palettes_are_merged_as_by_looking_at_all_pairs():
+    import numpy as np
+
+    from tilework.operators.colours import merged_to
+
+    def every_pair(rgb, area, colours):
+        now = {int(c): ((int(c) >> 16, int(c) >> 8 & 255, int(c) & 255), int(n), [int(c)]) for c, n in zip(rgb, area, strict=True)}
+        while len(now) > colours:
+            cost = lambda a, b: sum(w * (x - y) ** 2 for w, x, y in zip((2, 4, 3), now[a][0], now[b][0], strict=True)) * now[a][1] * now[b][1] / (now[a][1] + now[b][1])  # noqa: B023, E731
+            _, a, b = min((cost(a, b), a, b) for a in now for b in now if a < b)
+            (x, n, own), (y, m, other) = now[a], now.pop(b)
+            now[a] = tuple((2 * (p * n + q * m) + n + m) // (2 * (n + m)) for p, q in zip(x, y, strict=True)), n + m, own + other
+        return {c: x[0] << 16 | x[1] << 8 | x[2] for x, _, own in now.values() for c in own}
+
+    r = np.random.default_rng(3)
+    for t in range(30):
+        rgb = np.unique(r.integers(0, 1 << 24 if t % 2 else 4096, r.integers(1, 24)))
+        area, k = r.integers(1, 50, len(rgb)), int(r.integers(1, 9))
+        assert dict(zip(rgb.tolist(), merged_to(rgb, area, k).tolist(), strict=True)) == every_pair(rgb, area, k)

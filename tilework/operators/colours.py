@@ -31,7 +31,7 @@ def nearest_pair(palette: DataFrame) -> DataFrame:
 def reduced_palette(palette: DataFrame, colours: int) -> DataFrame:
     """(img_id, rgb, to_rgb): the merges repeated until each picture has at most `colours` (1 to 64) colours.
 
-    A palette is one picture's; the loop runs over its colours only, and stays with one task for each picture.
+    A palette is one picture's, and stays with one task; see `merged_to`.
     """
     if not 1 <= colours <= 64:
         raise ValueError("from 1 to 64 colours")
@@ -39,31 +39,62 @@ def reduced_palette(palette: DataFrame, colours: int) -> DataFrame:
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rgb")
         rgb = pdf["rgb"].to_numpy(np.int64)
-        now = np.stack([rgb >> 16, rgb >> 8 & 255, rgb & 255], axis=1)
-        area = pdf["area"].to_numpy(np.int64).copy()
-        owner, alive = np.arange(len(rgb)), list(range(len(rgb)))
-        weigh = np.array([2, 4, 3])
-        while len(alive) > colours:
-            c, n = now[alive], area[alive]
-            best = None
-            for i in range(len(alive) - 1):  # a row of the matrix at once
-                cost = ((c[i + 1 :] - c[i]) ** 2 @ weigh) * n[i] * n[i + 1 :] / (n[i] + n[i + 1 :])
-                j = int(np.argmin(cost))
-                if best is None or cost[j] < best[0]:
-                    best = cost[j], alive[i], alive[i + 1 + j]
-            _, i, j = best
-            both = area[i] + area[j]
-            now[i] = (2 * (now[i] * area[i] + now[j] * area[j]) + both) // (2 * both)
-            area[i] = both
-            owner[owner == j] = i
-            alive.remove(j)
-        to = (now[:, 0] << 16 | now[:, 1] << 8 | now[:, 2])[owner]
-        return pd.DataFrame({"img_id": pdf["img_id"], "rgb": rgb, "to_rgb": to})
+        return pd.DataFrame({"img_id": pdf["img_id"], "rgb": rgb, "to_rgb": merged_to(rgb, pdf["area"].to_numpy(np.int64), colours)})
 
     kind = palette.schema["img_id"].dataType.simpleString()
     return palette.groupBy("img_id").applyInPandas(merge, f"img_id {kind}, rgb int, to_rgb int")
 
 
+def merged_to(rgb: np.ndarray, area: np.ndarray, colours: int) -> np.ndarray:
+    """What each of ascending colours becomes when the nearest two are merged until `colours` are left.
+
+    Each colour knows the nearest of those after it, so that a merge looks again for those only whose nearest it
+    touched: time grows with the square of the number of colours, memory with the number.
+    """
+    n = len(rgb)
+    now, area, owner = np.stack([rgb >> 16, rgb >> 8 & 255, rgb & 255]).astype(float), area.astype(float), np.arange(n)
+    live, alive = np.arange(n), np.ones(n, dtype=bool)
+    near, cost = np.full(n, -1), np.full(n, np.inf)
+
+    def costs(i: int, js: np.ndarray) -> np.ndarray:
+        d = now[:, js] - now[:, i : i + 1]
+        return (2 * d[0] * d[0] + 4 * d[1] * d[1] + 3 * d[2] * d[2]) * area[i] * area[js] / (area[i] + area[js])
+
+    def look(i: int) -> None:
+        js = live[np.searchsorted(live, i, side="right") :]
+        js = js[alive[js]]
+        near[i], cost[i] = -1, np.inf
+        if len(js):
+            c = costs(i, js)
+            at = int(np.argmin(c))
+            near[i], cost[i] = js[at], c[at]
+
+    if n > colours:
+        for i in range(n):
+            look(i)
+    for left in range(n, colours, -1):
+        if len(live) > 1.2 * left + 16:
+            live = live[alive[live]]
+        i = int(live[np.argmin(cost[live])])
+        j = int(near[i])
+        both = area[i] + area[j]
+        now[:, i] = np.floor((2 * (now[:, i] * area[i] + now[:, j] * area[j]) + both) / (2 * both))
+        area[i], alive[j], cost[j] = both, False, np.inf
+        owner[owner == j] = i
+        before = live[: np.searchsorted(live, j)]
+        touched = before[alive[before] & ((near[before] == i) | (near[before] == j))]
+        for k in {i, *touched.tolist()}:
+            look(k)
+        before = live[: np.searchsorted(live, i)]  # the new colour may be nearer to one before it
+        before = before[alive[before]]
+        if len(before):
+            c = costs(i, before)
+            better = (c < cost[before]) | ((c == cost[before]) & (i < near[before]))
+            near[before[better]], cost[before[better]] = i, c[better]
+    now = now.astype(np.int64)
+    return (now[0] << 16 | now[1] << 8 | now[2])[owner]
+
+
 def recoloured(pixels: DataFrame, mapping: DataFrame) -> DataFrame:
     """pixels with the colours of (img_id, rgb, to_rgb); others keep theirs."""
     return pixels.join(mapping, ["img_id", "rgb"], "left").withColumn("rgb", F.coalesce("to_rgb", "rgb")).drop("to_rgb")
