@@ -123,3 +123,33 @@ def test_palettes_are_merged_as_by_looking_at_all_pairs():
         rgb = np.unique(r.integers(0, 1 << 24 if t % 2 else 4096, r.integers(1, 24)))
         area, k = r.integers(1, 50, len(rgb)), int(r.integers(1, 9))
         assert dict(zip(rgb.tolist(), merged_to(rgb, area, k).tolist(), strict=True)) == every_pair(rgb, area, k)
+
+
+def test_a_deleted_node_leaves_the_shape(spark):
+    import math
+
+    from tilework.operators import edit
+
+    def arc(angles, k):
+        out = []
+        for t in angles:
+            x, y, dx, dy = 10 * math.cos(t), 10 * math.sin(t), -10 * k * math.sin(t), 10 * k * math.cos(t)
+            out.append((x, y, False, x - dx, y - dy, x + dx, y + dy))
+        return out
+
+    kind = "n array<struct<x: double, y: double, corner: boolean, in_x: double, in_y: double, out_x: double, out_y: double>>"
+    step = math.pi / 6
+    df = spark.createDataFrame([(arc([0, step, 2 * step], 4 / 3 * math.tan(step / 4)),)], kind)
+    (got,) = edit.without_curve_node(df, "n", F.lit(1)).first()
+    assert len(got) == 2
+    p, q = got
+    for i in range(21):  # the one curve follows the circle that the two did
+        t = i / 20
+        x, y = ((1 - t) ** 3 * p[k] + 3 * (1 - t) ** 2 * t * p[f"out_{k}"] + 3 * (1 - t) * t * t * q[f"in_{k}"] + t**3 * q[k] for k in "xy")
+        assert abs(math.hypot(x, y) - 10) < 0.02
+    # ends stay, and a straight line stays straight
+    straight = [(float(i), 0.0, True, float(i), 0.0, float(i), 0.0) for i in (0, 4, 9)]
+    df = spark.createDataFrame([(straight,)], kind)
+    (got,) = edit.without_curve_node(df, "n", F.lit(1)).first()
+    assert [(r.x, r.y, r.out_y, r.in_y) for r in got] == [(0, 0, 0, 0), (9, 0, 0, 0)] and 0 <= got[0].out_x <= got[1].in_x <= 9
+    assert len(edit.without_curve_node(df, "n", F.lit(0)).first().n) == 3

@@ -100,6 +100,65 @@ def without_node(nodes: Column, at: Column) -> Column:
     return F.filter(nodes, lambda p, i: (i != at) | (i == 0) | (i == F.size(nodes) - 1))
 
 
+def without_curve_node(table: DataFrame, nodes: str, at: Column, samples: int = 8) -> DataFrame:
+    """The table with its column of nodes with handles (`trace.chain_handles`) without the inner node `at`: its two curves become one, fitted to them.
+
+    The new curve leaves and arrives in the old directions; how far its handles reach is the least-squares solution over
+    points of both old curves, which share the new curve's parameter by their lengths. Ends can't be deleted.
+    """
+    a, m, c, col = F.col("__a"), F.col("__m"), F.col("__c"), F.col
+    out = table.withColumn("__at", at.cast("int"))
+    out = out.withColumns({"__a": F.get(nodes, F.col("__at") - 1), "__m": F.get(nodes, F.col("__at")), "__c": F.get(nodes, F.col("__at") + 1)})
+
+    def toward(p: Column, way: str, k: str) -> Column:
+        """A direction: that of the handle, or to the node between where there is none."""
+        none = (p[f"{way}_x"] == p["x"]) & (p[f"{way}_y"] == p["y"])
+        return F.when(none, m[k] - p[k]).otherwise(p[f"{way}_{k}"] - p[k])
+
+    length = lambda p, q: F.hypot(p["x"] - q["x"], p["y"] - q["y"])
+    out = out.withColumns({f"__u{k}": toward(a, "out", k) for k in "xy"} | {f"__v{k}": toward(c, "in", k) for k in "xy"} | {"__first": length(a, m), "__second": length(m, c)})
+    size = {w: F.greatest(F.hypot(col(f"__{w}x"), col(f"__{w}y")), F.lit(1e-9)) for w in "uv"}
+    out = out.withColumns({f"__{w}{k}": col(f"__{w}{k}") / size[w] for w in "uv" for k in "xy"} | {"__share": col("__first") / F.greatest(col("__first") + col("__second"), F.lit(1e-9))})
+
+    def cubic(p: Column, q: Column, t: Column, k: str) -> Column:
+        s = 1 - t
+        return s * s * s * p[k] + 3 * s * s * t * p[f"out_{k}"] + 3 * s * t * t * q[f"in_{k}"] + t * t * t * q[k]
+
+    def point(i: Column) -> Column:
+        t = i / (2 * samples)
+        one, two = t / F.greatest(col("__share"), F.lit(1e-9)), (t - col("__share")) / F.greatest(1 - col("__share"), F.lit(1e-9))
+        return F.struct(t.alias("t"), *(F.when(t < col("__share"), cubic(a, m, one, k)).otherwise(cubic(m, c, two, k)).alias(k) for k in "xy"))
+
+    out = out.withColumn("__points", F.transform(F.sequence(F.lit(1), F.lit(2 * samples - 1)), point))
+
+    def terms(p: Column) -> Column:
+        t, s = p["t"], 1 - p["t"]
+        b1, b2 = 3 * s * s * t, 3 * s * t * t
+        rest = {k: p[k] - (s * s * s + b1) * a[k] - (b2 + t * t * t) * c[k] for k in "xy"}
+        dot = col("__ux") * col("__vx") + col("__uy") * col("__vy")
+        along = lambda w: col(f"__{w}x") * rest["x"] + col(f"__{w}y") * rest["y"]
+        return F.struct((b1 * b1).alias("aa"), (b1 * b2 * dot).alias("ab"), (b2 * b2).alias("bb"), (b1 * along("u")).alias("ra"), (b2 * along("v")).alias("rb"))
+
+    names = ("aa", "ab", "bb", "ra", "rb")
+    zero = F.struct(*(F.lit(0.0).alias(k) for k in names))
+    out = out.withColumn("__terms", F.transform("__points", terms)).withColumn("__sums", F.aggregate("__terms", zero, lambda x, y: F.struct(*((x[k] + y[k]).alias(k) for k in names))))
+    s = col("__sums")
+    out = out.withColumns({"__det": s["aa"] * s["bb"] - s["ab"] * s["ab"], "__third": (col("__first") + col("__second")) / 3})
+    for name, n in (("__out", s["ra"] * s["bb"] - s["rb"] * s["ab"]), ("__in", s["rb"] * s["aa"] - s["ra"] * s["ab"])):
+        out = out.withColumn(name, F.when(F.abs("__det") > 1e-9, n / col("__det")).otherwise(col("__third")))
+        out = out.withColumn(name, F.when(col(name) > 0, F.least(col(name), 3 * col("__third"))).otherwise(col("__third")))
+    out = out.withColumns({f"__{w}{k}": e[k] + col(reach) * col(f"__{w}{k}") for w, e, reach in (("u", a, "__out"), ("v", c, "__in")) for k in "xy"})
+
+    def node(p: Column, i: Column) -> Column:
+        place = lambda way, k, near, w: F.when(i == near, col(f"__{w}{k}")).otherwise(p[f"{way}_{k}"]).alias(f"{way}_{k}")
+        handles = [place("in", k, col("__at") + 1, "v") for k in "xy"] + [place("out", k, col("__at") - 1, "u") for k in "xy"]
+        return F.struct(p["x"].alias("x"), p["y"].alias("y"), p["corner"].alias("corner"), *handles)
+
+    inner = (col("__at") > 0) & (col("__at") < F.size(nodes) - 1)
+    done = F.when(inner, F.filter(F.transform(nodes, node), lambda p, i: i != col("__at"))).otherwise(col(nodes))
+    return out.withColumn(nodes, done).select(*table.columns)
+
+
 def rounded(nodes: Column, at: Column, size: str) -> Column:
     """A node array whose inner node `at` is cut into an arc of two nodes, as far along its edges as `size` and they allow."""
     radius = RADII[size]
