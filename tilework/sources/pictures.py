@@ -262,7 +262,11 @@ READERS: dict[str, Callable[..., tuple[int, int, bytes]]] = {"tga": read_tga, "p
 
 def read_files(spark: SparkSession, paths: list[str], most: int = MAX_PIXELS) -> DataFrame:
     """images from TGA, PSD, PSB and SVG files or globs, by extension."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return decoded_files(spark.read.format("binaryFile").load(paths).select("path", "content"), most)
+
+
+def decoded_files(files: DataFrame, most: int = MAX_PIXELS) -> DataFrame:
+    """images from files (path, content) of a table or a stream, by extension."""
 
     def decode(frames):
         for pdf in frames:

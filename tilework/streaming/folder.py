@@ -4,32 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tilework.operators.inspect import MAX_PIXELS
-from tilework.sources.pictures import READERS, SCHEMA
+from tilework.sources.pictures import decoded_files
 
 
 def arriving(spark: SparkSession, folder: str, most: int = MAX_PIXELS) -> DataFrame:
     """A stream of images from the TGA, PSD, PSB and SVG files that arrive in a folder."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder).select("path", "content")
-
-    def decode(frames):
-        for pdf in frames:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                name = path.rpartition("/")[2]
-                try:
-                    w, h, px = READERS[name.rpartition(".")[2].lower()](bytes(content), most)
-                    rows.append((path, path, w, h, 4, px, None))
-                except Exception as e:  # noqa: BLE001  whatever a hostile file provokes becomes its row's error
-                    rows.append((path, path, None, None, None, None, f"{type(e).__name__}: {e}"[:300]))
-            yield pd.DataFrame(rows, columns=["img_id", "path", "width", "height", "channels", "pixels", "error"])
-
-    return files.mapInPandas(decode, SCHEMA)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+    return decoded_files(files.select("path", "content"), most)
 
 
 def trace_arriving(spark: SparkSession, folder: str, checkpoint: str, each: Callable[[DataFrame, int], None], most: int = MAX_PIXELS) -> StreamingQuery:
