@@ -236,7 +236,7 @@ def rejoined(chain_table: DataFrame, tolerance: DataFrame) -> DataFrame:
             else:
                 joined[-1] = joined[-1] + part[1:]
         of = np.array(of)
-        flat_x, flat_y, size = _simplified_all(*np.array([p for c in joined for p in c], dtype=float).reshape(-1, 2).T, np.array([len(c) for c in joined]), limit[of])
+        flat_x, flat_y, size = _simplified_all(*np.array([p for c in joined for p in c], dtype=float).reshape(-1, 2).T, np.array([len(c) for c in joined]), np.maximum(limit[of], 1e-9))  # what was a junction on a straight line is no node any more
         number = np.arange(len(of), dtype=np.int32)  # tells chains of a border apart
         return pa.table({"img_id": name.dictionary.take(pa.array(code[of])), "left": pa.array(left[of]), "right": pa.array(right[of]), "chain": pa.array(number), "closed": pa.array([c[0] == c[-1] for c in joined]), "nodes": _node_lists(flat_x, flat_y, size)})
 

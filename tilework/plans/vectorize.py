@@ -202,7 +202,8 @@ def trace_pictures(pixels: DataFrame, settings: Settings = Settings()) -> tuple[
     if settings.lettering and settings.colors is None:
         runs, printed = with_lettering(runs, pixels, chosen)
     outline = materialize(trace.chains(regions.run_pixels(runs), limits, exact=printed), "outline")
-    exact = slivers(outline, runs)
+    moved = limits.where("tolerance > 0").select("img_id")  # elsewhere nothing is simplified
+    exact = slivers(outline.join(moved, "img_id"), runs.join(moved, "img_id"))
     if printed is not None:
         exact = materialize(exact.unionByName(printed), "exact")
     if not exact.isEmpty():
