@@ -258,7 +258,7 @@ WITH pieces AS (
   SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
   FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
 ), words AS (
-  SELECT lang, unnest(w) AS w1, unnest(list_concat(w[2:], [NULL])) AS w2, unnest(list_concat(w[3:], [NULL, NULL])) AS w3 FROM pieces WHERE len(w) > 0
+  SELECT lang, unnest(w) AS w1, unnest(list_concat(w[2:], [NULL])) AS w2, unnest(list_concat(w[3:], [NULL, NULL])[:len(w)]) AS w3 FROM pieces WHERE len(w) > 0
 ), f1 AS (
   SELECT lang, w1, count(*)::HUGEINT AS f FROM words GROUP BY ALL
 ), f2 AS (
