@@ -60,7 +60,7 @@ def crossings(sides: DataFrame, pixels: DataFrame, shades: DataFrame) -> DataFra
     out = out.withColumns({f"__t_{k}": coverage(F.col(f"__rgb_{k}"), F.col("__rgb_left"), F.col("__rgb_right")) for k in "pq"})
     step = F.col("__t_q") - F.col("__t_p")
     out = out.withColumn("__at", F.when(F.abs(step) > 0.05, (0.5 - F.col("__t_p")) / step))
-    at = F.when(F.col("__at").between(-0.5, 1.5), F.col("__at")).otherwise(0.5)
+    at = F.when(F.col("__at").between(-0.500001, 1.500001), F.col("__at")).otherwise(0.5)
     px = F.when(upright, x - 0.5 + at).otherwise(x + 0.5)
     py = F.when(upright, y + 0.5).otherwise(y - 0.5 + at)
     return out.withColumns({"px": px, "py": py}).select(*sides.columns, "px", "py")

@@ -401,7 +401,7 @@ _add(
 ), t AS (
   SELECT *, CAST(3 * (vp - a) * (b - a) AS DOUBLE) / (3 * (b - a) * (b - a)) AS tp, CAST(3 * (vq - a) * (b - a) AS DOUBLE) / (3 * (b - a) * (b - a)) AS tq FROM s
 ), u AS (SELECT *, CASE WHEN abs(tq - tp) > 0.05 THEN (0.5 - tp) / (tq - tp) END AS u FROM t)
-SELECT img_id, x, y, upright, CAST(floor((CASE WHEN u BETWEEN -0.5 AND 1.5 THEN u ELSE 0.5 END - 0.5) * 1000 + 0.3) AS BIGINT) AS at FROM u""",
+SELECT img_id, x, y, upright, CAST(floor((CASE WHEN u BETWEEN -0.500001 AND 1.500001 THEN u ELSE 0.5 END - 0.5) * 1000 + 0.3) AS BIGINT) AS at FROM u""",
 )
 
 
