@@ -40,7 +40,7 @@ from tilework.llm.textkit import text_slices
 from tilework.storage import materialize
 
 #: Bytes of text of a chunk; parts that are encoded by B at once; salts of the first sum.
-CHUNK_BYTES, BATCH, SALTS = 8 << 20, 20_000, 16
+CHUNK_BYTES, BATCH, SALTS = 4 << 20, 20_000, 16
 
 
 class Pieces:
