@@ -308,11 +308,11 @@ def rings(chain_table: DataFrame) -> DataFrame:
 
     kind = chain_table.schema["img_id"].dataType.simpleString()
     schema = f"img_id {kind}, region_id long, ring int, is_hole boolean, area double, nodes array<struct<x: double, y: double>>"
-    return _dealt(both, ["img_id", "region_id"]).groupBy("slot").applyInArrow(join, schema + (f", curves {_HANDLES}" if more else ""))
+    return _dealt(both, ["img_id", "region_id"]).groupBy("slot").applyInArrow(join, schema + (f", curves {HANDLES}" if more else ""))
 
 
 _HANDLE = ("x", "y", "corner", "in_x", "in_y", "out_x", "out_y")
-_HANDLES = "array<struct<x: double, y: double, corner: boolean, in_x: double, in_y: double, out_x: double, out_y: double>>"
+HANDLES = "array<struct<x: double, y: double, corner: boolean, in_x: double, in_y: double, out_x: double, out_y: double>>"
 
 
 def _curves(joined: list[list[tuple[float, float]]], parts: list[list[dict]]) -> list[list[dict]]:

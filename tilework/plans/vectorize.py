@@ -221,9 +221,12 @@ def trace_pictures(pixels: DataFrame, settings: Settings = Settings()) -> tuple[
         curved = outline.join(chosen.select("img_id", F.col("curved").alias("__curved")), "img_id")
         outline = curved.withColumn("nodes", F.when(F.col("__curved"), trace.straightened_inside("nodes", slack)).otherwise(F.col("nodes"))).drop("__curved")
         outline = materialize(outline, "outline")
-    outline = trace.with_handles(outline, 60.0 if settings.corners else 179.0)
+    if not chosen.where("curved").isEmpty():
+        outline = trace.with_handles(outline, 60.0 if settings.corners else 179.0)
     table = regions.region_table(runs)
     order, ring = _layered(table, outline, settings.stack)
+    if "curves" not in ring.columns:
+        ring = ring.withColumn("curves", F.lit(None).cast(trace.HANDLES))
     ring = ring.join(chosen.select("img_id", "curved"), "img_id")
     one = F.array_sort(F.collect_list(F.struct("ring", "nodes", F.when(F.col("curved"), F.col("curves")).alias("handles"))))  # a region's own rings
     ring = ring.groupBy("img_id", "region_id").agg(F.first("curved").alias("curved"), one.alias("own"))
