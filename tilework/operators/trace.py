@@ -267,7 +267,7 @@ def rings(chain_table: DataFrame) -> DataFrame:
     """(img_id, region_id, ring, is_hole, area, nodes): each region's outlines from its chains, signed area by the shoelace rule.
 
     Where chains have handles (`chain_handles`), rings have curves too: their nodes but the last, with the handles of
-    the chains, so that both sides of a border have the same.
+    the chains, so that both sides of a border have the same; the area is that within the curves then.
     """
     more = ["handles"] if "handles" in chain_table.columns else []
     table = materialize(chain_table.select("img_id", "left", "right", "nodes", *more), "chains")
@@ -301,6 +301,8 @@ def rings(chain_table: DataFrame) -> DataFrame:
         cross = np.append(cross, 0.0)
         cross[first + size - 1] = 0.0  # not from one ring to the next
         area = np.add.reduceat(cross, first) / 2 if len(first) else cross[:0]
+        if more:
+            area = area + _bulges(curves)
         out = {"img_id": name.dictionary.take(pa.array(code[own])), "region_id": pa.array(region[own]), "ring": pa.array(number, pa.int32()), "is_hole": pa.array(area < 0), "area": pa.array(area), "nodes": _node_lists(x, y, size)}
         if more:
             out["curves"] = pa.array(curves, pa.list_(pa.struct([(c, pa.bool_() if c == "corner" else pa.float64()) for c in _HANDLE])))
@@ -325,6 +327,20 @@ def _curves(joined: list[list[tuple[float, float]]], parts: list[list[dict]]) ->
     return out
 
 
+def _bulges(curves: list[list[dict]]) -> np.ndarray:
+    """For each ring of nodes with handles the signed area between its curves and the lines from node to node."""
+    out = []
+    for nodes in curves:
+        v = np.array([[p[c] for c in _HANDLE if c != "corner"] for p in nodes])
+        ends = np.roll(v, -1, axis=0)
+        a, p, q, b = v[:, 0:2], v[:, 4:6], ends[:, 2:4], ends[:, 0:2]
+        cross = lambda s, t: s[:, 0] * t[:, 1] - s[:, 1] * t[:, 0]
+        p, q, b = p - a, q - a, b - a
+        # half the integral of the cross product of place and speed; that of the line is 0, seen from a
+        out.append(float((3 * cross(p, q) + 3 * cross(p, b) + 6 * cross(q, b)).sum()) / 20)
+    return np.array(out)
+
+
 def _joined(parts: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
     """Closed rings of chains that go on where others end."""
     out: dict[tuple[float, float], list[list]] = {}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilework.functions import colour
-from tilework.operators import colours, corners, edit, inspect, layers, lettering, prepare, regions, trace
+from tilework.operators import colours, corners, curvefit, edit, inspect, layers, lettering, prepare, regions, trace
 from tilework.operators.components import components
 from tilework.plans.settings import Settings
 from tilework.sources import tiles
@@ -128,6 +128,7 @@ def slivers(outline: DataFrame, runs: DataFrame) -> DataFrame:
 def with_corners(outline: DataFrame, runs: DataFrame, pixels: DataFrame, given: DataFrame, chosen: DataFrame, settings: Settings, exact: DataFrame) -> DataFrame:
     """The outline with corners, tips and flat tops put back in pictures with soft edges, but at borders of `exact` regions.
 
+    Where there are such pictures it has points, free and tolerance too, as `trace.chains` gives them; null for chains that stay.
     The pixels that decide are those before clean-up and sharpening, where the picture has kept its size.
     """
     soft = chosen.where("curved").select("img_id")
@@ -141,9 +142,12 @@ def with_corners(outline: DataFrame, runs: DataFrame, pixels: DataFrame, given:
     exact = exact if settings.colors is None else None
     fine = trace.chains(regions.run_pixels(own), chosen.select("img_id", "tolerance"), lambda sides: corners.crossings(sides, pixels, shades), exact)
     fine = materialize(fine, "fine")
-    done = corners.restored(fine.where("tolerance > 0"), judges, shades).select(*outline.columns)
+    more = [*outline.columns, "points", "free", "tolerance"]
+    done = corners.restored(fine.where("tolerance > 0"), judges, shades).select(*more)
+    done = curvefit.smoothed(done)
     kept = fine.where("tolerance = 0").select(*outline.columns)
-    return materialize(outline.join(soft, "img_id", "left_anti").unionByName(done).unionByName(kept), "outline")
+    rest = outline.join(soft, "img_id", "left_anti").unionByName(kept)
+    return materialize(done.unionByName(rest, allowMissingColumns=True), "outline")
 
 
 def with_lettering(runs: DataFrame, pixels: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -223,6 +227,8 @@ def trace_pictures(pixels: DataFrame, settings: Settings = Settings()) -> tuple[
         outline = materialize(outline, "outline")
     if not chosen.where("curved").isEmpty():
         outline = trace.with_handles(outline, 60.0 if settings.corners else 179.0)
+        if "points" in outline.columns:
+            outline = curvefit.fitted(outline)
     table = regions.region_table(runs)
     order, ring = _layered(table, outline, settings.stack)
     if "curves" not in ring.columns:

@@ -47,7 +47,8 @@ class Shape(NamedTuple):
         out: list[tuple] = [(nodes[0]["x"], nodes[0]["y"])]
         for p, q in zip(nodes, [*nodes[1:], nodes[0]], strict=True):
             end = (q["x"], q["y"])
-            out.append(end if p["corner"] and q["corner"] else (p["out_x"], p["out_y"], q["in_x"], q["in_y"], *end))
+            line = (p["x"], p["y"], *end) == (p["out_x"], p["out_y"], q["in_x"], q["in_y"])
+            out.append(end if line else (p["out_x"], p["out_y"], q["in_x"], q["in_y"], *end))
         return out
 
     def flat(self) -> list[Ring]:
@@ -88,7 +89,8 @@ def svg_curves(nodes: Column) -> Column:
     def piece(p: Column, i: Column) -> Column:
         q = F.get(nodes, F.pmod(i + 1, size))
         curve = F.concat(F.lit("C"), pair(p, "out_x", "out_y"), F.lit(" "), pair(q, "in_x", "in_y"), F.lit(" "), pair(q, "x", "y"))
-        return F.when(p["corner"] & q["corner"], F.concat(F.lit("L"), pair(q, "x", "y"))).otherwise(curve)
+        line = (p["out_x"] == p["x"]) & (p["out_y"] == p["y"]) & (q["in_x"] == q["x"]) & (q["in_y"] == q["y"])
+        return F.when(line, F.concat(F.lit("L"), pair(q, "x", "y"))).otherwise(curve)
 
     first = F.get(nodes, F.lit(0))
     return F.concat(F.lit("M"), pair(first, "x", "y"), F.array_join(F.transform(nodes, piece), ""), F.lit("Z"))
