@@ -2,7 +2,8 @@
 
 Each half step joins edges with the least neighbour of their node and is written to the shared
 folder; no step gathers the neighbours of a node (a join with a written table has plain shuffles on
-both sides, so a hot node can be split), and the driver sees one row of totals.
+both sides, so a hot node can be split), and the driver sees one row of totals. The joins are by merging: the files
+of such a table are so compressed that their size says little, and Spark would broadcast what it takes for small.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: neighbours above a node move to its least neighbour
         sides = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = sides.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = sides.join(least.hint("merge"), "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "stars")
         # small star: a node and its neighbours below it move to the least of these
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:

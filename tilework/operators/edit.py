@@ -41,7 +41,7 @@ def effective_edits(log: DataFrame) -> DataFrame:
 def without_deleted(shapes: DataFrame, edits: DataFrame) -> DataFrame:
     """Shapes (img_id, region_id, ...) less those whose last delete or restore is a delete; no other shape is touched."""
     last = edits.where(F.col("op").isin("delete", "restore")).groupBy("img_id", "region_id").agg(F.max_by("op", "seq").alias("op"))
-    return shapes.join(last.where("op = 'delete'").select("img_id", "region_id"), ["img_id", "region_id"], "left_anti")
+    return shapes.join(last.where("op = 'delete'").select("img_id", "region_id").hint("merge"), ["img_id", "region_id"], "left_anti")
 
 
 def merged_shades(shapes: DataFrame, edits: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def joined_shapes(edits: DataFrame) -> DataFrame:
 
 def with_joined(table: DataFrame, joined: DataFrame) -> DataFrame:
     """A region table (img_id, region_id, rgb, area, x0, y0, x1, y1) with joined shapes as one, in the colour of the largest part (of equals the least id)."""
-    named = table.join(joined, ["img_id", "region_id"], "left").withColumn("whole", F.coalesce("whole", "region_id"))
+    named = table.join(joined.hint("merge"), ["img_id", "region_id"], "left").withColumn("whole", F.coalesce("whole", "region_id"))
     first = F.max_by("rgb", F.struct("area", -F.col("region_id"))).alias("rgb")
     sums = [F.sum("area").alias("area"), *(F.min(c).alias(c) for c in ("x0", "y0")), *(F.max(c).alias(c) for c in ("x1", "y1"))]
     return named.groupBy("img_id", F.col("whole").alias("region_id")).agg(first, *sums)
@@ -82,7 +82,7 @@ def relabelled(outline: DataFrame, joined: DataFrame) -> DataFrame:
     """
     for side in ("left", "right"):
         own = joined.select("img_id", F.col("region_id").alias(side), F.col("whole").alias(f"whole_{side}"))
-        outline = outline.join(own, ["img_id", side], "left").withColumn(side, F.coalesce(f"whole_{side}", side)).drop(f"whole_{side}")
+        outline = outline.join(own.hint("merge"), ["img_id", side], "left").withColumn(side, F.coalesce(f"whole_{side}", side)).drop(f"whole_{side}")
     # the region with the greater id stays on the right
     turned = F.col("left") > F.col("right")
     return outline.where("left <> right").select("img_id", F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"), "chain", "closed", F.when(turned, F.reverse("nodes")).otherwise(F.col("nodes")).alias("nodes"))

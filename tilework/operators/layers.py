@@ -23,7 +23,7 @@ def drawing_order(regions: DataFrame) -> DataFrame:
 def under_strips(stacked: DataFrame, borders: DataFrame) -> DataFrame:
     """(img_id, lower, upper, border): the lower region of each neighbouring pair reaches under their common edge."""
     a, b = (stacked.select("img_id", F.col("region_id").alias(f"region_{s}"), F.col("z").alias(f"z_{s}")) for s in "ab")
-    pairs = borders.join(a, ["img_id", "region_a"]).join(b, ["img_id", "region_b"])
+    pairs = borders.join(a.hint("merge"), ["img_id", "region_a"]).join(b.hint("merge"), ["img_id", "region_b"])
     first = F.col("z_a") < F.col("z_b")
     return pairs.select("img_id", F.when(first, F.col("region_a")).otherwise(F.col("region_b")).alias("lower"), F.when(first, F.col("region_b")).otherwise(F.col("region_a")).alias("upper"), "border")
 

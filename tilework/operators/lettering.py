@@ -35,29 +35,29 @@ def text_lines(table: DataFrame, low: int = LOW, high: int = HIGH, glyphs: int =
     least, most = F.least("h", "h_b"), F.greatest("h", "h_b")
     beside = (F.col("x0") <= F.col("x0_b")) & (F.col("x0_b") - F.col("x1") - 1 <= APART * least)
     level = (2 * (F.least("y1", "y1_b") - F.greatest("y0", "y0_b") + 1) >= least) & (most <= 2 * least)
-    near = right.join(left, ["img_id", "cx", "cy"]).where((F.col("region_id") != F.col("region_id_b")) & beside & level)
+    near = right.join(left.hint("merge"), ["img_id", "cx", "cy"]).where((F.col("region_id") != F.col("region_id_b")) & beside & level)
     node = lambda c: F.struct(F.col("img_id").alias("i"), F.col(c).alias("p"))
     labels = components(near.select(node("region_id").alias("u"), node("region_id_b").alias("v")))
     lines = labels.select(F.col("node.i").alias("img_id"), F.col("node.p").alias("region_id"), F.col("label.p").alias("line_id"))
     lines = materialize(lines.unionByName(lines.select("img_id", F.col("line_id").alias("region_id"), "line_id").distinct()), "lines")
     long = lines.groupBy("img_id", "line_id").agg(F.count("*").alias("n")).where(F.col("n") >= glyphs).select("img_id", "line_id")
-    return lines.join(long, ["img_id", "line_id"]).select("img_id", "region_id", "line_id")
+    return lines.join(long.hint("merge"), ["img_id", "line_id"]).select("img_id", "region_id", "line_id")
 
 
 def line_boxes(lines: DataFrame, table: DataFrame) -> DataFrame:
     """(img_id, line_id, x0, y0, x1, y1): the lines' boxes, a pixel larger on each side."""
-    both = lines.join(table.select("img_id", "region_id", "x0", "y0", "x1", "y1"), ["img_id", "region_id"])
+    both = lines.join(table.select("img_id", "region_id", "x0", "y0", "x1", "y1").hint("merge"), ["img_id", "region_id"])
     return both.groupBy("img_id", "line_id").agg((F.min("x0") - 1).alias("x0"), (F.min("y0") - 1).alias("y0"), (F.max("x1") + 1).alias("x1"), (F.max("y1") + 1).alias("y1"))
 
 
 def line_inks(boxes: DataFrame, pixels: DataFrame) -> DataFrame:
     """(img_id, line_id, ground, ink) of lines' boxes and pixels (img_id, x, y, rgb)."""
     rows = boxes.select("img_id", "line_id", "x0", "x1", "y0", "y1", F.explode(F.sequence("y0", "y1")).alias("y"))
-    inside = rows.select("*", F.explode(F.sequence("x0", "x1")).alias("x")).join(pixels.select("img_id", "x", "y", "rgb"), ["img_id", "x", "y"])
+    inside = rows.select("*", F.explode(F.sequence("x0", "x1")).alias("x")).join(pixels.select("img_id", "x", "y", "rgb").hint("merge"), ["img_id", "x", "y"])
     edge = (F.col("x") == F.col("x0")) | (F.col("x") == F.col("x1")) | (F.col("y") == F.col("y0")) | (F.col("y") == F.col("y1"))
     seen = materialize(inside.groupBy("img_id", "line_id", "rgb").agg(F.count("*").alias("n"), F.count(F.when(edge, 1)).alias("e")), "line_colours")
     ground = seen.groupBy("img_id", "line_id").agg(F.max_by("rgb", F.struct("e", "n", -F.col("rgb"))).alias("ground"))
-    weighed = seen.join(ground, ["img_id", "line_id"]).withColumn("weight", F.col("n") * colour.distance2(F.col("rgb"), F.col("ground")))
+    weighed = seen.join(ground.hint("merge"), ["img_id", "line_id"]).withColumn("weight", F.col("n") * colour.distance2(F.col("rgb"), F.col("ground")))
     return weighed.groupBy("img_id", "line_id", "ground").agg(F.max_by("rgb", F.struct("weight", -F.col("rgb"))).alias("ink"))
 
 
@@ -65,8 +65,8 @@ def inked(table: DataFrame, boxes: DataFrame, inks: DataFrame) -> DataFrame:
     """(img_id, region_id, line_id, to_rgb): the small regions inside lines' boxes, with the ink where they are nearer to it than to the ground, else null."""
     h = F.col("y1") - F.col("y0") + 1
     small = table.where(h <= HIGH).select("img_id", "region_id", "rgb", F.floor(F.col("y0") / CELL).alias("cy"), "x0", "y0", "x1", "y1")
-    wide = boxes.join(inks, ["img_id", "line_id"]).select("img_id", "line_id", "ground", "ink", *(F.col(c).alias(f"{c}_b") for c in ("x0", "y0", "x1", "y1")), F.explode(F.sequence(F.floor(F.col("y0") / CELL), F.floor(F.col("y1") / CELL))).alias("cy"))
+    wide = boxes.join(inks.hint("merge"), ["img_id", "line_id"]).select("img_id", "line_id", "ground", "ink", *(F.col(c).alias(f"{c}_b") for c in ("x0", "y0", "x1", "y1")), F.explode(F.sequence(F.floor(F.col("y0") / CELL), F.floor(F.col("y1") / CELL))).alias("cy"))
     within = (F.col("x0") >= F.col("x0_b")) & (F.col("x1") <= F.col("x1_b")) & (F.col("y0") >= F.col("y0_b")) & (F.col("y1") <= F.col("y1_b"))
     nearer = colour.distance2(F.col("rgb"), F.col("ink")) < colour.distance2(F.col("rgb"), F.col("ground"))
-    own = small.join(wide, ["img_id", "cy"]).where(within)
+    own = small.join(wide.hint("merge"), ["img_id", "cy"]).where(within)
     return own.groupBy("img_id", "region_id").agg(F.min_by("line_id", "line_id").alias("line_id"), F.min_by(F.when(nearer, F.col("ink")), "line_id").alias("to_rgb"))

@@ -98,10 +98,10 @@ def label_runs(runs: DataFrame) -> DataFrame:
     # overlapping runs on both sides of a seam meet in a tile of both, so the join has keys and no row is compared to all
     reach = lambda df: df.withColumn("cell", F.explode(F.sequence(F.floor(F.col("x0") / 64), F.floor(F.col("x1") / 64))))
     upper = reach(own.where((F.col("y") + 1) % BAND == 0)).select("img_id", "rgb", "cell", (F.col("y") + 1).alias("y"), F.col("x0").alias("a"), F.col("x1").alias("b"), F.col("root").alias("above"))
-    seams = reach(own.where((F.col("y") % BAND == 0) & (F.col("y") > 0))).join(upper, ["img_id", "rgb", "cell", "y"]).where("a <= x1 AND x0 <= b")
+    seams = reach(own.where((F.col("y") % BAND == 0) & (F.col("y") > 0))).join(upper.hint("merge"), ["img_id", "rgb", "cell", "y"]).where("a <= x1 AND x0 <= b")
     node = lambda c: F.struct(F.col("img_id").alias("i"), F.col(c).alias("p"))
     labels = components(seams.select(node("root").alias("u"), node("above").alias("v"))).select(F.col("node.i").alias("img_id"), F.col("node.p").alias("region_id"), F.col("label.p").alias("least"))
-    return named.join(labels, ["img_id", "region_id"], "left").select("img_id", "y", "x0", "x1", "rgb", F.coalesce("least", "region_id").alias("region_id"))
+    return named.join(labels.hint("merge"), ["img_id", "region_id"], "left").select("img_id", "y", "x0", "x1", "rgb", F.coalesce("least", "region_id").alias("region_id"))
 
 
 def run_pixels(runs: DataFrame) -> DataFrame:

@@ -131,13 +131,13 @@ def chains(labelled: DataFrame, tolerance: float | DataFrame = 0.0, finer: Calla
     stop = (F.count("*").over(point) != 2) | (F.min(pair).over(point) != F.max(pair).over(point))
     marked = materialize(ends.select("img_id", "left", "right", "ax", "ay", "bx", "by", *more, F.col("p.end").alias("end"), stop.alias("stop")), "sides")
     if isinstance(tolerance, DataFrame):
-        marked = marked.join(tolerance.select("img_id", F.col("tolerance").cast("double").alias("tolerance")), "img_id")
+        marked = marked.join(tolerance.select("img_id", F.col("tolerance").cast("double").alias("tolerance")).hint("merge"), "img_id")
     else:
         marked = marked.withColumn("tolerance", F.lit(float(tolerance)))
     if exact is not None:
         own = exact.select("img_id", "region_id").distinct().withColumn("__exact", F.lit(True))
         for side in ("left", "right"):
-            marked = marked.join(own.withColumnRenamed("region_id", side), ["img_id", side], "left")
+            marked = marked.join(own.withColumnRenamed("region_id", side).hint("merge"), ["img_id", side], "left")
             marked = marked.withColumn("tolerance", F.when(F.col("__exact"), 0.0).otherwise(F.col("tolerance"))).drop("__exact")
         marked = materialize(marked, "sides")
 
@@ -209,7 +209,7 @@ def rejoined(chain_table: DataFrame, tolerance: DataFrame) -> DataFrame:
     pair = F.struct("left", "right")
     stop = (F.count("*").over(w) != 2) | (F.min(pair).over(w) != F.max(pair).over(w))
     stops = ends.select("img_id", "__id", (F.col("p.end") == 1).alias("last"), stop.alias("stop")).where("last").select("img_id", "__id", "stop").distinct()
-    marked = materialize(table.join(stops, ["img_id", "__id"]).join(tolerance.select("img_id", F.col("tolerance").cast("double").alias("tolerance")), "img_id").select("img_id", "left", "right", "nodes", "stop", "tolerance"), "marked")
+    marked = materialize(table.join(stops.hint("merge"), ["img_id", "__id"]).join(tolerance.select("img_id", F.col("tolerance").cast("double").alias("tolerance")).hint("merge"), "img_id").select("img_id", "left", "right", "nodes", "stop", "tolerance"), "marked")
 
     def fit(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -483,16 +483,16 @@ def with_handles(chain_table: DataFrame, corner_degrees: float = 60.0) -> DataFr
     other = ends.select("img_id", "p", F.col("own").alias("other"), F.col("q").alias("to"))
     turn = F.atan2(F.col("to.y") - F.col("p.y"), F.col("to.x") - F.col("p.x")) - F.atan2(F.col("p.y") - F.col("q.y"), F.col("p.x") - F.col("q.x"))
     turn = F.round(F.abs(F.pmod(turn + math.pi, F.lit(2 * math.pi)) - math.pi), 9)
-    met = ends.join(other, ["img_id", "p"]).where("own <> other")
+    met = ends.join(other.hint("merge"), ["img_id", "p"]).where("own <> other")
     point = Window.partitionBy("img_id", "p")
     met = met.withColumns({"turn": turn, "n": F.count("*").over(point)})
     best = materialize(met.groupBy("img_id", "p", "own").agg(F.min(F.struct("turn", "other", "to")).alias("b"), F.max("n").alias("n")), "met")
     back = best.select("img_id", "p", F.col("own").alias("there"), F.col("b.other").alias("back"))
-    mutual = best.join(back, ["img_id", "p"]).where("b.other = there AND own = back").select("img_id", "own", "b.turn", "b.to")
+    mutual = best.join(back.hint("merge"), ["img_id", "p"]).where("b.other = there AND own = back").select("img_id", "own", "b.turn", "b.to")
     going = mutual.where(F.col("turn") <= math.radians(corner_degrees)).groupBy("img_id", "own.left", "own.right", "own.chain").agg(*(F.max(F.when(F.col("own.last") == last, F.col("to"))).alias(c) for last, c in ((False, "__before"), (True, "__after"))))
     # at a loop's own point its two ends meet each other only
     lone = best.where("n = 2 AND own.left = b.other.left AND own.right = b.other.right AND own.chain = b.other.chain").select("img_id", "own.left", "own.right", "own.chain").distinct().withColumn("__free", F.lit(True))
-    out = table.join(going, key, "left").join(lone, key, "left")
+    out = table.join(going.hint("merge"), key, "left").join(lone.hint("merge"), key, "left")
     free = F.col("closed") & F.coalesce("__free", F.lit(False))
     return out.withColumn("handles", chain_handles("nodes", free, corner_degrees, F.col("__before"), F.col("__after"))).select(*chain_table.columns, "handles")
 

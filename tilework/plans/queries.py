@@ -341,7 +341,7 @@ def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     shapes, sizes = vectorize.trace_pictures(px)
     files = drawings.drawings(shapes, sizes, "svg")
     back = pictures.image_pixels(pictures.decoded(files, "svg").withColumn("img_id", F.col("img_id").cast("string")))
-    both = px.select(F.col("img_id").cast("string").alias("img_id"), "x", "y", "rgb").join(back.select("img_id", "x", "y", F.col("rgb").alias("again")), ["img_id", "x", "y"], "left")
+    both = px.select(F.col("img_id").cast("string").alias("img_id"), "x", "y", "rgb").join(back.select("img_id", "x", "y", F.col("rgb").alias("again")).hint("merge"), ["img_id", "x", "y"], "left")
     return both.groupBy(F.col("img_id").cast("long").alias("img_id")).agg(F.count(F.when(~F.col("rgb").eqNullSafe(F.col("again")), 1)).alias("wrong"))
 
 
@@ -411,13 +411,13 @@ def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, labelled = regions.region_table(runs), regions.run_pixels(runs)
     near = regions.adjacency(labelled)
     near = near.select("img_id", F.col("region_a").alias("region_id"), F.col("region_b").alias("other")).unionByName(near.select("img_id", F.col("region_b").alias("region_id"), F.col("region_a").alias("other")))
-    least = table.where("area = 1").select("img_id", "region_id").join(near, ["img_id", "region_id"]).groupBy("img_id", "region_id").agg(F.min("other").alias("other"))
+    least = table.where("area = 1").select("img_id", "region_id").join(near.hint("merge"), ["img_id", "region_id"]).groupBy("img_id", "region_id").agg(F.min("other").alias("other"))
     log = least.select("img_id", F.col("region_id").alias("seq"), F.lit("join").alias("op"), "region_id", "other")
     undone = log.where("img_id % 2 = 0").withColumns({"seq": F.col("seq") + (1 << 40), "op": F.lit("undo")})
     joined = edit.joined_shapes(edit.effective_edits(log.unionByName(undone)))
     outline = trace.rejoined(edit.relabelled(trace.chains(labelled), joined), table.select("img_id").distinct().withColumn("tolerance", F.lit(0.0)))
     areas = trace.rings(outline).groupBy("img_id", "region_id").agg(F.sum("area").cast("long").alias("area"))
-    return edit.with_joined(table, joined).select("img_id", "region_id", "rgb").join(areas, ["img_id", "region_id"])
+    return edit.with_joined(table, joined).select("img_id", "region_id", "rgb").join(areas.hint("merge"), ["img_id", "region_id"])
 
 
 _add(

@@ -66,7 +66,7 @@ def choices(pixels: DataFrame, settings: Settings) -> DataFrame:
         limit = F.when(sharp, 0.0).otherwise(limit)
     else:
         limit = F.lit(float(settings.simplify))
-    both = facts.join(edged, "img_id", "left").withColumn("is_pixel_edged", F.coalesce("is_pixel_edged", F.lit(True)))
+    both = facts.join(edged.hint("merge"), "img_id", "left").withColumn("is_pixel_edged", F.coalesce("is_pixel_edged", F.lit(True)))
     return both.select("img_id", "width", "height", kind.alias("kind"), quality.alias("quality"), limit.alias("tolerance"), (~sharp).alias("curved"))
 
 
@@ -120,7 +120,7 @@ def gradients(runs: DataFrame, pixels: DataFrame) -> DataFrame:
 def slivers(outline: DataFrame, runs: DataFrame) -> DataFrame:
     """(img_id, region_id): regions of which simplifying left too little area, or none, or turned them inside out."""
     drawn = trace.rings(outline).groupBy("img_id", "region_id").agg(F.sum("area").alias("drawn"), F.min(F.when(~F.col("is_hole"), F.col("area"))).alias("least"))
-    both = regions.region_table(runs).select("img_id", "region_id", "area").join(drawn, ["img_id", "region_id"], "left")
+    both = regions.region_table(runs).select("img_id", "region_id", "area").join(drawn.hint("merge"), ["img_id", "region_id"], "left")
     kept = F.coalesce(F.col("drawn") >= 0.4 * F.col("area"), F.lit(False)) & F.col("least").isNotNull()
     return materialize(both.where(~kept).select("img_id", "region_id"), "slivers")
 
@@ -137,7 +137,7 @@ def with_corners(outline: DataFrame, runs: DataFrame, pixels: DataFrame, given:
     judges = pixels
     if settings.enlarge == 1 and (settings.clean_up or settings.sharpen):
         judges = prepared(given, replace(settings, clean_up=False, sharpen=False)).where("a > 0")
-    judges, own = judges.join(soft, "img_id"), runs.join(soft, "img_id")
+    judges, own = judges.join(soft.hint("merge"), "img_id"), runs.join(soft.hint("merge"), "img_id")
     shades = materialize(regions.region_table(own).select("img_id", "region_id", "rgb"), "shades")
     exact = exact if settings.colors is None else None
     fine = trace.chains(regions.run_pixels(own), chosen.select("img_id", "tolerance"), lambda sides: corners.crossings(sides, pixels, shades), exact)
@@ -146,13 +146,13 @@ def with_corners(outline: DataFrame, runs: DataFrame, pixels: DataFrame, given:
     done = corners.restored(fine.where("tolerance > 0"), judges, shades).select(*more)
     done = curvefit.smoothed(done)
     kept = fine.where("tolerance = 0").select(*outline.columns)
-    rest = outline.join(soft, "img_id", "left_anti").unionByName(kept)
+    rest = outline.join(soft.hint("merge"), "img_id", "left_anti").unionByName(kept)
     return materialize(done.unionByName(rest, allowMissingColumns=True), "outline")
 
 
 def with_lettering(runs: DataFrame, pixels: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(runs, regions of small print): in pictures with soft edges, each text line in one ink; None where there is no text."""
-    table = regions.region_table(runs.join(chosen.where("curved").select("img_id"), "img_id"))
+    table = regions.region_table(runs.join(chosen.where("curved").select("img_id").hint("merge"), "img_id"))
     lines = materialize(lettering.text_lines(table.where(F.col("area") >= GLYPH_AREA)), "text")
     if lines.isEmpty():
         return runs, None
@@ -160,10 +160,10 @@ def with_lettering(runs: DataFrame, pixels: DataFrame, chosen: DataFrame) -> tup
     inks = materialize(lettering.line_inks(boxes, pixels), "inks")
     changed = lettering.inked(table, boxes, inks)
     some = boxes.select("img_id").distinct()
-    shown = regions.run_pixels(runs.join(some, "img_id")).join(changed.select("img_id", "region_id", "to_rgb"), ["img_id", "region_id"], "left")
+    shown = regions.run_pixels(runs.join(some.hint("merge"), "img_id")).join(changed.select("img_id", "region_id", "to_rgb").hint("merge"), ["img_id", "region_id"], "left")
     again = regions.label_runs(tiles.row_runs(shown.select("img_id", "x", "y", F.coalesce("to_rgb", "rgb").alias("rgb"))))
-    runs = materialize(runs.join(some, "img_id", "left_anti").unionByName(again.select(*runs.columns)), "runs")
-    printed = lettering.inked(regions.region_table(runs.join(some, "img_id")), boxes, inks).select("img_id", "region_id")
+    runs = materialize(runs.join(some.hint("merge"), "img_id", "left_anti").unionByName(again.select(*runs.columns)), "runs")
+    printed = lettering.inked(regions.region_table(runs.join(some.hint("merge"), "img_id")), boxes, inks).select("img_id", "region_id")
     return runs, materialize(printed, "printed")
 
 
@@ -174,7 +174,7 @@ def _layered(table: DataFrame, outline: DataFrame, stack: str) -> tuple[DataFram
     shape encloses comes after it; fields are drawn whole, beneath what they enclose, and a shape that has
     others above it gets a strip, a line of its own colour that is drawn before all shapes.
     """
-    order = layers.drawing_order(table).join(layers.colour_groups(table).select("img_id", "region_id", "group_id"), ["img_id", "region_id"])
+    order = layers.drawing_order(table).join(layers.colour_groups(table).select("img_id", "region_id", "group_id").hint("merge"), ["img_id", "region_id"])
     ring = materialize(trace.rings(outline), "rings")
     if stack == "grouped":
         order = order.withColumn("z", F.row_number().over(Window.partitionBy("img_id").orderBy("group_id", "region_id")))
@@ -183,12 +183,12 @@ def _layered(table: DataFrame, outline: DataFrame, stack: str) -> tuple[DataFram
     pairs = outline.select("img_id", F.least("left", "right").alias("region_a"), F.greatest("left", "right").alias("region_b")).where("region_a >= 0").distinct()
     below = layers.under_strips(order, pairs.withColumn("border", F.lit(1)))
     strips = below.select("img_id", F.col("lower").alias("region_id")).distinct().withColumn("under", F.lit(STRIP))
-    order = order.join(strips, ["img_id", "region_id"], "left").withColumn("strip", F.coalesce("under", F.lit(0.0))).drop("under")
+    order = order.join(strips.hint("merge"), ["img_id", "region_id"], "left").withColumn("strip", F.coalesce("under", F.lit(0.0))).drop("under")
     # a hole that one shape fills, with all that this encloses, isn't cut. That shape's outer ring is the hole's: of
     # rings of one picture with the same uppermost corner, an outer one and a hole, equal sizes are equal rings
     keyed = ring.withColumns({"corner": F.array_min(F.transform("nodes", lambda p: F.struct(p["y"], p["x"]))), "size": F.round(F.abs("area"), 6)})
     outer = keyed.where("NOT is_hole").select("img_id", "size", "corner", F.lit(True).alias("filled")).distinct()
-    return order, keyed.join(outer, ["img_id", "size", "corner"], "left").where("NOT is_hole OR filled IS NULL").select(*ring.columns)
+    return order, keyed.join(outer.hint("merge"), ["img_id", "size", "corner"], "left").where("NOT is_hole OR filled IS NULL").select(*ring.columns)
 
 
 def trace_pictures(pixels: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
@@ -207,7 +207,7 @@ def trace_pictures(pixels: DataFrame, settings: Settings = Settings()) -> tuple[
         runs, printed = with_lettering(runs, pixels, chosen)
     outline = materialize(trace.chains(regions.run_pixels(runs), limits, exact=printed), "outline")
     moved = limits.where("tolerance > 0").select("img_id")  # elsewhere nothing is simplified
-    exact = slivers(outline.join(moved, "img_id"), runs.join(moved, "img_id"))
+    exact = slivers(outline.join(moved.hint("merge"), "img_id"), runs.join(moved.hint("merge"), "img_id"))
     if printed is not None:
         exact = materialize(exact.unionByName(printed), "exact")
     if not exact.isEmpty():
@@ -222,7 +222,7 @@ def trace_pictures(pixels: DataFrame, settings: Settings = Settings()) -> tuple[
     slack = 0.5 if settings.straighten == "auto" else float(settings.straighten)
     if slack > 0:
         # junctions stay, and pictures traced from their pixels are straight already
-        curved = outline.join(chosen.select("img_id", F.col("curved").alias("__curved")), "img_id")
+        curved = outline.join(chosen.select("img_id", F.col("curved").alias("__curved")).hint("merge"), "img_id")
         outline = curved.withColumn("nodes", F.when(F.col("__curved"), trace.straightened_inside("nodes", slack)).otherwise(F.col("nodes"))).drop("__curved")
         outline = materialize(outline, "outline")
     if not chosen.where("curved").isEmpty():
@@ -233,22 +233,22 @@ def trace_pictures(pixels: DataFrame, settings: Settings = Settings()) -> tuple[
     order, ring = _layered(table, outline, settings.stack)
     if "curves" not in ring.columns:
         ring = ring.withColumn("curves", F.lit(None).cast(trace.HANDLES))
-    ring = ring.join(chosen.select("img_id", "curved"), "img_id")
+    ring = ring.join(chosen.select("img_id", "curved").hint("merge"), "img_id")
     one = F.array_sort(F.collect_list(F.struct("ring", "nodes", F.when(F.col("curved"), F.col("curves")).alias("handles"))))  # a region's own rings
     ring = ring.groupBy("img_id", "region_id").agg(F.first("curved").alias("curved"), one.alias("own"))
     ring = ring.select("img_id", "region_id", F.transform("own", lambda s: s["nodes"]).alias("rings"), F.when(F.col("curved"), F.transform("own", lambda s: s["handles"])).alias("curves"))
     if printed is not None:
-        ring = ring.join(printed.withColumn("__pixels", F.lit(True)), ["img_id", "region_id"], "left")
+        ring = ring.join(printed.withColumn("__pixels", F.lit(True)).hint("merge"), ["img_id", "region_id"], "left")
         ring = ring.withColumn("curves", F.when(F.col("__pixels").isNull(), F.col("curves"))).drop("__pixels")
-    shapes = order.join(ring, ["img_id", "region_id"])
+    shapes = order.join(ring.hint("merge"), ["img_id", "region_id"])
     if settings.primitives:
         found = trace.fit_primitives(table, regions.ellipses(runs)).select("img_id", "region_id", F.struct(F.col("primitive").alias("kind"), "cx", "cy", "rx", "ry").alias("primitive"))
         # a shape with a hole is not drawn as a primitive, and those of pixels stay pixels, but for rectangles
-        shapes = shapes.join(found, ["img_id", "region_id"], "left")
+        shapes = shapes.join(found.hint("merge"), ["img_id", "region_id"], "left")
         plain = (F.size("rings") == 1) & (F.col("curves").isNotNull() | (F.col("primitive.kind") == "rectangle"))
         shapes = shapes.withColumn("primitive", F.when(plain, F.col("primitive")))
     if settings.gradients and settings.colors is not None:
-        shapes = shapes.join(gradients(runs, pixels), ["img_id", "region_id"], "left")
+        shapes = shapes.join(gradients(runs, pixels).hint("merge"), ["img_id", "region_id"], "left")
     return shapes, chosen.select("img_id", "width", "height")
 
 

@@ -331,7 +331,7 @@ def drawings(shapes: DataFrame, sizes: DataFrame, kind: str, grouped: bool = Fal
     write = WRITERS[kind]
     extra = [c for c in ("curves", "primitive", "gradient", "strip", "group_id") if c in shapes.columns]
     one = F.array_sort(F.collect_list(F.struct("z", "region_id", F.struct("rgb", "rings", *extra).alias("shape"))), lambda a, b: F.when(a["z"] < b["z"], -1).when(a["z"] > b["z"], 1).otherwise(0))
-    gathered = sizes.join(shapes.groupBy("img_id").agg(one.alias("shapes")), "img_id", "left").select("img_id", "width", "height", "shapes")
+    gathered = sizes.join(shapes.groupBy("img_id").agg(one.alias("shapes")).hint("merge"), "img_id", "left").select("img_id", "width", "height", "shapes")
 
     def shape(s: dict) -> Shape:
         rings = [[(p["x"], p["y"]) for p in r] for r in s["rings"]]
