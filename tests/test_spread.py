@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from tilework.operators import components, lettering, regions
 from tilework.plans import queries
 
@@ -23,3 +25,9 @@ def test_text_lines_broadcast_nothing(spark, monkeypatch):
         monkeypatch.setattr(module, "materialize", kept)
     seen.append(plan(queries.queries()["text_lines"](spark, DATA)))
     assert sum("Join" in p for p in seen) >= 5 and not any("Broadcast" in p for p in seen)
+
+
+@pytest.mark.parametrize("name", ["region_fill"])
+def test_pixels_are_not_broadcast(spark, name):
+    found = plan(queries.queries()[name](spark, DATA))
+    assert "SortMergeJoin" in found and "Broadcast" not in found

@@ -1,5 +1,7 @@
 """Palettes: fewer colours after tracing, fills from pixels, and gradients.
 
+Pixels are joined by merging: their tables' files are so compressed that Spark would take them for small and broadcast them.
+
 Colours are merged as our rule says: of a picture's pairs the one with the least Ward cost, squared
 distance times a * b / (a + b) for areas a and b, becomes its area-weighted mean; ties go to the
 smaller colours. A colour that is left alone keeps its exact value.
@@ -102,7 +104,7 @@ def recoloured(pixels: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def region_fills(labelled: DataFrame, values: DataFrame) -> DataFrame:
     """(img_id, region_id, median, low, high) of a channel, values (img_id, x, y, v), over each region's pixels."""
-    return labelled.join(values, ["img_id", "x", "y"]).groupBy("img_id", "region_id").agg(F.median("v").alias("median"), F.min("v").alias("low"), F.max("v").alias("high"))
+    return labelled.join(values.hint("merge"), ["img_id", "x", "y"]).groupBy("img_id", "region_id").agg(F.median("v").alias("median"), F.min("v").alias("low"), F.max("v").alias("high"))
 
 
 def gradient_fits(labelled: DataFrame, values: DataFrame) -> DataFrame:
