@@ -112,7 +112,7 @@ def gradient_fits(labelled: DataFrame, values: DataFrame) -> DataFrame:
 
     Sums are of integers, so the fit doesn't depend on how rows are dealt; flat or thin regions have null slopes.
     """
-    own = labelled.join(values, ["img_id", "x", "y"]).withColumns({c: F.col(c).cast("long") for c in ("x", "y", "v")})
+    own = labelled.join(values.hint("merge"), ["img_id", "x", "y"]).withColumns({c: F.col(c).cast("long") for c in ("x", "y", "v")})
     product = {"sx": "x", "sy": "y", "sv": "v", "sxx": "x * x", "sxy": "x * y", "syy": "y * y", "sxv": "x * v", "syv": "y * v"}
     s = own.groupBy("img_id", "region_id").agg(F.count("*").alias("n"), *(F.expr(f"sum({e})").alias(k) for k, e in product.items()))
     s = s.selectExpr("img_id", "region_id", "n", "sx", "sy", "sv", "n * sxx - sx * sx AS a", "n * sxy - sx * sy AS b", "n * syy - sy * sy AS c", "n * sxv - sx * sv AS d", "n * syv - sy * sv AS e")
