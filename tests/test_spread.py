@@ -27,7 +27,7 @@ def test_text_lines_broadcast_nothing(spark, monkeypatch):
     assert sum("Join" in p for p in seen) >= 5 and not any("Broadcast" in p for p in seen)
 
 
-@pytest.mark.parametrize("name", ["region_fill", "gradient_fit"])
+@pytest.mark.parametrize("name", ["region_fill", "gradient_fit", "gradient_choice"])
 def test_pixels_are_not_broadcast(spark, name):
     found = plan(queries.queries()[name](spark, DATA))
     assert "SortMergeJoin" in found and "Broadcast" not in found

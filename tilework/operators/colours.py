@@ -126,7 +126,7 @@ def accepted_gradients(fits: DataFrame, labelled: DataFrame, values: DataFrame)
 
     Errors are sums of squares, less a margin for rounding; a gradient also has to vary by more than two levels over its region.
     """
-    own = labelled.join(values, ["img_id", "x", "y"]).join(fits.where("slope_x IS NOT NULL"), ["img_id", "region_id"])
+    own = labelled.join(values.hint("merge"), ["img_id", "x", "y"]).join(fits.where("slope_x IS NOT NULL").hint("merge"), ["img_id", "region_id"])
     guess = F.col("base") + F.col("slope_x") * F.col("x") + F.col("slope_y") * F.col("y")
     s = own.groupBy("img_id", "region_id", "n").agg(F.sum((F.col("v") - guess) * (F.col("v") - guess)).alias("plane_error"), F.sum(F.col("v") * F.col("v")).alias("sq"), F.sum("v").alias("s"), (F.max(guess) - F.min(guess)).alias("range"))
     flat = F.col("sq") - F.col("s") * F.col("s") / F.col("n")
