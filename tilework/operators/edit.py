@@ -7,11 +7,14 @@ picture's log only; everything it decides is applied to all shapes at once.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilework.operators.components import components
+from tilework.operators.trace import dealt
 from tilework.storage import materialize
 
 #: Radii of rounded corners in pixels (our values).
@@ -19,11 +22,21 @@ RADII = {"tiny": 1.0, "tight": 2.0, "medium": 4.0, "wide": 8.0}
 
 
 def effective_edits(log: DataFrame) -> DataFrame:
-    """The rows of a log that count after every undo and redo, in order of seq; unknown operations are an error."""
+    """The rows of a log that count after every undo and redo, in order of seq; unknown operations are an error.
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        done, undone = [], []
-        for i, op in zip(pdf.sort_values("seq").index, pdf.sort_values("seq")["op"], strict=True):
+    Logs are dealt by picture, many short ones to a task at once.
+    """
+
+    def replay(table: pa.Table) -> pa.Table:
+        table = table.drop_columns("slot").combine_chunks()
+        code = table["img_id"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        order, ops = np.lexsort((table["seq"].to_numpy(), code)), table["op"].to_pylist()
+        kept, done, undone, before = [], [], [], None
+        for i, picture in zip(order.tolist(), code[order].tolist(), strict=True):
+            if picture != before:
+                kept += done
+                done, undone, before = [], [], picture
+            op = ops[i]
             if op == "undo":
                 undone += [done.pop()] if done else []
             elif op == "redo":
@@ -33,9 +46,9 @@ def effective_edits(log: DataFrame) -> DataFrame:
                 undone = []
             else:
                 raise ValueError(f"unknown operation {op!r}")
-        return pdf.loc[done]
+        return table.take(pa.array(kept + done, pa.int64()))
 
-    return log.groupBy("img_id").applyInPandas(replay, log.schema)
+    return dealt(materialize(log, "log"), ["img_id"]).groupBy("slot").applyInArrow(replay, log.schema)
 
 
 def without_deleted(shapes: DataFrame, edits: DataFrame) -> DataFrame:

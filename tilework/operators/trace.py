@@ -192,9 +192,9 @@ def chains(labelled: DataFrame, tolerance: float | DataFrame = 0.0, finer: Calla
         return pa.table(found)
 
     kind = labelled.schema["img_id"].dataType.simpleString()
-    dealt = _dealt(marked, ["img_id", "left", "right"])
+    slots = dealt(marked, ["img_id", "left", "right"])
     point = "array<struct<x: double, y: double>>"
-    return dealt.groupBy("slot").applyInArrow(fit, f"img_id {kind}, left long, right long, chain int, closed boolean, nodes {point}" + (f", points {point}, free boolean, tolerance double" if more else ""))
+    return slots.groupBy("slot").applyInArrow(fit, f"img_id {kind}, left long, right long, chain int, closed boolean, nodes {point}" + (f", points {point}, free boolean, tolerance double" if more else ""))
 
 
 def rejoined(chain_table: DataFrame, tolerance: DataFrame) -> DataFrame:
@@ -225,34 +225,73 @@ def rejoined(chain_table: DataFrame, tolerance: DataFrame) -> DataFrame:
         new[1:] = (np.diff(code[order]) != 0) | (np.diff(left[order]) != 0) | (np.diff(right[order]) != 0)
         border = (np.cumsum(new) - 1) * (int(place.max()) + 1)
         own, chain = walks(border + place[begin[order]], border + place[(begin + size - 1)[order]], stop[order].astype(bool))
-        points = list(zip(x.tolist(), y.tolist(), strict=True))
-        joined: list[list] = []
-        of = []
-        for i, c in zip(order[own].tolist(), chain.tolist(), strict=True):
-            part = points[begin[i] : begin[i] + size[i]]
-            if c == len(joined):
-                joined.append(part)
-                of.append(i)
-            else:
-                joined[-1] = joined[-1] + part[1:]
-        of = np.array(of)
-        flat_x, flat_y, size = _simplified_all(*np.array([p for c in joined for p in c], dtype=float).reshape(-1, 2).T, np.array([len(c) for c in joined]), np.maximum(limit[of], 1e-9))  # what was a junction on a straight line is no node any more
+        part = order[own]
+        goes_on = np.concatenate([[False], chain[1:] == chain[:-1]])
+        n = size[part] - goes_on  # a part that goes on begins with the last node of the one before
+        at, of = _ranges(begin[part] + goes_on, n), part[~goes_on]
+        x, y, size = x[at], y[at], np.bincount(chain, n).astype(np.int64)
+        head, tail = np.cumsum(size) - size, np.cumsum(size) - 1
+        closed = (x[head] == x[tail]) & (y[head] == y[tail])
+        flat_x, flat_y, size = _simplified_all(x, y, size, np.maximum(limit[of], 1e-9))  # what was a junction on a straight line is no node any more
         number = np.arange(len(of), dtype=np.int32)  # tells chains of a border apart
-        return pa.table({"img_id": name.dictionary.take(pa.array(code[of])), "left": pa.array(left[of]), "right": pa.array(right[of]), "chain": pa.array(number), "closed": pa.array([c[0] == c[-1] for c in joined]), "nodes": _node_lists(flat_x, flat_y, size)})
+        return pa.table({"img_id": name.dictionary.take(pa.array(code[of])), "left": pa.array(left[of]), "right": pa.array(right[of]), "chain": pa.array(number), "closed": pa.array(closed), "nodes": _node_lists(flat_x, flat_y, size)})
 
     kind = chain_table.schema["img_id"].dataType.simpleString()
-    return _dealt(marked, ["img_id", "left", "right"]).groupBy("slot").applyInArrow(fit, f"img_id {kind}, left long, right long, chain int, closed boolean, nodes array<struct<x: double, y: double>>")
+    return dealt(marked, ["img_id", "left", "right"]).groupBy("slot").applyInArrow(fit, f"img_id {kind}, left long, right long, chain int, closed boolean, nodes array<struct<x: double, y: double>>")
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one after the other."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
 def _simplified_all(x: np.ndarray, y: np.ndarray, size: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chains of nodes, one after the other, each simplified to its own tolerance."""
-    points, ends = list(zip(x.tolist(), y.tolist(), strict=True)), np.cumsum(size).tolist()
-    done = [simplified(points[e - n : e], t) for e, n, t in zip(ends, size.tolist(), limit.tolist(), strict=True)]
-    flat = np.array([p for c in done for p in c], dtype=float).reshape(-1, 2)
-    return flat[:, 0], flat[:, 1], np.array([len(c) for c in done])
+    """Chains of nodes, one after the other, each simplified to its own tolerance as by `simplified`.
+
+    In rounds over the pieces of all chains: of each, the node farthest from the line between its ends stays if it is
+    farther than the tolerance, and parts it in two.
+    """
+    last = np.cumsum(size) - 1
+    first, chain = last + 1 - size, np.repeat(np.arange(len(size)), size)
+    own = (limit > 0) & (size > 2)
+    loop = own & (x[first] == x[last]) & (y[first] == y[last])
+    keep = ~own[chain]
+    keep[first] = keep[last] = True
+    a, b = first[own & ~loop], last[own & ~loop]
+    if loop.any():  # a loop is split at the point farthest from its start
+        f, n = first[loop], size[loop]
+        at = _ranges(f, n)
+        from_ = np.repeat(f, n)
+        far, _ = _farthest(np.hypot(x[at] - x[from_], y[at] - y[from_]), at, n)
+        keep[far] = True
+        a, b = np.concatenate([a, f, far]), np.concatenate([b, far, last[loop]])
+    while True:
+        inner = b - a > 1
+        a, b = a[inner], b[inner]
+        if not len(a):
+            break
+        n = b - a - 1
+        at, seg = _ranges(a + 1, n), np.repeat(np.arange(len(a)), n)
+        dx, dy = (x[b] - x[a])[seg], (y[b] - y[a])[seg]
+        px, py, length = x[at] - x[a][seg], y[at] - y[a][seg], dx * dx + dy * dy
+        t = np.where(length > 0, np.clip((px * dx + py * dy) / np.where(length > 0, length, 1), 0, 1), 0)
+        far, d = _farthest(np.hypot(px - t * dx, py - t * dy), at, n)
+        split = d > limit[chain[a]]
+        a, b, far = a[split], b[split], far[split]
+        keep[far] = True
+        a, b = np.concatenate([a, far]), np.concatenate([far, b])
+    keep |= (loop & (np.bincount(chain[keep], minlength=len(size)) < 4))[chain]  # a loop keeps an area
+    return x[keep], y[keep], np.bincount(chain[keep], minlength=len(size))
+
+
+def _farthest(d: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pieces of `size` distances each: the first place with the greatest one, and that."""
+    begin = np.cumsum(size) - size
+    most = np.maximum.reduceat(d, begin)
+    return np.minimum.reduceat(np.where(d == np.repeat(most, size), at, at.max() + 1), begin), most
 
 
-def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
     """df with a slot by the hash of the keys; there are as many as it has GROUP_ROWS rows. df is counted, so it should be a table."""
     slots = max(1, -(-df.count() // GROUP_ROWS))
     return df.withColumn("slot", F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int"))
@@ -279,87 +318,100 @@ def rings(chain_table: DataFrame) -> DataFrame:
         table = table.combine_chunks()
         name, region, nodes = table["img_id"].combine_chunks().dictionary_encode(), table["region_id"].to_numpy(), table["nodes"].combine_chunks()
         code, flat = name.indices.to_numpy(zero_copy_only=False), nodes.flatten()
-        points = list(zip(flat.field("x").to_pylist(), flat.field("y").to_pylist(), strict=True))
-        ends = np.cumsum(np.diff(nodes.offsets.to_numpy())).tolist()
-        parts = [points[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        x, y = (flat.field(c).to_numpy() for c in "xy")
+        points, size = list(zip(x.tolist(), y.tolist(), strict=True)), np.diff(nodes.offsets.to_numpy()).astype(np.int64)
+        last = np.cumsum(size) - 1
+        begin = last + 1 - size
         order = np.lexsort((region, code))
         new = np.flatnonzero(np.concatenate([[True], (np.diff(region[order]) != 0) | (np.diff(code[order]) != 0)]))
-        own, number, found, curves = [], [], [], []
-        held = table["handles"].combine_chunks().flatten().to_pylist() if more else []
-        first_of = dict(zip(range(len(ends)), [0, *ends[:-1]], strict=True))
+        own, number, held, begins, ends, ids = [], [], [], begin.tolist(), (last + 1).tolist(), order.tolist()
         for a, b in zip(new.tolist(), [*new[1:].tolist(), len(order)], strict=True):
-            joined = sorted(_joined([parts[i] for i in order[a:b].tolist()]))
-            if more:
-                curves += _curves(joined, [held[first_of[i] : ends[i]] for i in order[a:b].tolist()])
-            own += [int(order[a])] * len(joined)
+            joined = [[0]] if b - a == 1 else _ring_parts([points[begins[i] : ends[i]] for i in ids[a:b]])
+            own += [ids[a]] * len(joined)
             number += range(len(joined))
-            found += joined
-        size = np.array([len(r) for r in found])
-        xy = np.array([p for r in found for p in r], dtype=float).reshape(-1, 2)
-        x, y, first = xy[:, 0], xy[:, 1], np.cumsum(size) - size
-        cross = x[:-1] * y[1:] - x[1:] * y[:-1]
-        cross = np.append(cross, 0.0)
-        cross[first + size - 1] = 0.0  # not from one ring to the next
-        area = np.add.reduceat(cross, first) / 2 if len(first) else cross[:0]
-        if more:
-            area = area + _bulges(curves)
-        out = {"img_id": name.dictionary.take(pa.array(code[own])), "region_id": pa.array(region[own]), "ring": pa.array(number, pa.int32()), "is_hole": pa.array(area < 0), "area": pa.array(area), "nodes": _node_lists(x, y, size)}
+            held += [[ids[a + i] for i in ring] for ring in joined]
+        # the parts of all rings, each without its last node, which is the next one's first
+        part, parts = np.array([i for ring in held for i in ring], dtype=np.int64), np.array([len(ring) for ring in held])
+        start = np.cumsum(parts) - parts
+        n = size[part] - 1
+        at, of_ring = _ranges(begin[part], n), np.repeat(np.arange(len(parts)), parts)
+        count = np.bincount(of_ring, n, minlength=len(parts)).astype(np.int64)
+        head = np.cumsum(count) - count
+        ring = np.insert(at, head + count, at[head])
+        rx, ry, first = x[ring], y[ring], head + np.arange(len(count))
+        cross = np.append(rx[:-1] * ry[1:] - rx[1:] * ry[:-1], 0.0)
+        cross[first + count] = 0.0  # not from one ring to the next
+        area = np.add.reduceat(cross, first) / 2
+        out = {"img_id": name.dictionary.take(pa.array(code[own])), "region_id": pa.array(region[own]), "ring": pa.array(number, pa.int32())}
         if more:
-            out["curves"] = pa.array(curves, pa.list_(pa.struct([(c, pa.bool_() if c == "corner" else pa.float64()) for c in _HANDLE])))
-        return pa.table(out)
+            # a node where parts meet has the handle into it from the part before
+            previous = np.arange(-1, len(part) - 1)
+            previous[start] = start + parts - 1
+            into = at.copy()
+            into[np.cumsum(n) - n] = last[part[previous]]
+            handles = table["handles"].combine_chunks().flatten()
+            h = {c: handles.field(c).to_numpy(zero_copy_only=False) for c in _HANDLE}
+            curve = {"x": h["x"][at], "y": h["y"][at], "corner": h["corner"][at].astype(bool) & h["corner"][into].astype(bool), "in_x": h["in_x"][into], "in_y": h["in_y"][into], "out_x": h["out_x"][at], "out_y": h["out_y"][at]}
+            area = area + _bulges(curve, head, count)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
+            out["curves"] = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(curve[c]) for c in _HANDLE], names=list(_HANDLE)))
+        out |= {"is_hole": pa.array(area < 0), "area": pa.array(area), "nodes": _node_lists(rx, ry, count + 1)}
+        return pa.table({c: out[c] for c in ("img_id", "region_id", "ring", "is_hole", "area", "nodes", *(["curves"] if more else []))})
 
     kind = chain_table.schema["img_id"].dataType.simpleString()
     schema = f"img_id {kind}, region_id long, ring int, is_hole boolean, area double, nodes array<struct<x: double, y: double>>"
-    return _dealt(both, ["img_id", "region_id"]).groupBy("slot").applyInArrow(join, schema + (f", curves {HANDLES}" if more else ""))
+    return dealt(both, ["img_id", "region_id"]).groupBy("slot").applyInArrow(join, schema + (f", curves {HANDLES}" if more else ""))
 
 
 _HANDLE = ("x", "y", "corner", "in_x", "in_y", "out_x", "out_y")
 HANDLES = "array<struct<x: double, y: double, corner: boolean, in_x: double, in_y: double, out_x: double, out_y: double>>"
 
 
-def _curves(joined: list[list[tuple[float, float]]], parts: list[list[dict]]) -> list[list[dict]]:
-    """The nodes of a region's rings with the handles that its chains have for each segment."""
-    of = {(p["x"], p["y"], q["x"], q["y"]): (p, q) for part in parts for p, q in zip(part[:-1], part[1:], strict=True)}
-    out = []
-    for ring in joined:
-        pieces = [of[*a, *b] for a, b in zip(ring[:-1], ring[1:], strict=True)]
-        out.append([{"x": p["x"], "y": p["y"], "corner": p["corner"] and before["corner"], "in_x": before["in_x"], "in_y": before["in_y"], "out_x": p["out_x"], "out_y": p["out_y"]} for (_, before), (p, _) in zip(pieces[-1:] + pieces[:-1], pieces, strict=True)])
-    return out
-
-
-def _bulges(curves: list[list[dict]]) -> np.ndarray:
-    """For each ring of nodes with handles the signed area between its curves and the lines from node to node."""
-    out = []
-    for nodes in curves:
-        v = np.array([[p[c] for c in _HANDLE if c != "corner"] for p in nodes])
-        ends = np.roll(v, -1, axis=0)
-        a, p, q, b = v[:, 0:2], v[:, 4:6], ends[:, 2:4], ends[:, 0:2]
-        cross = lambda s, t: s[:, 0] * t[:, 1] - s[:, 1] * t[:, 0]
-        p, q, b = p - a, q - a, b - a
-        # half the integral of the cross product of place and speed; that of the line is 0, seen from a
-        out.append(float((3 * cross(p, q) + 3 * cross(p, b) + 6 * cross(q, b)).sum()) / 20)
-    return np.array(out)
+def _bulges(curve: dict[str, np.ndarray], head: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each ring of nodes with handles, `count` from `head` on, the signed area between its curves and the lines from node to node."""
+    after = np.arange(1, len(curve["x"]) + 1)
+    after[head + count - 1] = head
+    x, y = curve["x"], curve["y"]
+    px, py, qx, qy, bx, by = (curve[c][i] - o for c, i, o in (("out_x", slice(None), x), ("out_y", slice(None), y), ("in_x", after, x), ("in_y", after, y), ("x", after, x), ("y", after, y)))
+    # half the integral of the cross product of place and speed; that of the line is 0, seen from a node
+    return np.add.reduceat(3 * (px * qy - py * qx) + 3 * (px * by - py * bx) + 6 * (qx * by - qy * bx), head) / 20
 
 
 def _joined(parts: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
     """Closed rings of chains that go on where others end."""
-    out: dict[tuple[float, float], list[list]] = {}
-    for p in sorted(parts):
-        out.setdefault(p[0], []).append(p)
+    return [[p for i in ring for p in parts[i][:-1]] + parts[ring[0]][:1] for ring in _ring_parts(parts)]
+
+
+def _ring_parts(parts: list[list[tuple[float, float]]]) -> list[list[int]]:
+    """Closed rings of chains that go on where others end, in order of their nodes: the numbers of each one's parts."""
+    out: dict[tuple[float, float], list[int]] = {}
+    for i in sorted(range(len(parts)), key=parts.__getitem__):
+        out.setdefault(parts[i][0], []).append(i)
     closed = []
     for start in sorted(out):
         while out[start]:
-            ring = list(out[start].pop(0))
+            ring = [out[start].pop(0)]
+            first = parts[ring[0]]
             while True:
+                last = parts[ring[-1]]
+                near = out[last[-1]]
+                home = last[-1] == start
+                if not home and len(near) == 1:
+                    ring.append(near.pop())
+                    continue
+                if home and not near:
+                    break
                 # where a region touches itself at a point, its outline turns right: so it stays 4-connected
-                options = [(_turn(ring[-2], ring[-1], o[1]), i) for i, o in enumerate(out[ring[-1]])]
-                if ring[-1] == ring[0]:
-                    options.append((_turn(ring[-2], ring[-1], ring[1]), -1))
+                options = [(_turn(last[-2], last[-1], parts[o][1]), i) for i, o in enumerate(near)]
+                if home:
+                    options.append((_turn(last[-2], last[-1], first[1]), -1))
                 _, best = max(options)
                 if best < 0:
                     break
-                ring += out[ring[-1]].pop(best)[1:]
+                ring.append(near.pop(best))
             closed.append(ring)
+    if len(closed) > 1:
+        closed.sort(key=lambda ring: [p for i in ring for p in parts[i][:-1]] + parts[ring[0]][:1])
     return closed
 
 
