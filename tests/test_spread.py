@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from tilework.operators import components, lettering, regions
+from tilework.operators import components, lettering, regions, trace
 from tilework.plans import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -31,3 +31,8 @@ def test_text_lines_broadcast_nothing(spark, monkeypatch):
 def test_pixels_are_not_broadcast(spark, name):
     found = plan(queries.queries()[name](spark, DATA))
     assert "SortMergeJoin" in found and "Broadcast" not in found
+
+
+def test_handles_need_one_join(spark):
+    found = plan(trace.with_handles(trace.chains(queries._labelled(spark, DATA), 0.8)))
+    assert found.count("SortMergeJoin") in (1, 2) and "Window" not in found and "Broadcast" not in found  # an adaptive plan may be printed twice

@@ -532,21 +532,25 @@ def with_handles(chain_table: DataFrame, corner_degrees: float = 60.0) -> DataFr
     table = materialize(chain_table, "unhandled")
     end = lambda last: F.struct(F.lit(last).alias("last"), F.element_at("nodes", -1 if last else 1).alias("p"), F.element_at("nodes", -2 if last else 2).alias("q"))
     ends = table.select(*key, F.explode(F.array(end(False), end(True))).alias("e")).select("img_id", F.struct("left", "right", "chain", "e.last").alias("own"), "e.p", "e.q")
-    other = ends.select("img_id", "p", F.col("own").alias("other"), F.col("q").alias("to"))
-    turn = F.atan2(F.col("to.y") - F.col("p.y"), F.col("to.x") - F.col("p.x")) - F.atan2(F.col("p.y") - F.col("q.y"), F.col("p.x") - F.col("q.x"))
-    turn = F.round(F.abs(F.pmod(turn + math.pi, F.lit(2 * math.pi)) - math.pi), 9)
-    met = ends.join(other.hint("merge"), ["img_id", "p"]).where("own <> other")
-    point = Window.partitionBy("img_id", "p")
-    met = met.withColumns({"turn": turn, "n": F.count("*").over(point)})
-    best = materialize(met.groupBy("img_id", "p", "own").agg(F.min(F.struct("turn", "other", "to")).alias("b"), F.max("n").alias("n")), "met")
-    back = best.select("img_id", "p", F.col("own").alias("there"), F.col("b.other").alias("back"))
-    mutual = best.join(back.hint("merge"), ["img_id", "p"]).where("b.other = there AND own = back").select("img_id", "own", "b.turn", "b.to")
-    going = mutual.where(F.col("turn") <= math.radians(corner_degrees)).groupBy("img_id", "own.left", "own.right", "own.chain").agg(*(F.max(F.when(F.col("own.last") == last, F.col("to"))).alias(c) for last, c in ((False, "__before"), (True, "__after"))))
+    points = ends.groupBy("img_id", "p").agg(F.collect_list(F.struct("own", "q")).alias("ends")).where(F.size("ends") > 1)
+
+    def turn(q: Column, to: Column) -> Column:
+        p = F.col("p")
+        d = F.atan2(to["y"] - p["y"], to["x"] - p["x"]) - F.atan2(p["y"] - q["y"], p["x"] - q["x"])
+        return F.round(F.abs(F.pmod(d + math.pi, F.lit(2 * math.pi)) - math.pi), 9)
+
+    others = lambda e: F.transform(F.filter("ends", lambda o: o["own"] != e["own"]), lambda o: F.struct(turn(e["q"], o["q"]).alias("turn"), o["own"].alias("other"), o["q"].alias("to")))
+    points = points.withColumn("best", F.transform("ends", lambda e: F.struct(e["own"].alias("own"), F.array_min(others(e)).alias("b"))))
+    met = points.select("img_id", "best", F.explode("best").alias("m")).select("img_id", "m.own", "m.b", "best")
+    goes_on = F.exists("best", lambda e: (e["own"] == F.col("b.other")) & (e["b"]["other"] == F.col("own"))) & (F.col("b.turn") <= math.radians(corner_degrees))
     # at a loop's own point its two ends meet each other only
-    lone = best.where("n = 2 AND own.left = b.other.left AND own.right = b.other.right AND own.chain = b.other.chain").select("img_id", "own.left", "own.right", "own.chain").distinct().withColumn("__free", F.lit(True))
-    out = table.join(going.hint("merge"), key, "left").join(lone.hint("merge"), key, "left")
+    lone = (F.size("best") == 2) & (F.col("own.left") == F.col("b.other.left")) & (F.col("own.right") == F.col("b.other.right")) & (F.col("own.chain") == F.col("b.other.chain"))
+    met = met.select("img_id", "own.*", goes_on.alias("goes_on"), lone.alias("lone"), "b.to").where("goes_on OR lone")
+    near = {(name, k): F.max(F.when(F.col("goes_on") & (F.col("last") == last), F.col("to")[k])).alias(f"__{name}_{k}") for last, name in ((False, "before"), (True, "after")) for k in "xy"}
+    out = table.join(met.groupBy(*key).agg(*near.values(), F.max("lone").alias("__free")).hint("merge"), key, "left")
+    before, after = (F.when(F.col(f"__{name}_x").isNotNull(), F.struct(*(F.col(f"__{name}_{k}").alias(k) for k in "xy"))) for name in ("before", "after"))
     free = F.col("closed") & F.coalesce("__free", F.lit(False))
-    return out.withColumn("handles", chain_handles("nodes", free, corner_degrees, F.col("__before"), F.col("__after"))).select(*chain_table.columns, "handles")
+    return out.withColumn("handles", chain_handles("nodes", free, corner_degrees, before, after)).select(*chain_table.columns, "handles")
 
 
 def unlike_curves(ring_table: DataFrame) -> DataFrame:
