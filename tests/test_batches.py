@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tilework.operators import edit, trace
+from tilework.sources import pictures
 
 
 def test_many_chains_are_simplified_as_each():
@@ -29,3 +30,10 @@ def test_logs_of_many_pictures_take_little_time(spark):
     began = time.time()
     got = edit.effective_edits(log).groupBy("op").count().collect()
     assert [tuple(r) for r in got] == [("delete", 40_000)] and time.time() - began < 25
+
+
+def test_upright_edges_are_filled_without_a_search(monkeypatch):
+    want = np.zeros((8, 9), bool)
+    want[2:5, 1:7] = True
+    monkeypatch.setattr(pictures.np, "flatnonzero", None)
+    assert (pictures.filled([[(1.0, 2.0), (7.0, 2.0), (7.0, 5.0), (1.0, 5.0), (1.0, 2.0)]], 9, 8) == want).all()

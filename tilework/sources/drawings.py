@@ -27,6 +27,9 @@ from tilework.sources.pictures import filled, flattened, ramp
 
 Ring = list[tuple[float, float]]
 
+#: Bytes of drawings from which a task hands them on.
+HELD_BYTES = 1 << 20
+
 
 class Shape(NamedTuple):
     """curves: for each ring its nodes with handles; primitive and gradient: their fields by name."""
@@ -67,6 +70,8 @@ class Shape(NamedTuple):
 
 
 def _number(x: float, decimals: int) -> str:
+    if x % 1 == 0:
+        return str(int(x))
     text = f"{x:.{decimals}f}"
     return (text.rstrip("0").rstrip(".") if "." in text else text).replace("-0", "0", 1) if float(text) == 0 else (text.rstrip("0").rstrip(".") if "." in text else text)
 
@@ -330,7 +335,7 @@ def drawings(shapes: DataFrame, sizes: DataFrame, kind: str, grouped: bool = Fal
     """
     write = WRITERS[kind]
     extra = [c for c in ("curves", "primitive", "gradient", "strip", "group_id") if c in shapes.columns]
-    one = F.array_sort(F.collect_list(F.struct("z", "region_id", F.struct("rgb", "rings", *extra).alias("shape"))), lambda a, b: F.when(a["z"] < b["z"], -1).when(a["z"] > b["z"], 1).otherwise(0))
+    one = F.array_sort(F.collect_list(F.struct("z", "region_id", F.struct("rgb", "rings", *extra).alias("shape"))))
     gathered = sizes.join(shapes.groupBy("img_id").agg(one.alias("shapes")).hint("merge"), "img_id", "left").select("img_id", "width", "height", "shapes")
 
     def shape(s: dict) -> Shape:
@@ -339,6 +344,7 @@ def drawings(shapes: DataFrame, sizes: DataFrame, kind: str, grouped: bool = Fal
 
     def run(batches):
         for batch in batches:
+            kind, done, held = batch.column(0).type, [], 0
             for i in range(batch.num_rows):  # a drawing at a time
                 name, w, h, own = (batch.column(j)[i].as_py() for j in range(4))
                 parts = [shape(s["shape"]) for s in own or []]
@@ -346,7 +352,11 @@ def drawings(shapes: DataFrame, sizes: DataFrame, kind: str, grouped: bool = Fal
                     content, error = write(w, h, parts, **options), None
                 except ValueError as e:
                     content, error = None, str(e)
-                yield pa.RecordBatch.from_arrays([pa.array([name], batch.column(0).type), pa.array([content], pa.binary()), pa.array([error], pa.string())], names=["img_id", "content", "error"])
+                done.append((name, content, error))
+                held += len(content or b"")
+                if held >= HELD_BYTES or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (kind, pa.binary(), pa.string()), strict=True)], names=["img_id", "content", "error"])
+                    done, held = [], 0
 
     return gathered.mapInArrow(run, f"img_id {sizes.schema['img_id'].dataType.simpleString()}, content binary, error string")
 
