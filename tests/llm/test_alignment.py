@@ -2,11 +2,13 @@ import hashlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
 from tests.llm.common import SCHEMA, clashing, corpus, frame
+from tilework import storage
 from tilework.llm import alignment, tokens
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -75,3 +77,13 @@ def test_empty_table_and_no_tokens(spark):
     assert alignment.alignments(spark.createDataFrame([], SCHEMA), A, B).collect() == []
     got = alignment.alignments(spark.createDataFrame([(1, None), (2, ""), (None, "▁")], "doc_id long, text string"), A, B).collect()
     assert len(got) == 3 and all(tuple(x[n] for n in NAMES) == (0, 0, 0, 0, 0, 0, "") for x in got)
+
+
+def test_chunks_are_row_groups_of_their_own(spark, monkeypatch, tmp_path):
+    """A task's chunks, megabytes each, don't come to one row group, which a reader would hold whole."""
+    monkeypatch.setattr(alignment, "CHUNK_BYTES", 600)
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: f"file://{tmp_path}")
+    assert alignment.alignments(frame(spark, partitions=1), A, B).count() == len(corpus())
+    files = [pq.ParquetFile(p).metadata for p in tmp_path.glob("aligned-*/*.parquet")]
+    assert max(m.num_rows for m in files) > 20
+    assert all(m.row_group(i).num_rows == 1 for m in files for i in range(m.num_row_groups))

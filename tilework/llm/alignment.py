@@ -221,7 +221,7 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id"
 
     sums = ", ".join(f"{n} array<long>" for n in ("n_a", "n_b", "n_groups", "n_links"))
     found = docs.select(id_col, text_col).mapInArrow(lambda batches: tokens.forgetting(run(batches), a_path), f"chunk long, doc_id array<{kind}>, {sums}, groups_sha256 array<string>, ends binary, codes binary, link_ends binary, links binary, pairs array<long>, pair_n array<long>")
-    chunks = materialize(found, "aligned")
+    chunks = materialize(found, "aligned", large_rows=True)
 
     listed = chunks.select("chunk", F.posexplode(F.arrays_zip("pairs", "pair_n")).alias("place", "x")).select("chunk", "place", F.col("x.pairs").alias("pair"), F.col("x.pair_n").alias("n"))
     salted = listed.where("n > 0").groupBy("pair", F.pmod("chunk", F.lit(SALTS)).alias("salt")).agg(F.sum("n").alias("n"))
