@@ -4,10 +4,12 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tests.llm.common import SCHEMA, clashing, corpus, frame
 from tests.llm.test_neardup import LOWER
+from tilework import storage
 from tilework.llm import collocations
 
 
@@ -97,3 +99,12 @@ def test_packing_round_trip():
     for top in (10, 1 << 31, 1 << 40):
         columns = [np.random.default_rng(i).integers(0, top, 77) for i in range(6)]
         assert (collocations._unpacked(collocations._packed(columns), 6) == np.array(columns)).all()
+
+
+def test_chunks_are_row_groups_of_their_own(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(collocations, "CHUNK_BYTES", 600)
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: f"file://{tmp_path}")
+    collocations.phrases(frame(spark, partitions=1))
+    files = [pq.ParquetFile(p).metadata for p in tmp_path.glob("chunks-*/*.parquet")]
+    assert max(m.num_rows for m in files) > 20
+    assert all(m.row_group(i).num_rows == 1 for m in files for i in range(m.num_row_groups))

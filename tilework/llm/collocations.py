@@ -188,7 +188,7 @@ def mine(cells: list, partial: bool, least: int) -> tuple[np.ndarray, ...]:
 def phrases(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tables of phrases (w1, w2, w3 or 0, a) with a >= least, words (lang, word, f, id) with f >= least, and languages (lang, n)."""
     own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    chunks = materialize(_chunks(own), "chunks")
+    chunks = materialize(_chunks(own), "chunks", large_rows=True)
     listed = chunks.select(F.col("chunk").alias("own"), F.posexplode(F.arrays_zip("lang", "word", "n")).alias("place", "x")).select("own", "place", "x.lang", "x.word", "x.n")
     counts = materialize(listed.groupBy("lang", "word").agg(F.sum("n").alias("f")), "counts")
     langs = materialize(counts.groupBy("lang").agg(F.sum("f").alias("n")), "langs")
